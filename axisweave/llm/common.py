@@ -14,7 +14,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: ASCII lower case on UTF-8 bytes; other bytes stay.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Rows and bytes of one Arrow batch: what one Python call holds at a time.
-BATCH_ROWS, BATCH_BYTES = 8000, 32 << 20
+BATCH_ROWS, BATCH_BYTES = 8000, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,3 +89,65 @@ def unpack(blob: bytes) -> list[np.ndarray]:
 def steps(x: np.ndarray) -> np.ndarray:
     """Differences of a sorted array, the first value first; undone by a running sum."""
     return np.diff(x, prepend=x.dtype.type(0))
+
+
+BLOCK = "block long, rows int, blob binary"
+
+
+def blocks(docs: DataFrame, *columns: str) -> DataFrame:
+    """The columns (text last) as checkpointed, compressed blocks of at most BATCH_BYTES or one document.
+
+    A block is named by its task and its place there; 24 bits stay free for the number of a row. As the blocks are written once and read from the
+    checkpoint after that, a name stands for the same rows whichever executor is lost later.
+    """
+    arrow(docs.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        name = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            sizes = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(batch.num_columns - 1).cast(pa.binary())], np.int64)
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // BATCH_BYTES, prepend=0, append=-1) != 0) if len(sizes) else []
+            low = 0
+            for high in cuts:
+                if high > low:
+                    part = batch.slice(low, high - low)
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                        out.write_batch(part)
+                    yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([part.num_rows], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "rows", "blob"])
+                    name += 1 << 24
+                low = high
+
+    return cut(docs.select(*columns).mapInArrow(run, BLOCK))
+
+
+def opened(blob: bytes):
+    """The record batch of a block."""
+    import pyarrow as pa
+
+    with pa.ipc.open_stream(blob) as stream:
+        return stream.read_next_batch()
+
+
+def hashed_words(texts, fold: bytes | None = LOWER) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, one behind the other, and the number of words of each text."""
+    from xxhash import xxh3_64_intdigest
+
+    parts, sizes = [], []
+    for text in texts:
+        raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+        own = (raw.translate(fold) if fold else raw).split()
+        parts.append(np.fromiter(map(xxh3_64_intdigest, own), np.uint64, len(own)))
+        sizes.append(len(own))
+    return np.concatenate([np.zeros(0, np.uint64), *parts]), np.array(sizes, np.int64)
+
+
+def by_range(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where each of parts (a power of two) equal ranges of the key space begins in sorted uint64 keys."""
+    if parts == 1:
+        return np.array([0, len(keys)])
+    step = np.uint64(64 - int(np.log2(parts)))
+    return np.concatenate((np.searchsorted(keys, np.arange(parts, dtype=np.uint64) << step), [len(keys)]))

@@ -1,6 +1,6 @@
 """Queries over the standard tables, one an operator, and their SQL."""
 
-from axisweave.llm import decontaminate, mixing, quality, secrets, sharding
+from axisweave.llm import classifier, decontaminate, language_model, mixing, quality, secrets, sharding
 from axisweave.llm.common import table
 
 
@@ -14,6 +14,8 @@ QUERIES = {
     "op5_quality_rules": _docs(quality.query),
     "op7_shard": _docs(sharding.query),
     "op8_secret_scan": _docs(secrets.query),
+    "op9_language_model": _docs(language_model.query),
+    "op10_quality_classifier": lambda spark, sf_dir: classifier.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
 }
 SQL = {
     "op1_mix_sources": mixing.SQL,
