@@ -1,6 +1,6 @@
 """Queries over the standard tables, one an operator, and their SQL."""
 
-from axisweave.llm import classifier, decontaminate, language_model, mixing, quality, secrets, sharding
+from axisweave.llm import classifier, decontaminate, language_model, mixing, ngram_join, quality, secrets, sharding
 from axisweave.llm.common import table
 
 
@@ -12,6 +12,7 @@ QUERIES = {
     "op1_mix_sources": _docs(mixing.query),
     "op4_decontaminate": lambda spark, sf_dir: decontaminate.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op5_quality_rules": _docs(quality.query),
+    "op6_ngram_join": _docs(ngram_join.query),
     "op7_shard": _docs(sharding.query),
     "op8_secret_scan": _docs(secrets.query),
     "op9_language_model": _docs(language_model.query),

@@ -6,9 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from axisweave.llm import decontaminate, mixing, quality, sharding
+from axisweave.llm import decontaminate, mixing, ngram_join, quality, sharding
 from axisweave.llm.common import table
 
 ORACLE_SQL = None
@@ -19,6 +18,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.keep(docs)
 
 
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8)."""
+    return ngram_join.deduplicate(docs)
+
+
 def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no benchmark window hits."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
@@ -36,6 +40,7 @@ def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", keep_quality),
+    ("n-gram Jaccard join", one_of_near_copies),
     ("benchmark decontamination", remove_leaks),
     ("mixing sources", mix_sources),
     ("sharding", deal_shards),
