@@ -14,7 +14,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: ASCII lower case on UTF-8 bytes; other bytes stay.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Rows and bytes of one Arrow batch: what one Python call holds at a time.
-BATCH_ROWS, BATCH_BYTES = 8000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 8000, 12 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

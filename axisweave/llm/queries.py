@@ -1,6 +1,6 @@
 """Queries over the standard tables, one an operator, and their SQL."""
 
-from axisweave.llm import classifier, decontaminate, language_model, mixing, ngram_join, quality, secrets, sharding
+from axisweave.llm import classifier, decontaminate, language_model, lines, mixing, ngram_join, quality, secrets, sharding, substring
 from axisweave.llm.common import table
 
 
@@ -10,6 +10,8 @@ def _docs(f):
 
 QUERIES = {
     "op1_mix_sources": _docs(mixing.query),
+    "op2_substring_dedup": _docs(substring.query),
+    "op3_line_dedup": _docs(lines.query),
     "op4_decontaminate": lambda spark, sf_dir: decontaminate.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op5_quality_rules": _docs(quality.query),
     "op6_ngram_join": _docs(ngram_join.query),
@@ -20,6 +22,7 @@ QUERIES = {
 }
 SQL = {
     "op1_mix_sources": mixing.SQL,
+    "op3_line_dedup": lines.SQL,
     "op4_decontaminate": decontaminate.SQL,
     "op5_quality_rules": quality.SQL,
 }
