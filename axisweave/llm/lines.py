@@ -24,8 +24,10 @@ from axisweave.llm.common import WORD, WS, cut
 
 LIMIT = (80, 100)
 #: Places of the table of counts.
-PLACES = 1 << 16
-#: Lines with candidates up to this number are broadcast (24 bytes each); more are joined by a shuffle.
+PLACES = 1 << 18
+#: Classes of more lines than this send their words from their first line only.
+COPIES = 100
+#: Rows up to this number are broadcast (under 50 bytes each); more are joined by a shuffle.
 FEW = 500_000
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -44,7 +46,8 @@ def _rarity(docs: DataFrame) -> Column:
 
 
 def _tokens(words: Column, rarity: Column) -> Column:
-    """Distinct words as longs that sort by rarity: 12 bits of rarity before 48 of the hash."""
+    """Distinct words as longs that sort by rarity: the rarity before 48 bits of the hash."""
+
     def one(w):
         h = F.xxhash64(w)
         return F.shiftleft(F.get(rarity, F.pmod(h, F.lit(PLACES)).cast("int")).cast("long"), 48).bitwiseOR(F.shiftrightunsigned(h, 16))
@@ -52,58 +55,68 @@ def _tokens(words: Column, rarity: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(words, one)))
 
 
-def _lines(docs: DataFrame, *extra: str) -> DataFrame:
-    """One row a line that has a word: extra, doc_id, line (its number from 0), text."""
-    d = docs.select(*extra, "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    return d.filter(F.col("text").rlike(WORD))
+def _keyed(docs: DataFrame, rarity: Column) -> DataFrame:
+    """One row a line that has a word: digest of its row, doc_id, line, class (k1, k2), n words, head (its prefix). Written once."""
+    d = docs.select(_row().alias("row"), "doc_id", F.split("text", "\n").alias("text"))
+    d = d.select("row", "doc_id", F.posexplode("text").alias("line", "text")).filter(F.col("text").rlike(WORD))
+    d = d.select("row", "doc_id", "line", _tokens(_words(F.col("text")), rarity).alias("tokens"))
+    n = F.size("tokens")
+    keep = n - F.ceil(n * LIMIT[0] / LIMIT[1]).cast("int") + 1
+    head = F.when(n > 3, F.slice("tokens", F.lit(1), keep))
+    return cut(d.select("row", "doc_id", "line", F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(7), "tokens").alias("k2"), n.alias("n"), head.alias("head")))
+
+
+def _row() -> Column:
+    return F.xxhash64("doc_id", "text")
 
 
-def _keyed(lines: DataFrame, *extra: str) -> DataFrame:
-    """Adds the class of a line: k1, k2 of its sorted distinct words."""
-    d = lines.withColumn("words", F.sort_array(F.array_distinct(_words(F.col("text")))))
-    return d.select(*extra, "words", F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(7), "words").alias("k2"))
+def _place() -> Column:
+    return F.struct(F.isnull("doc_id").alias("null"), "doc_id", "line", "row")
 
 
-def first_matches(docs: DataFrame) -> DataFrame:
+def first_matches(docs: DataFrame, lines: DataFrame, rarity: Column) -> DataFrame:
     """Per class of lines: k1, k2, and the place of the first line that is similar to it (itself included)."""
-    place = F.struct(F.isnull("doc_id").alias("null"), "doc_id", "line").alias("place")
-    rarity = _rarity(docs)
-    d = _keyed(_lines(docs).withColumn("place", place), "place")
-    classes = cut(d.groupBy("k1", "k2").agg(F.min("place").alias("place")))
-    # prefixes of lines that can have a partner
-    t = d.filter(F.size("words") > 3).withColumn("tokens", _tokens(F.col("words"), rarity)).withColumn("n", F.size("tokens"))
-    keep = F.col("n") - F.ceil(F.col("n") * LIMIT[0] / LIMIT[1]).cast("int") + 1
-    heads = t.select("k1", "n", F.posexplode(F.slice("tokens", F.lit(1), keep)).alias("at", "token")).distinct()
+    classes = cut(lines.groupBy("k1", "k2").agg(F.min(_place()).alias("place"), F.count("*").alias("copies")))
+    copied = cut(classes.filter(F.col("copies") > COPIES).select("k1", "k2", F.col("place.row").alias("r"), F.col("place.line").alias("l")))
+    once = lines.join(F.broadcast(copied) if copied.count() <= FEW else copied, ["k1", "k2"], "left").filter("r is null or (row = r and line = l)")
+    # one exchange by word serves both the removal of copies and the join
+    heads = once.select("k1", "n", F.posexplode("head").alias("at", "token")).select("token", "k1", (F.col("n") * 65536 + F.col("at")).alias("x"))
+    heads = heads.repartition("token").groupBy("token", "k1", "x").agg(F.lit(1).alias("one"))
+    size, at = (lambda k: F.floor(F.col(f"{k}.x") / 65536)), (lambda k: F.col(f"{k}.x") % 65536)
     x, y = heads.alias("x"), heads.alias("y")
-    first = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.k1") < F.col("y.k1")))
-    near = F.col("x.n") * LIMIT[1] >= F.col("y.n") * LIMIT[0]
-    room = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
-    fits = room * (LIMIT[0] + LIMIT[1]) >= (F.col("x.n") + F.col("y.n")) * LIMIT[0]
+    first = (size("x") < size("y")) | ((size("x") == size("y")) & (F.col("x.k1") < F.col("y.k1")))
+    near = size("x") * LIMIT[1] >= size("y") * LIMIT[0]
+    fits = F.least(size("x") - at("x"), size("y") - at("y")) * (LIMIT[0] + LIMIT[1]) >= (size("x") + size("y")) * LIMIT[0]
     pairs = cut(x.join(y, (F.col("x.token") == F.col("y.token")) & first & near & fits).select(F.col("x.k1").alias("a"), F.col("y.k1").alias("b")).distinct())
-    # the words of the lines that are in a pair
-    wanted = cut(pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct())
-    small = wanted.count() <= FEW
-    words = cut(_keyed(_lines(docs), "doc_id").join(F.broadcast(wanted) if small else wanted, "k1").groupBy("k1", "k2").agg(F.first("words").alias("words")))
+    # the words of the first line of each class that is in a pair, from the documents that hold one
+    wanted = pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct()
+    homes = cut(wanted.join(classes, "k1").select("k1", "k2", F.col("place.row").alias("row"), F.col("place.line").alias("line")).groupBy("row").agg(F.collect_list(F.struct("line", "k1", "k2")).alias("want")))
+    numbered = docs.select(_row().alias("row"), F.split("text", "\n").alias("text"))
+    held = numbered.join(F.broadcast(homes) if homes.count() <= FEW // 10 else homes, "row").select(F.explode(F.transform("want", lambda w: F.struct(w["k1"].alias("k1"), w["k2"].alias("k2"), F.get("text", w["line"]).alias("text")))).alias("w")).select("w.*")
+    words = cut(held.select("k1", "k2", _tokens(_words(F.col("text")), rarity).alias("words")).dropDuplicates(["k1", "k2"]))
     a, b = (words.select(F.col("k1").alias(k), F.struct("k1", "k2").alias(f"key_{k}"), F.col("words").alias(f"words_{k}")) for k in "ab")
     both = pairs.join(a, "a").join(b, "b")
     shared = F.size(F.array_intersect("words_a", "words_b"))
     alike = both.filter(shared * (LIMIT[0] + LIMIT[1]) >= (F.size("words_a") + F.size("words_b")) * LIMIT[0])
     links = alike.select(F.col("key_a").alias("one"), F.col("key_b").alias("other")).unionByName(alike.select(F.col("key_b").alias("one"), F.col("key_a").alias("other")))
     seen = links.join(classes.select(F.struct("k1", "k2").alias("other"), "place"), "other").select("one.k1", "one.k2", "place")
-    return seen.unionByName(classes).groupBy("k1", "k2").agg(F.min("place").alias("first"))
+    least = seen.unionByName(classes.select("k1", "k2", "place")).groupBy("k1", "k2").agg(F.min("place").alias("first"))
+    return least.select("k1", "k2", F.struct("first.null", "first.doc_id", "first.line").alias("first"))
 
 
 def query(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_lines (those with a word), n_removed, and the numbers of the removed lines."""
-    first = cut(first_matches(docs))
-    d = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    rarity = _rarity(docs)
+    lines = _keyed(docs, rarity)
+    first = cut(first_matches(docs, lines, rarity))
     place = F.struct(F.isnull("doc_id").alias("null"), "doc_id", "line")
-    lines = _keyed(_lines(d, "row").withColumn("place", place), "row", "line", "place").drop("words")
-    # documents without lines come along as rows without a class
-    empty = d.select("row", "doc_id").withColumns({"line": F.lit(None).cast("int"), "removed": F.lit(False)})
-    judged = lines.join(first, ["k1", "k2"]).select("row", F.col("place.doc_id").alias("doc_id"), "line", (F.col("first") < F.col("place")).alias("removed"))
-    out = judged.unionByName(empty).groupBy("row", "doc_id").agg(F.count("line").alias("n_lines"), F.count(F.when(F.col("removed"), 1)).alias("n_removed"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("line")))).cast("array<string>"), ",").alias("removed_lines"))
-    return out.drop("row")
+    judged = lines.join(first, ["k1", "k2"]).groupBy("row", "doc_id", "line").agg(F.max(F.col("first") < place).alias("removed"))
+    # documents without lines come along as rows without a line; equal rows are one until the end
+    every = docs.select(_row().alias("row"), "doc_id").groupBy("row", "doc_id").agg(F.count("*").alias("times"))
+    both = judged.withColumn("times", F.lit(0).cast("long")).unionByName(every.withColumns({"line": F.lit(None).cast("int"), "removed": F.lit(False)}))
+    gone = F.array_join(F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("line")))).cast("array<string>"), ",")
+    out = both.groupBy("row", "doc_id").agg(F.count("line").alias("n_lines"), F.count(F.when(F.col("removed"), 1)).alias("n_removed"), gone.alias("removed_lines"), F.sum("times").alias("times"))
+    return out.select("doc_id", "n_lines", "n_removed", "removed_lines", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("nth")).drop("nth")
 
 
 def remove_lines(docs: DataFrame) -> DataFrame:
