@@ -372,7 +372,7 @@ for _k, _f in {
     "chebychev": "list_max([abs(p[1] - p[2]) for p in list_zip(a.x, b.x)])",
     "scalar_product": "list_inner_product(a.x, b.x)",
 }.items():
-    query(f"distance_{_k}", f"with {_E} select a.r as a, b.r as b, round({_f}, 4) as v from e a join e b on a.r < b.r ")(
+    query(f"distance_{_k}", f"with {_E} select a.r as a, b.r as b, round({_f}, 4) + 0 as v from e a join e b on a.r < b.r ")(
         lambda s, d, k=_k: distance.pairwise(_e(s, d), k).select("a", "b", F.round("v", 4).alias("v"))
     )
 query("nearest_row", f"with {_E}, p as (select a.r as r, b.r as b, list_distance(a.x, b.x) as v from e a join e b on a.r <> b.r) select r, arg_min(b, v) as nearest, round(min(v), 4) as v from p group by r")(
