@@ -1,8 +1,8 @@
 """Line deduplication by an exact set-similarity join, in DataFrame functions only.
 
-A line is its set of words (ASCII lower case). Words are ordered by rarity, which is a table
+A line is its set of words, unchanged. Words are ordered by rarity, which is a table
 of counts by hash; a line's prefix is so many of its rarest words that a similar line must
-share one of them. Lines that share a prefix word and pass the length and positional filters
+share ``SHARED`` of them. Lines that share as many and pass the length and positional filters
 are verified by their words, and of similar lines every one after the first is removed:
 a line goes if a line before it, by (doc_id, line number), has a Jaccard similarity of 0.8 or more.
 
@@ -24,16 +24,17 @@ from axisweave.llm.common import WORD, WS, cut
 
 LIMIT = (80, 100)
 #: Places of the table of counts.
-PLACES = 1 << 18
+PLACES = 1 << 16
+#: Words that two similar lines share in their prefixes; 2 rids of pairs that one rare word brings together.
+SHARED = 2
 #: Classes of more lines than this send their words from their first line only.
 COPIES = 100
 #: Rows up to this number are broadcast (under 50 bytes each); more are joined by a shuffle.
 FEW = 500_000
-UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def _words(line: Column) -> Column:
-    return F.array_remove(F.split(F.translate(line, UPPER, LOWERED), WS), "")
+    return F.array_remove(F.split(line, WS), "")
 
 
 def _rarity(docs: DataFrame) -> Column:
@@ -61,7 +62,7 @@ def _keyed(docs: DataFrame, rarity: Column) -> DataFrame:
     d = d.select("row", "doc_id", F.posexplode("text").alias("line", "text")).filter(F.col("text").rlike(WORD))
     d = d.select("row", "doc_id", "line", _tokens(_words(F.col("text")), rarity).alias("tokens"))
     n = F.size("tokens")
-    keep = n - F.ceil(n * LIMIT[0] / LIMIT[1]).cast("int") + 1
+    keep = n - F.ceil(n * LIMIT[0] / LIMIT[1]).cast("int") + SHARED
     head = F.when(n > 3, F.slice("tokens", F.lit(1), keep))
     return cut(d.select("row", "doc_id", "line", F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(7), "tokens").alias("k2"), n.alias("n"), head.alias("head")))
 
@@ -86,8 +87,9 @@ def first_matches(docs: DataFrame, lines: DataFrame, rarity: Column) -> DataFram
     x, y = heads.alias("x"), heads.alias("y")
     first = (size("x") < size("y")) | ((size("x") == size("y")) & (F.col("x.k1") < F.col("y.k1")))
     near = size("x") * LIMIT[1] >= size("y") * LIMIT[0]
-    fits = F.least(size("x") - at("x"), size("y") - at("y")) * (LIMIT[0] + LIMIT[1]) >= (size("x") + size("y")) * LIMIT[0]
-    pairs = cut(x.join(y, (F.col("x.token") == F.col("y.token")) & first & near & fits).select(F.col("x.k1").alias("a"), F.col("y.k1").alias("b")).distinct())
+    # the SHARED-th common word still leaves room for what is missing
+    fits = (F.least(size("x") - at("x"), size("y") - at("y")) + SHARED - 1) * (LIMIT[0] + LIMIT[1]) >= (size("x") + size("y")) * LIMIT[0]
+    pairs = cut(x.join(y, (F.col("x.token") == F.col("y.token")) & first & near & fits).select(F.col("x.k1").alias("a"), F.col("y.k1").alias("b")).groupBy("a", "b").count().filter(F.col("count") >= SHARED).drop("count"))
     # the words of the first line of each class that is in a pair, from the documents that hold one
     wanted = pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct()
     homes = cut(wanted.join(classes, "k1").select("k1", "k2", F.col("place.row").alias("row"), F.col("place.line").alias("line")).groupBy("row").agg(F.collect_list(F.struct("line", "k1", "k2")).alias("want")))
@@ -131,7 +133,7 @@ SQL = rf"""
 with d as (
   select row_number() over () as rn, doc_id, text from documents),
 l as (
-  select rn, doc_id, line - 1 as line, list_sort(list_distinct(regexp_extract_all(translate(t, '{UPPER}', '{LOWERED}'), '[^\x20\x09-\x0D]+'))) as words
+  select rn, doc_id, line - 1 as line, list_sort(list_distinct(regexp_extract_all(t, '[^\x20\x09-\x0D]+'))) as words
   from (select rn, doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) as line from d)
   where regexp_matches(t, '[^\x20\x09-\x0D]')),
 c as (

@@ -129,11 +129,10 @@ def test_subtrees_split_by_longer_prefixes(monkeypatch):
 
 
 def test_lines(docs, rows, none):
-    lower = lambda x: x.translate({c: c + 32 for c in range(65, 91)})
     every = []
     for n, (i, t, _) in enumerate(rows):
         for k, x in enumerate((t or "").split("\n") if t is not None else []):
-            w = frozenset(lower(x).encode().split())
+            w = frozenset(x.encode().split())
             if w:
                 every.append((n, (i is None, i or 0, k), w))
     gone = defaultdict(list)
