@@ -317,3 +317,19 @@ def deduplicate(docs: DataFrame, k: int = 5, limit=(80, 100), family: int = FAMI
 
 
 query = join
+
+
+#: All pairs that share a shingle, and what links reach.
+SQL = rf"""
+with recursive d as (
+  select row_number() over () as rn, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents),
+s as (
+  select distinct rn, words[i:i + {WORDS - 1}] as s from (select rn, words, unnest(generate_series(1, greatest(1, len(words) - {WORDS - 1}))) as i from d where len(words) > 0)),
+n as (select rn, count(*) as n from s group by rn),
+p as (select a.rn as a, b.rn as b, count(*) as k from s a join s b on a.s = b.s and a.rn < b.rn group by a.rn, b.rn),
+l as (select a, b from p join n x on x.rn = a join n y on y.rn = b where {LIMIT[1]} * k >= {LIMIT[0]} * (x.n + y.n - k)),
+e as (select a, b from l union all select b, a from l),
+reach as (select rn, rn as o from d union select r.rn, e.b from reach r join e on r.o = e.a)
+select d.doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(x.doc_id) as component_id
+from reach r join d on d.rn = r.rn join d x on x.rn = r.o left join n on n.rn = d.rn group by d.rn, d.doc_id
+"""

@@ -22,7 +22,9 @@ QUERIES = {
 }
 SQL = {
     "op1_mix_sources": mixing.SQL,
+    "op2_substring_dedup": substring.SQL,
     "op3_line_dedup": lines.SQL,
     "op4_decontaminate": decontaminate.SQL,
     "op5_quality_rules": quality.SQL,
+    "op6_ngram_join": ngram_join.SQL,
 }

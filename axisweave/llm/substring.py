@@ -281,3 +281,21 @@ def query(docs: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with the repeated words removed; texts without any stay as they were."""
     return _run(docs, _texts, f"doc_id {dict(docs.dtypes)['doc_id']}, text string")
+
+
+#: The first document of every window by a plain group, then the words that later windows cover.
+SQL = rf"""
+with d as (
+  select row_number() over () as rn, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+w as (
+  select rn, doc_id, i, words[i:i + {WINDOW - 1}] as w from (select *, unnest(generate_series(1, len(words) - {WINDOW - 1})) as i from d)),
+f as (select w, min(doc_id) as first from w group by w),
+hit as (
+  select distinct rn, i + j as p from w join f using (w), (select unnest(generate_series(0, {WINDOW - 1})) as j) where doc_id > first),
+kept as (
+  select rn, string_agg(word, ' ' order by p) as kept from (select rn, unnest(words) as word, generate_subscripts(words, 1) as p from d) x
+  where not exists (select 1 from hit where hit.rn = x.rn and hit.p = x.p) group by rn),
+gone as (select rn, count(*) as n from hit group by rn)
+select doc_id, len(words)::bigint as n_words, coalesce(n, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join gone using (rn) left join kept using (rn)
+"""
