@@ -2,8 +2,8 @@
 
 A line is its set of words, unchanged. Words are ordered by rarity, which is a table
 of counts by hash; a line's prefix is so many of its rarest words that a similar line must
-share ``SHARED`` of them. Lines that share as many and pass the length and positional filters
-are verified by their words, and of similar lines every one after the first is removed:
+share one of them. Lines that do and pass the length, positional and bitmap filters (the bits in which
+two 64-bit sketches differ bound the words in which the lines do) are verified by their words, and of similar lines every one after the first is removed:
 a line goes if a line before it, by (doc_id, line number), has a Jaccard similarity of 0.8 or more.
 
 Lines with the same words are one class from the start, so copies make no pairs. Lines of
@@ -24,9 +24,7 @@ from axisweave.llm.common import WORD, WS, cut
 
 LIMIT = (80, 100)
 #: Places of the table of counts.
-PLACES = 1 << 16
-#: Words that two similar lines share in their prefixes; 2 rids of pairs that one rare word brings together.
-SHARED = 2
+PLACES = 1 << 20
 #: Classes of more lines than this send their words from their first line only.
 COPIES = 100
 #: Rows up to this number are broadcast (under 50 bytes each); more are joined by a shuffle.
@@ -41,9 +39,12 @@ def _rarity(docs: DataFrame) -> Column:
     """The table as one array: an eighth of a power of two of the count at each place. PLACES values, whatever the corpus."""
     word = docs.select(F.explode(_words(F.coalesce("text", F.lit("")))).alias("w"))
     counts = word.select(F.pmod(F.xxhash64("w"), F.lit(PLACES)).alias("place")).groupBy("place").count()
-    level = {r["place"]: r["level"] for r in counts.select("place", F.floor(8 * F.log2(1 + F.col("count"))).cast("int").alias("level")).collect()}
+    level = F.floor(8 * F.log2(1 + F.coalesce("count", F.lit(0)))).cast("int")
+    every = docs.sparkSession.range(PLACES).withColumnRenamed("id", "place").join(counts, "place", "left").select("place", level.alias("level"))
+    chunk = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "level"))), lambda x: x["level"]), ",")
+    rows = every.groupBy(F.floor(F.col("place") / 1024).alias("chunk")).agg(chunk.alias("x")).orderBy("chunk").collect()
     # one constant, folded before the plan runs
-    return F.split(F.lit(",".join(str(level.get(k, 0)) for k in range(PLACES))), ",").cast("array<int>")
+    return F.split(F.lit(",".join(r["x"] for r in rows)), ",").cast("array<int>")
 
 
 def _tokens(words: Column, rarity: Column) -> Column:
@@ -57,14 +58,15 @@ def _tokens(words: Column, rarity: Column) -> Column:
 
 
 def _keyed(docs: DataFrame, rarity: Column) -> DataFrame:
-    """One row a line that has a word: digest of its row, doc_id, line, class (k1, k2), n words, head (its prefix). Written once."""
+    """One row a line that has a word: digest of its row, doc_id, line, class (k1, k2), n words, bits (its sketch), head (its prefix). Written once."""
     d = docs.select(_row().alias("row"), "doc_id", F.split("text", "\n").alias("text"))
     d = d.select("row", "doc_id", F.posexplode("text").alias("line", "text")).filter(F.col("text").rlike(WORD))
     d = d.select("row", "doc_id", "line", _tokens(_words(F.col("text")), rarity).alias("tokens"))
     n = F.size("tokens")
-    keep = n - F.ceil(n * LIMIT[0] / LIMIT[1]).cast("int") + SHARED
+    keep = n - F.ceil(n * LIMIT[0] / LIMIT[1]).cast("int") + 1
     head = F.when(n > 3, F.slice("tokens", F.lit(1), keep))
-    return cut(d.select("row", "doc_id", "line", F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(7), "tokens").alias("k2"), n.alias("n"), head.alias("head")))
+    bits = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
+    return cut(d.select("row", "doc_id", "line", F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(7), "tokens").alias("k2"), n.alias("n"), bits.alias("bits"), head.alias("head")))
 
 
 def _row() -> Column:
@@ -81,15 +83,16 @@ def first_matches(docs: DataFrame, lines: DataFrame, rarity: Column) -> DataFram
     copied = cut(classes.filter(F.col("copies") > COPIES).select("k1", "k2", F.col("place.row").alias("r"), F.col("place.line").alias("l")))
     once = lines.join(F.broadcast(copied) if copied.count() <= FEW else copied, ["k1", "k2"], "left").filter("r is null or (row = r and line = l)")
     # one exchange by word serves both the removal of copies and the join
-    heads = once.select("k1", "n", F.posexplode("head").alias("at", "token")).select("token", "k1", (F.col("n") * 65536 + F.col("at")).alias("x"))
-    heads = heads.repartition("token").groupBy("token", "k1", "x").agg(F.lit(1).alias("one"))
+    heads = once.select("k1", "n", "bits", F.posexplode("head").alias("at", "token")).select("token", "k1", (F.col("n") * 65536 + F.col("at")).alias("x"), "bits")
+    heads = heads.repartition("token").groupBy("token", "k1", "x", "bits").agg(F.lit(1).alias("one"))
     size, at = (lambda k: F.floor(F.col(f"{k}.x") / 65536)), (lambda k: F.col(f"{k}.x") % 65536)
     x, y = heads.alias("x"), heads.alias("y")
     first = (size("x") < size("y")) | ((size("x") == size("y")) & (F.col("x.k1") < F.col("y.k1")))
     near = size("x") * LIMIT[1] >= size("y") * LIMIT[0]
-    # the SHARED-th common word still leaves room for what is missing
-    fits = (F.least(size("x") - at("x"), size("y") - at("y")) + SHARED - 1) * (LIMIT[0] + LIMIT[1]) >= (size("x") + size("y")) * LIMIT[0]
-    pairs = cut(x.join(y, (F.col("x.token") == F.col("y.token")) & first & near & fits).select(F.col("x.k1").alias("a"), F.col("y.k1").alias("b")).groupBy("a", "b").count().filter(F.col("count") >= SHARED).drop("count"))
+    differ = F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits")))
+    alike = differ * (LIMIT[0] + LIMIT[1]) <= (size("x") + size("y")) * (LIMIT[1] - LIMIT[0])
+    fits = F.least(size("x") - at("x"), size("y") - at("y")) * (LIMIT[0] + LIMIT[1]) >= (size("x") + size("y")) * LIMIT[0]
+    pairs = cut(x.join(y, (F.col("x.token") == F.col("y.token")) & first & near & fits & alike).select(F.col("x.k1").alias("a"), F.col("y.k1").alias("b")).distinct())
     # the words of the first line of each class that is in a pair, from the documents that hold one
     wanted = pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct()
     homes = cut(wanted.join(classes, "k1").select("k1", "k2", F.col("place.row").alias("row"), F.col("place.line").alias("line")).groupBy("row").agg(F.collect_list(F.struct("line", "k1", "k2")).alias("want")))
