@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from axisweave.functions.checkpoints import cut as cut
+
 #: White space of the contracts, as Java and Python regex classes.
 WS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,14 +27,6 @@ def arrow(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoints df in the folder that the cluster shares; a temporary one only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="axisweave-"))
-    return df.checkpoint(eager=True)
-
-
 def n_words(text: Column) -> Column:
     """Number of words of a text (null: 0); every word becomes one letter, white space goes."""
     letters = F.regexp_replace(F.regexp_replace(text, WORD, "x"), WS, "")

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from axisweave.llm.common import BATCH_BYTES, blocks, by_range, cut, hashed_words, mix64, opened, pack, pow2, steps, text_bytes, unpack
-from axisweave.llm.graph import components
+from axisweave.operators.graph import components
 
 WORDS, LIMIT = 4, (85, 100)
 #: Places of the table of counts, and the parts in which it is added up.
