@@ -10,7 +10,7 @@ METHODS = {
     labels: "restrict exclude get sample_values without_zeros diagonal without_diagonal without_mask nonzero_mask zeros truncate_with_cutoff transpose renumber sort tril triu take slice_positions rename set_deco align extend symmetrize sample_labels element_sample random_label is_one_hot check_positive",
     arith: "combine add subtract multiply divide maximum minimum scale add_vector map_cells apply sign power sqrt inverse log log1p exp trunc clip logistic compatibility",
     product: "dot mask_dot shadow pairwise_top dot_vector dot_vector_dot shadow_vector_dot kron row_kron row_kron_dot row_kron_dot_transpose row_kron_second_moment second_moment pairwise_l2square linear_error",
-    stats: "mean variance deviation sum_power count_nonzero norm normalize arg_extreme dict_max dict_argmax group_rows divergence cosine_gram coherence gram_quantiles row_mean_gini volume_at_cutoff anomaly",
+    stats: "mean variance deviation sum_power count_nonzero norm normalize arg_extreme dict_max dict_argmax group_rows divergence cosine_gram coherence gram_quantiles row_mean_gini volume_at_cutoff anomaly default_row",
     topk: "rank truncate truncate_by_count truncate_by_cumulative truncate_by_budget truncate_by_groups quantile median quantile_boundaries quantile_bins reco reco_summary",
     similar: "similarity jaccard top_values_similarity round_robin_allocation argmax_allocation",
     cluster: "connected_components hierarchical_clustering sort_by_clustering tail_clustering affinity_clusters spectral_clusters co_clustering",

@@ -128,10 +128,10 @@ def _left_step(w: np.ndarray, h: np.ndarray, idx, val, loss: str) -> np.ndarray:
     return np.maximum(w * (part @ val) / np.maximum(w @ (h @ h.T), EPS), EPS)
 
 
-def nmf(m: Matrix, rank: int | list[int], max_iter: int = 150, seed: int = 0, loss: str = "kl", smooth: float = 0.0, graph: Matrix | None = None) -> tuple[Matrix, Matrix]:
+def nmf(m: Matrix, rank: int | list[int] | None, max_iter: int = 150, seed: int = 0, loss: str = "kl", smooth: float = 0.0, graph: Matrix | None = None) -> tuple[Matrix, Matrix]:
     """Non-negative factors (left: rows x rank, right: columns x rank) by multiplicative updates; right columns sum to 1.
 
-    loss is 'kl' or 'euclid'. A list of ranks gives the factors of all side by side. With graph (columns x columns
+    loss is 'kl' or 'euclid'. A list of ranks gives the factors of all side by side, None finds one. With graph (columns x columns
     weights) and smooth, right factors of linked columns are drawn together.
     """
     if loss not in ("kl", "euclid"):
@@ -141,6 +141,8 @@ def nmf(m: Matrix, rank: int | list[int], max_iter: int = 150, seed: int = 0, lo
 
         parts = [nmf(m, k, max_iter, seed + j, loss, smooth, graph) for j, k in enumerate(rank)]
         return hstack([p[0] for p in parts]), hstack([p[1] for p in parts])
+    if rank is None:
+        rank = nmf_rank(m, seed=seed)
     spark = m.cells.sparkSession
     if not m.cells.filter("v < 0").isEmpty():
         raise ValueError("a value is negative")

@@ -238,7 +238,17 @@ def anomaly(m: Matrix, skepticism: float = 1.0) -> Matrix:
     return m.of(d.select("r", "c", F.when((F.col("k") <= 1) | (F.col("es") <= 0), 0.0).otherwise(odds).alias("v")))
 
 
-def inverse_diagonal(matrix) -> "object":
+def default_row(m: Matrix, default: str = "mean") -> DataFrame:
+    """(label, v) per column for rows that are not there: 'mean' of the columns, 'uniform' (one share each) or 'zero'."""
+    if default == "mean":
+        return mean(m, COLUMNS)
+    if default not in ("uniform", "zero"):
+        raise ValueError(f"unknown default {default!r}")
+    n = m.cols.agg(F.count("*")).scalar()
+    return m.cols.select("label", (1 / n if default == "uniform" else F.lit(0.0)).alias("v"))
+
+
+def inverse_diagonal(matrix):
     """Diagonal of the inverse of a small symmetric positive matrix (NumPy, on the driver)."""
     import numpy as np
 

@@ -412,6 +412,43 @@ query("column_quantiles", "with c as (select l_quantity as x, count(*) as n from
     lambda s, d: index.column_quantiles(_t(s, d, "lineitem"), "l_quantity", 5)
 )
 
+# -- more of the same families ------------------------------------------------
+
+query("idiv", f"{_FULL}, n as (select r, c, x / sum(x) over () as x, y / sum(y) over () as y from j) select round(sum(case when x > 0 then x * ln(x / greatest(y, 1e-11)) else 0 end), 6) as v from n")(
+    lambda s, d: _halves(s, d)[0].normalize(None).divergence(_halves(s, d)[1].normalize(None), kl=False).select(F.round("v", 6).alias("v"))
+)
+query("gram_quantiles", f"with {M1}, n as (select c, sqrt(sum(v * v)) as n from m1 group by c), g as (select abs(sum(a.v * b.v) / any_value(x.n * y.n)) as v from m1 a join m1 b on a.r = b.r join n x on x.c = a.c join n y on y.c = b.c where a.c < b.c group by a.c, b.c), k as (select v, row_number() over (order by v) as k, count(*) over () as n from g), a as (select *, 0.4 + 0.3 * (n + 0.2) as spot from k) select round(sum(v * case when k = floor(spot) then 1 - (spot - floor(spot)) when k = floor(spot) + 1 then spot - floor(spot) else 0 end), 6) as v from a")(
+    lambda s, d: m1(s, d).gram_quantiles(0.3).select(F.round("v", 6).alias("v"))
+)
+query("default_row", f"{_WIDE} select c as label, round(sum(v) / any_value(h), 6) as v from m3, h group by c")(lambda s, d: line(m3(s, d).default_row()))
+query("take", f"with {M4}, p as (select r, row_number() over (order by r) - 1 as n from (select distinct r from m4)) select t.k as r, m4.c, v from (select * from (values (0, 4), (1, 0), (2, 4)) t(k, n)) t join p on p.n = t.n join m4 on m4.r = p.r")(
+    lambda s, d: flat(m4(s, d).take(ROWS, [4, 0, 4]))
+)
+query("extend", "select o_orderpriority as label from orders union select c_mktsegment from customer")(lambda s, d: m4(s, d).extend(rows=_t(s, d, "customer").select("c_mktsegment")).rows.select("label"))
+query("truncate_grid", f"with {M1}, g as (select u.r, t.c, coalesce(v, 0) - 8 * (m.v is not null)::int as v from (select distinct r from m1) u cross join (select distinct c from m1) t left join m1 m on m.r = u.r and m.c = t.c) select r, c, v::double as v from g qualify row_number() over (partition by r order by v desc, c) <= 3 and v <> 0")(
+    lambda s, d: flat(m1(s, d).map_cells(lambda v: v - 8).truncate_by_count(3, ROWS, whole_grid=True))
+)
+query("group_rows_first", f"with {M3}, f as (select l_partkey % 10 as g, min(l_partkey) as r from lineitem group by 1) select g as r, c, v from m3 join f using (r)")(
+    lambda s, d: flat(m3(s, d).group_rows(m3(s, d).rows.select("label", (F.col("label") % 10).alias("g")), "first"))
+)
+query("stream_occurrence", f"with {M1} select r, c, v from m1")(lambda s, d: _streamed(s, d))
+
+
+def _streamed(s: SparkSession, d: str) -> DataFrame:
+    """The occurrence matrix as a stream over the events has it once all files are read."""
+    import uuid
+
+    from axisweave.functions.checkpoints import folder
+    from axisweave.streaming.occurrence import occurrence_stream
+
+    name = f"occurrence_{uuid.uuid4().hex}"
+    # as a pattern, because a stream takes the path of a single file for a folder
+    events = s.readStream.schema(_t(s, d, "events").schema).parquet(f"{d}/events.parque[t]")
+    stream = occurrence_stream(events, "user_id", "event_type").writeStream.format("memory").queryName(name).outputMode("complete")
+    stream.option("checkpointLocation", f"{folder(s)}/{name}").trigger(availableNow=True).start().awaitTermination()
+    return s.table(name)
+
+
 # -- what SQL cannot say: hashes, graphs, learners (checked in tests) ---------
 
 query("hash_string")(lambda s, d: _t(s, d, "customer").select("c_custkey", hashing.hash_string(F.col("c_name"), 1234).alias("h")))
