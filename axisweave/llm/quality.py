@@ -73,7 +73,8 @@ def _measured(docs: DataFrame, extra: list[str]) -> DataFrame:
     d = d.withColumn("places", F.sort_array(F.transform(F.filter("sorted", lambda e, k: F.coalesce(twin(e, k), F.lit(False))), lambda e: e["i"])))
     step = F.transform("places", lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get("places", k + 1) - x, F.lit(WINDOW))))
     repeated = F.coalesce(F.aggregate(step, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long")
-    return d.withColumn("n_repeat_words", repeated).drop("windows", "sorted", "places")
+    # the number is a barrier: a filter on the result would else be pushed down here and unfold the arrays into each other
+    return d.withColumn("n_repeat_words", F.when(F.monotonically_increasing_id() >= 0, repeated)).drop("windows", "sorted", "places")
 
 
 def judge(docs: DataFrame, extra: list[str] | None = None) -> DataFrame:
@@ -94,9 +95,7 @@ def judge(docs: DataFrame, extra: list[str] | None = None) -> DataFrame:
 def keep(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, all columns as they were."""
     whole = docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    judged = judge(whole.select("doc_id", "source", "text", "__row"), ["__row"])
-    # the number is a barrier: a filter on kept alone would be pushed below the projections and unfold them into each other
-    return judged.withColumn("__number", F.monotonically_increasing_id()).filter(F.col("kept") & (F.col("__number") >= 0)).select("__row.*")
+    return judge(whole.select("doc_id", "source", "text", "__row"), ["__row"]).filter("kept").select("__row.*")
 
 
 def query(docs: DataFrame) -> DataFrame:
