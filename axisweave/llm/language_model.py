@@ -32,8 +32,9 @@ from pyspark.sql import functions as F
 
 from axisweave.llm.common import blocks, by_range, cut, hashed_words, mix64, opened, pack, pow2, steps, text_bytes, unpack
 
-#: Weight of the unigram model in counts; a context seen much more often than this speaks for itself.
-MASS = 60.0
+#: Weight of the unigram model in counts: a context seen much more often than this speaks for itself. Of 20, 60, 200 and 800 the held-out
+#: scores of sf0.1 were best at 200, and at 800 most documents gained; the value lies between.
+MASS = 300.0
 #: Bytes of text a range of the key space: bounds what one task of the sums holds.
 RANGE_BYTES = 8 << 20
 ODD = np.uint64(1)
