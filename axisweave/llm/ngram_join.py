@@ -278,8 +278,8 @@ def groups(docs: DataFrame, k: int = WORDS, limit=LIMIT, family: int = FAMILY) -
     rows = found.filter("part < 0").drop("part", "blob")
     edges = found.filter("part >= 0").select("part", "blob").groupBy("part").applyInArrow(_edges(limit), "a long, b long")
     families = cut(components(edges).withColumnRenamed("component", "family"))
-    # one document of each set that has candidates, wanted from its block
-    homes = rows.join(families, "id").groupBy("id", "family").agg(F.min(F.struct("block", "row")).alias("home"))
+    # one document of each set that has candidates, wanted from its block; copies fall away before the exchange
+    homes = rows.groupBy("id").agg(F.min(F.struct("block", "row")).alias("home")).join(families, "id")
     wanted = homes.groupBy("home.block").agg(F.collect_list(F.struct("home.row", "id", "family")).alias("want"))
     members = store.join(wanted, "block").select("blob", "want").mapInArrow(_members(k), "family long, id long, blob binary")
     large = cut(families.groupBy("family").count().filter(F.col("count") > family).select("family"))
@@ -296,7 +296,8 @@ def groups(docs: DataFrame, k: int = WORDS, limit=LIMIT, family: int = FAMILY) -
 def join(docs: DataFrame, k: int = WORDS, limit=LIMIT, family: int = FAMILY) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     _, found = groups(docs.select("doc_id", "text"), k, limit, family)
-    least = found.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
+    # written, so that both sides of the join are plain exchanges and a label with many rows can be split
+    least = cut(found.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least")))
     return found.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
