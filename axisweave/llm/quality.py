@@ -10,7 +10,7 @@ documents, not the lines of the documents to the counts.
 
 Edge cases. A null text has no words, no lines, and fails the base rule; a null source is one host.
 Equal rows give equal results, one a row. A null doc_id is kept. Empty input gives no rows; other
-columns of the input are ignored by ``judge`` and kept by ``keep``.
+columns of the input are ignored by ``judge`` and kept by ``keep``. Lines without a word stay.
 """
 
 from __future__ import annotations
@@ -77,9 +77,8 @@ def _measured(docs: DataFrame, extra: list[str]) -> DataFrame:
     return d.withColumn("n_repeat_words", F.when(F.monotonically_increasing_id() >= 0, repeated)).drop("windows", "sorted", "places")
 
 
-def judge(docs: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """Per document: doc_id, the counts, base_failed, n_removed_words (of frequent lines), kept; and the columns of extra."""
-    extra = list(extra or [])
+def _judged(docs: DataFrame, extra: list[str]) -> DataFrame:
+    """What ``judge`` gives, the columns of extra, and the frequent lines of the document's host."""
     lines = cut(frequent_lines(docs))
     few = lines.count() <= FEW_HOSTS
     d = _measured(docs, extra).alias("d")
@@ -89,13 +88,21 @@ def judge(docs: DataFrame, extra: list[str] | None = None) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     left = F.col("n_words") - F.col("n_removed_words")
     depleted = (F.col("n_removed_words") > 0) & ((left < LEFT_WORDS) | (left < LEFT_SHARE * F.col("n_words")))
-    return d.select(*extra, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "n_removed_words", (~failed & ~depleted).alias("kept"))
+    return d.select(*extra, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "n_removed_words", (~failed & ~depleted).alias("kept"), "frequent")
+
+
+def judge(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, the counts, base_failed, n_removed_words (of frequent lines), kept: the digest of ``keep``."""
+    return _judged(docs, []).drop("frequent")
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, all columns as they were."""
+    """The documents that the rules keep, their text without the frequent lines; the other columns (a count of characters too) as they were."""
     whole = docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    return judge(whole.select("doc_id", "source", "text", "__row"), ["__row"]).filter("kept").select("__row.*")
+    kept = _judged(whole.select("doc_id", "source", "text", "__row"), ["__row"]).filter("kept")
+    left = F.filter(F.split("__row.text", "\n"), lambda x: ~F.array_contains("frequent", _line_key(x)))
+    text = F.when(F.col("n_removed_words") > 0, F.array_join(left, "\n")).otherwise(F.col("__row.text"))
+    return kept.select(*[text.alias(c) if c == "text" else F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -215,6 +215,16 @@ def test_quality_removes_frequent_lines(spark):
     assert not any(got[100 + k].kept for k in range(10))
 
 
+def test_quality_keeps_texts_without_frequent_lines(spark):
+    prose = lambda k: " ".join(f"t{k}x{j}" for j in range(40))
+    spam = " ".join(f"buy{j} now{j}" for j in range(15))
+    data = [(k, f"{prose(k)}\n\n{spam.upper() if k < 15 else spam} \n{prose(1000 + k)}\n" if k < 30 else f"{prose(k)}\n", "h") for k in range(60)]
+    data += [(100, f"{prose(100)}\n{spam}", "other"), (101, f"{spam}\nend", "h")]
+    got = {r.doc_id: r.text for r in quality.keep(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()}
+    want = {k: f"{prose(k)}\n\n{prose(1000 + k)}\n" if k < 30 else f"{prose(k)}\n" for k in range(60)}
+    assert got == want | {100: f"{prose(100)}\n{spam}"}
+
+
 def _brute_components(rows, k, limit):
     def shingles(t):
         w = (t or "").encode().translate(ngram_join.hashed_words.__defaults__[0]).split()
