@@ -6,7 +6,8 @@ permutation and the shards' sizes are exact. Every partition permutes its rows
 and deals them by its row of the matrix; every shard permutes what it got.
 
 A partition here is a block of rows by hash, not a Spark task, so a lost executor
-or another split of the input changes nothing. Law: ``rows`` (shards' counts differ by
+or another split of the input changes nothing. Equal rows are numbered first and the number is hashed with
+them, so repetitions are dealt like any other rows. Law: ``rows`` (shards' counts differ by
 one at most), so ``grown_shard`` is null.
 
 Edge cases. A null text has size 1 and the checksum of the empty text; a null doc_id is
@@ -73,8 +74,22 @@ def matrix(counts: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """h becomes the hash of h and the row's number among those of equal h.
+
+    rid (written, by monotonically_increasing_id) has the input task in its upper bits. Rows are numbered within a task and behind
+    those of the tasks before, so a hot h is no group of its own; whatever the split, k equal rows have the numbers below k.
+    """
+    rows = rows.withColumn("task", F.shiftright("rid", 33))
+    held = rows.groupBy("h", "task").count()
+    before = held.select("h", "task", (F.sum("count").over(W.partitionBy("h").orderBy("task")) - F.col("count")).alias("before")).filter("before > 0")
+    number = F.row_number().over(W.partitionBy("h", "task").orderBy("rid")) - 1 + F.coalesce("before", F.lit(0))
+    return rows.join(before, ["h", "task"], "left").withColumn("h", F.xxhash64("h", number.cast("long"))).drop("task", "before")
+
+
 def _dealt(rows: DataFrame, shards: int, seed: int) -> DataFrame:
-    """Adds shard and slot to rows that have a long column h, their hash."""
+    """Adds shard and slot to written rows that have long columns rid and h, their number and hash."""
+    rows = cut(_numbered(rows))
     n = rows.count()
     parts = min(PARTS, max(1, math.ceil(n / PART_ROWS)))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("h", F.lit(1)), F.lit(parts)).cast("int"))
@@ -95,6 +110,10 @@ def _dealt(rows: DataFrame, shards: int, seed: int) -> DataFrame:
     return rows.join(sizes, ["shard", "bin"]).withColumn("slot", (F.col("slot") + F.col("before")).cast("long")).drop("bin", "g", "before")
 
 
+def _rid():
+    return F.monotonically_increasing_id().alias("rid")
+
+
 def _hash(seed: int):
     return F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
 
@@ -102,14 +121,16 @@ def _hash(seed: int):
 def assign(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """Per document: doc_id, size, text_crc32, law, shard, slot, grown_shard. The texts are not moved."""
     text = F.coalesce("text", F.lit(""))
-    slim = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"), _hash(seed).alias("h"))
+    slim = docs.select(_rid(), "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"), _hash(seed).alias("h"))
     out = _dealt(cut(slim), shards, seed)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """The documents themselves, all columns in ``row``, with shard and slot; the texts cross the network by their place."""
-    return _dealt(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _hash(seed).alias("h")), shards, seed).drop("h")
+    """The documents themselves, all columns in ``row``, with shard and slot; the texts are written and cross the network once."""
+    rows = cut(docs.select(_rid(), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _hash(seed).alias("h")))
+    dealt = _dealt(rows.select("rid", "h"), shards, seed).select("rid", "shard", "slot")
+    return rows.select("rid", "row").join(dealt, "rid").drop("rid")
 
 
 query = assign

@@ -287,6 +287,24 @@ def test_shards(docs, rows, none):
     assert sharding.query(none).count() == 0
 
 
+def test_repetitions_spread_over_shards_and_slots(spark):
+    schema = "doc_id long, text string"
+    data = [(k % 800, f"text {k % 800}") for k in range(1600)] + [(9000, "hot")] * 1600
+    d = spark.createDataFrame(data, schema).repartition(5)
+    got = sharding.assign(d).collect()
+    shards, hot, last = defaultdict(list), Counter(), {}
+    for r in got:
+        shards[r.doc_id].append(r.shard)
+        hot[r.shard] += r.doc_id == 9000
+        last[r.shard, r.slot] = r.doc_id
+    assert sum(len(set(v)) == 1 for k, v in shards.items() if k != 9000) < 120  # 50 on average
+    assert all(60 < hot[s] < 140 for s in range(16))  # 100 on average
+    assert sum(last[s, k] == last.get((s, k + 1)) == 9000 for s, k in last) < 1000  # 800 on average
+    assert _counts(sharding.assign(d.coalesce(1)).collect()) == _counts(got)
+    whole = sharding.shard(d).select("row.doc_id", "shard", "slot").collect()
+    assert _counts(whole) == _counts((r.doc_id, r.shard, r.slot) for r in got)
+
+
 def test_matrix_has_exact_margins():
     import numpy as np
 
