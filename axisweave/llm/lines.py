@@ -63,7 +63,7 @@ def _keyed(docs: DataFrame, rarity: Column) -> DataFrame:
     d = d.select("row", "doc_id", F.posexplode("text").alias("line", "text")).filter(F.col("text").rlike(WORD))
     d = d.select("row", "doc_id", "line", _tokens(_words(F.col("text")), rarity).alias("tokens"))
     n = F.size("tokens")
-    keep = n - F.ceil(n * LIMIT[0] / LIMIT[1]).cast("int") + 1
+    keep = n - F.ceil(n.cast("long") * LIMIT[0] / LIMIT[1]).cast("int") + 1
     head = F.when(n > 3, F.slice("tokens", F.lit(1), keep))
     bits = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
     return cut(d.select("row", "doc_id", "line", F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(7), "tokens").alias("k2"), n.alias("n"), bits.alias("bits"), head.alias("head")))
@@ -83,9 +83,10 @@ def first_matches(docs: DataFrame, lines: DataFrame, rarity: Column) -> DataFram
     copied = cut(classes.filter(F.col("copies") > COPIES).select("k1", "k2", F.col("place.row").alias("r"), F.col("place.line").alias("l")))
     once = lines.join(F.broadcast(copied) if copied.count() <= FEW else copied, ["k1", "k2"], "left").filter("r is null or (row = r and line = l)")
     # one exchange by word serves both the removal of copies and the join
-    heads = once.select("k1", "n", "bits", F.posexplode("head").alias("at", "token")).select("token", "k1", (F.col("n") * 65536 + F.col("at")).alias("x"), "bits")
+    heads = once.select("k1", "n", "bits", F.posexplode("head").alias("at", "token"))
+    heads = heads.select("token", "k1", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("x"), "bits")
     heads = heads.repartition("token").groupBy("token", "k1", "x", "bits").agg(F.lit(1).alias("one"))
-    size, at = (lambda k: F.floor(F.col(f"{k}.x") / 65536)), (lambda k: F.col(f"{k}.x") % 65536)
+    size, at = (lambda k: F.shiftright(F.col(f"{k}.x"), 32)), (lambda k: F.col(f"{k}.x").bitwiseAND(F.lit(0xFFFFFFFF)))
     x, y = heads.alias("x"), heads.alias("y")
     first = (size("x") < size("y")) | ((size("x") == size("y")) & (F.col("x.k1") < F.col("y.k1")))
     near = size("x") * LIMIT[1] >= size("y") * LIMIT[0]
@@ -101,8 +102,8 @@ def first_matches(docs: DataFrame, lines: DataFrame, rarity: Column) -> DataFram
     words = cut(held.select("k1", "k2", _tokens(_words(F.col("text")), rarity).alias("words")).dropDuplicates(["k1", "k2"]))
     a, b = (words.select(F.col("k1").alias(k), F.struct("k1", "k2").alias(f"key_{k}"), F.col("words").alias(f"words_{k}")) for k in "ab")
     both = pairs.join(a, "a").join(b, "b")
-    shared = F.size(F.array_intersect("words_a", "words_b"))
-    alike = both.filter(shared * (LIMIT[0] + LIMIT[1]) >= (F.size("words_a") + F.size("words_b")) * LIMIT[0])
+    shared, n_a, n_b = (F.size(x).cast("long") for x in (F.array_intersect("words_a", "words_b"), "words_a", "words_b"))
+    alike = both.filter(shared * (LIMIT[0] + LIMIT[1]) >= (n_a + n_b) * LIMIT[0])
     links = alike.select(F.col("key_a").alias("one"), F.col("key_b").alias("other")).unionByName(alike.select(F.col("key_b").alias("one"), F.col("key_a").alias("other")))
     seen = links.join(classes.select(F.struct("k1", "k2").alias("other"), "place"), "other").select("one.k1", "one.k2", "place")
     least = seen.unionByName(classes.select("k1", "k2", "place")).groupBy("k1", "k2").agg(F.min("place").alias("first"))

@@ -152,6 +152,14 @@ def test_lines_with_a_hot_class(spark, monkeypatch):
     assert got == {k: int(k > 0) for k in range(12)}
 
 
+def test_lines_of_very_many_words(spark):
+    words = [f"v{k}" for k in range(70_000)]
+    near = ["edit", *words[1:]]
+    data = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(words[:33_000])), (4, " ".join(["other", *words[1:33_000]]))]
+    got = {r.doc_id: r.n_removed for r in lines.query(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 1}
+
+
 def _items():
     return [(1, None), (2, ""), (3, "one TWO three"), (4, "One"), (None, "alpha, beta; gamma"), (2, "solo")]
 
