@@ -16,6 +16,11 @@ place. A record is the stretch of words of all windows with one anchor, filed un
    words deep are the repeats; every suffix below one, but those of its first document, is answered.
 3. Each block marks the words and returns what is left.
 
+Before that, records are counted by prefix, in every ``SAMPLE``-th document. A prefix above ``HOT`` records (that at the end of
+a passage that a third of all documents share, say, where each goes on in its own way) is split before the exchange by the longest
+prefix there is, a window: its records send no stretch and no words but the hash of each of their windows, which go to
+groups by that hash and are answered with "repeat" or not.
+
 Copies within a block are sent once, so a passage that a third of all documents share reaches a group
 once a block, not once a document. Words and stretches are compared by hash: a stretch by 64 bits of
 its prefix and 40 of its words, a word in a subtree by 40 bits of its own.
@@ -40,6 +45,8 @@ from axisweave.llm.common import BATCH_BYTES, blocks, by_range, cut, hashed_word
 WINDOW, PREFIX = 13, 7
 #: Suffixes of one subtree.
 SUBTREE = 500_000
+#: Records of a prefix, as estimated from every SAMPLE-th document, above which it is split; fewer than FEW in a block's sample are not counted.
+HOT, SAMPLE, FEW = 20_000, 8, 4
 #: Base of the rolling hashes: odd, so that it has an inverse.
 ODD = np.uint64(0x9E3779B97F4A7C1B)
 INVERSE = np.uint64(pow(int(ODD), -1, 2**64))
@@ -76,6 +83,7 @@ class Records:
         self.doc, self.low, self.high, self.anchor = doc[at], first[at], first[last] + WINDOW, anchor[at]
         self.head = least[at]
         self.body = span(self.low, self.high) >> np.uint64(24)
+        self.span = span
         order = np.lexsort((self.low, self.ids[self.doc], self.body, self.head))
         for name in ("doc", "low", "high", "anchor", "head", "body"):
             setattr(self, name, getattr(self, name)[order])
@@ -88,16 +96,55 @@ class Records:
     def windows(self) -> np.ndarray:
         return self.high - self.low - WINDOW + 1
 
+    def hot_windows(self, hot: np.ndarray):
+        """Of the front records with a hot prefix: (which of the front ones, record and place of each window, keys, key of each window, least document of each key)."""
+        split = np.isin(self.head[self.front], hot)
+        own = self.front[split]
+        count = self.windows()[own]
+        record = np.repeat(own, count)
+        place = np.arange(len(record)) - np.repeat(np.cumsum(count) - count, count)
+        at = self.low[record] + place
+        keys, key = np.unique(self.span(at, at + WINDOW), return_inverse=True)
+        least = np.full(len(keys), np.iinfo(np.int64).max)
+        np.minimum.at(least, key, self.ids[self.doc[record]])
+        return split, record, place, keys, key, least
+
+
+def _count_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(head, records) of the prefixes with several records in a sample of a block."""
+    for batch in batches:
+        for blob in batch.column("blob"):
+            own = opened(blob.as_py())
+            r = Records(own.take(pa.array(range(0, own.num_rows, SAMPLE), pa.int64())))
+            head, n = np.unique(r.head[r.front], return_counts=True)
+            often = n >= FEW
+            yield pa.RecordBatch.from_arrays([pa.array(head[often].view(np.int64)), pa.array(n[often], pa.int64())], ["head", "n"])
+
+
+def hot_heads(store: DataFrame) -> np.ndarray:
+    """The prefixes to split, sorted: one in HOT records at most."""
+    many = store.mapInArrow(_count_heads, "head long, n long").groupBy("head").agg(F.sum("n").alias("n")).filter(F.col("n") * SAMPLE > HOT)
+    return np.sort(np.array([r["head"] for r in many.collect()], np.int64).view(np.uint64))
+
 
-def _send_heads(parts: int):
+#: Groups by prefix, of words and by window are apart by this.
+KIND = 1 << 20
+
+
+def _send_heads(parts: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, blob in zip(batch.column("block"), batch.column("blob")):
                 r = Records(opened(blob.as_py()))
-                f = r.front
+                split, _, _, keys, _, least = r.hot_windows(hot)
+                f = r.front[~split]
                 at = by_range(r.head[f], parts)
                 blobs = [pack(steps(r.head[f[a:b]]), r.body[f[a:b]], r.ids[r.doc[f[a:b]]]) for a, b in zip(at[:-1], at[1:])]
                 yield _answer([block.as_py()] * parts, range(parts), blobs)
+                if len(hot):
+                    at = by_range(keys, parts)
+                    blobs = [pack(steps(keys[a:b]), least[a:b]) for a, b in zip(at[:-1], at[1:])]
+                    yield _answer([block.as_py()] * parts, range(2 * KIND, 2 * KIND + parts), blobs)
 
     return run
 
@@ -109,8 +156,22 @@ def _answer(block, part, blobs) -> pa.RecordBatch:
 ANSWER = "block long, part int, blob binary"
 
 
+def _judge_windows(t: pa.Table) -> pa.Table:
+    """Of every block's windows of one range of hashes, whether a smaller document than its own least has them."""
+    sent = [unpack(x) for x in t.column("blob").to_pylist()]
+    key = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in sent])
+    ids = np.concatenate([x[1] for x in sent])
+    keys, place = np.unique(key, return_inverse=True)
+    least = np.full(len(keys), np.iinfo(np.int64).max)
+    np.minimum.at(least, place, ids)
+    state = (ids > least[place]).astype(np.uint8)
+    return pa.Table.from_batches([_answer(t.column("block").to_pylist(), t.column("part").to_pylist(), [pack(x) for x in np.split(state, np.cumsum([len(x[0]) for x in sent])[:-1])])])
+
+
 def _judge_heads(t: pa.Table) -> pa.Table:
-    """State of every block's stretches of one range of prefixes."""
+    """State of every block's stretches of one range of prefixes, or of its windows of one range."""
+    if t.column("part")[0].as_py() >= 2 * KIND:
+        return _judge_windows(t)
     sent = [unpack(x) for x in t.column("blob").to_pylist()]
     sizes = [len(x[0]) for x in sent]
     head = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in sent])
@@ -130,11 +191,11 @@ def _judge_heads(t: pa.Table) -> pa.Table:
 
 
 def _parted(t: pa.Table) -> tuple[pa.RecordBatch, dict[int, list[bytes]]]:
-    """The block and the answers of each kind in the order of their ranges; part -1 is the block, kinds are apart by 2**20."""
+    """The block and the answers of each kind in the order of their ranges; part -1 is the block, kinds are apart by KIND."""
     rows = sorted(zip(t.column("part").to_pylist(), range(t.num_rows)))
-    answers: dict[int, list[bytes]] = {0: [], 1: []}
+    answers: dict[int, list[bytes]] = {0: [], 1: [], 2: []}
     for part, k in rows[1:]:
-        answers[part >> 20].append(t.column("blob")[k].as_py())
+        answers[part // KIND].append(t.column("blob")[k].as_py())
     return opened(t.column("blob")[rows[0][1]].as_py()), answers
 
 
@@ -142,11 +203,11 @@ def _states(r: Records, answers: list[bytes]) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.uint8), *(unpack(x)[0] for x in answers)])
 
 
-def _send_words(parts: int):
+def _send_words(parts: int, hot: np.ndarray):
     def run(t: pa.Table) -> pa.Table:
         batch, answers = _parted(t)
         r = Records(batch)
-        send = r.front[_states(r, answers[0]) == SEND]
+        send = r.front[~np.isin(r.head[r.front], hot)][_states(r, answers[0]) == SEND]
         at = by_range(r.head[send], parts)
         blobs = []
         for a, b in zip(at[:-1], at[1:]):
@@ -217,14 +278,19 @@ def _judge_words(t: pa.Table) -> pa.Table:
     bits = np.zeros(len(long), np.uint8)
     np.bitwise_or.at(bits, record[hit], (1 << offset[hit]).astype(np.uint8))
     sizes = [len(x[0]) for x in sent]
-    return pa.Table.from_batches([_answer(t.column("block").to_pylist(), [p + (1 << 20) for p in t.column("part").to_pylist()], [pack(x) for x in np.split(bits, np.cumsum(sizes)[:-1])])])
+    return pa.Table.from_batches([_answer(t.column("block").to_pylist(), [p + KIND for p in t.column("part").to_pylist()], [pack(x) for x in np.split(bits, np.cumsum(sizes)[:-1])])])
 
 
-def _marks(r: Records, answers: dict[int, list[bytes]]) -> np.ndarray:
+def _marks(r: Records, answers: dict[int, list[bytes]], hot: np.ndarray) -> np.ndarray:
     """Which words of a block are removed."""
+    split, record, place, _, key, least = r.hot_windows(hot)
     state = _states(r, answers[0])
-    front = np.where(state == REPEAT, 255, 0).astype(np.uint8)
-    front[state == SEND] = _states(r, answers[1])
+    cold = np.where(state == REPEAT, 255, 0).astype(np.uint8)
+    cold[state == SEND] = _states(r, answers[1])
+    front = np.zeros(len(r.front), np.uint8)
+    front[~split] = cold
+    hit = (_states(r, answers[2])[key] == REPEAT) | (r.ids[r.doc[record]] > least[key])
+    np.bitwise_or.at(front, r.group[record[hit]], (1 << place[hit]).astype(np.uint8))
     bits = front[r.group] if len(r.group) else np.zeros(0, np.uint8)
     bits[r.later] = 255
     edge = np.zeros(len(r.words) + 1, np.int64)
@@ -239,38 +305,45 @@ def _marks(r: Records, answers: dict[int, list[bytes]]) -> np.ndarray:
 RESULT = "n_words long, n_removed long, kept_sha256 string"
 
 
-def _keep(t: pa.Table) -> pa.Table:
-    batch, answers = _parted(t)
-    r = Records(batch)
-    gone = _marks(r, answers)
-    removed, sha = [], []
-    for text, a, n in zip(batch.column(1), r.starts, r.sizes):
-        out = gone[a : a + n]
-        words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
-        removed.append(int(out.sum()))
-        sha.append(hashlib.sha256(b" ".join(w for w, x in zip(words, out.tolist()) if not x) if removed[-1] else b" ".join(words)).hexdigest())
-    return pa.table([batch.column(0), pa.array(r.sizes), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], ["doc_id", *(x.split()[0] for x in RESULT.split(", "))])
+def _keep(hot: np.ndarray):
+    def run(t: pa.Table) -> pa.Table:
+        batch, answers = _parted(t)
+        r = Records(batch)
+        gone = _marks(r, answers, hot)
+        removed, sha = [], []
+        for text, a, n in zip(batch.column(1), r.starts, r.sizes):
+            out = gone[a : a + n]
+            words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
+            removed.append(int(out.sum()))
+            sha.append(hashlib.sha256(b" ".join(w for w, x in zip(words, out.tolist()) if not x) if removed[-1] else b" ".join(words)).hexdigest())
+        return pa.table([batch.column(0), pa.array(r.sizes), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], ["doc_id", *(x.split()[0] for x in RESULT.split(", "))])
+
+    return run
 
 
-def _texts(t: pa.Table) -> pa.Table:
-    batch, answers = _parted(t)
-    r = Records(batch)
-    gone = _marks(r, answers)
-    kept = []
-    for text, a, n in zip(batch.column(1), r.starts, r.sizes):
-        words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
-        kept.append(b" ".join(w for w, x in zip(words, gone[a : a + n].tolist()) if not x).decode("utf-8", "surrogatepass") if gone[a : a + n].any() else text.as_py())
-    return pa.table([batch.column(0), pa.array(kept, pa.string())], ["doc_id", "text"])
+def _texts(hot: np.ndarray):
+    def run(t: pa.Table) -> pa.Table:
+        batch, answers = _parted(t)
+        r = Records(batch)
+        gone = _marks(r, answers, hot)
+        kept = []
+        for text, a, n in zip(batch.column(1), r.starts, r.sizes):
+            words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
+            kept.append(b" ".join(w for w, x in zip(words, gone[a : a + n].tolist()) if not x).decode("utf-8", "surrogatepass") if gone[a : a + n].any() else text.as_py())
+        return pa.table([batch.column(0), pa.array(kept, pa.string())], ["doc_id", "text"])
+
+    return run
 
 
 def _run(docs: DataFrame, last, schema: str) -> DataFrame:
     parts = pow2(text_bytes(docs) / BATCH_BYTES)
     store = blocks(docs, "doc_id", "text")
     texts = store.select("block", F.lit(-1).alias("part"), "blob")
-    heads = cut(store.mapInArrow(_send_heads(parts), ANSWER).groupBy("part").applyInArrow(_judge_heads, ANSWER))
-    words = texts.unionByName(heads).groupBy("block").applyInArrow(_send_words(parts), ANSWER)
+    hot = hot_heads(store)
+    heads = cut(store.mapInArrow(_send_heads(parts, hot), ANSWER).groupBy("part").applyInArrow(_judge_heads, ANSWER))
+    words = texts.unionByName(heads).groupBy("block").applyInArrow(_send_words(parts, hot), ANSWER)
     bits = words.groupBy("part").applyInArrow(_judge_words, ANSWER)
-    return texts.unionByName(heads).unionByName(bits).groupBy("block").applyInArrow(last, schema)
+    return texts.unionByName(heads).unionByName(bits).groupBy("block").applyInArrow(last(hot), schema)
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -113,6 +113,26 @@ def test_substring(docs, rows, none, monkeypatch):
     assert len(kept) == len(rows)
 
 
+def test_hot_prefix_is_split(spark, monkeypatch):
+    monkeypatch.setattr(substring, "HOT", 100, raising=False)
+    monkeypatch.setattr(substring, "BATCH_BYTES", 20_000)
+    rng = random.Random(9)
+    make = lambda n: " ".join(f"m{rng.randint(0, 10**9)}" for _ in range(n))
+    passage, tails = make(50), [make(20) for _ in range(5)]
+    rows = [(None if k == 7 else k // 2 if k % 50 == 0 else k, f"{make(10)} {passage} {tails[k % 5] if k % 3 == 0 else make(20)}", "s") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    judge = substring._judge_words
+    total = spark.sparkContext.accumulator(0)
+
+    def counted(t):
+        total.add(sum(len(substring.unpack(x)[0]) for x in t.column("blob").to_pylist()))
+        return judge(t)
+
+    monkeypatch.setattr(substring, "_judge_words", counted)
+    assert _counts(substring.query(docs).collect()) == _brute_repeats(rows)
+    assert total.value < 400  # records that send their words to the groups by prefix; 400 documents leave the passage by one prefix
+
+
 def test_subtrees_split_by_longer_prefixes(monkeypatch):
     import numpy as np
 
