@@ -9,8 +9,10 @@ members are verified against each other, and verified links are expanded to comp
 A pair is only verified if its ends are not linked yet, so a group of copies costs as many
 checks as it has members.
 
-Families above ``FAMILY`` members are not gathered: their candidate pairs are joined with
-their sets instead (``_pairwise``).
+Families above ``FAMILY`` members or ``FAMILY_SHINGLES`` shingles are not gathered. They are resolved in rounds
+(``_rounds``): the members of a shingle are chained, pairs of neighbours that are not linked yet are joined with their sets and
+verified, and links merge labels. When a round merges nothing, or after ``ROUNDS``, all pairs of different labels that pass
+the filters are verified, so no pair within a linked group is ever made.
 
 Sets and shingles are 64-bit hashes.
 
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -37,8 +39,10 @@ from axisweave.operators.graph import components
 WORDS, LIMIT = 4, (85, 100)
 #: Places of the table of counts, and the parts in which it is added up.
 SKETCH, CHUNKS = 1 << 20, 64
-#: Most members of a family that one task resolves.
-FAMILY = 20_000
+#: Most members of a family that one task resolves, and most shingles of their sets (8 bytes each).
+FAMILY, FAMILY_SHINGLES = 20_000, 1 << 24
+#: Most rounds of the larger families, and about how many members of a shingle one task chains.
+ROUNDS, RUN = 8, 50_000
 #: Longest list of a shingle in which all pairs are filtered one by one; longer ones are chained by size.
 LIST = 64
 
@@ -240,10 +244,10 @@ def _resolve(limit, rarity):
     return run
 
 
-def _pairwise(members: DataFrame, limit, rarity) -> DataFrame:
-    """Verified links of families that are too large for one task: candidate pairs joined with both their sets."""
+def _heads(limit, rarity):
+    """(id, token, place, size) of the prefix of every set."""
 
-    def heads(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, blob in zip(batch.column("id"), batch.column("blob")):
                 s = _loaded(blob.as_py())
@@ -251,20 +255,68 @@ def _pairwise(members: DataFrame, limit, rarity) -> DataFrame:
                 n = len(h)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, i.as_py())), pa.array(h), pa.array(np.arange(n)), pa.array(np.full(n, len(s)))], ["id", "token", "place", "size"])
 
-    def verify(batches):
+    return run
+
+
+def _fits(x: str, y: str, limit):
+    """Whether the sizes of two postings, and what is left of their sets behind a shared shingle, allow a link."""
+    least, most = F.least(f"{x}.size", f"{y}.size"), F.greatest(f"{x}.size", f"{y}.size")
+    room = F.least(F.col(f"{x}.size") - F.col(f"{x}.place"), F.col(f"{y}.size") - F.col(f"{y}.place"))
+    return (F.col(f"{x}.label") != F.col(f"{y}.label")) & (least * limit[1] >= most * limit[0]) & (room * (limit[0] + limit[1]) >= (least + most) * limit[0])
+
+
+def _chained(postings: DataFrame, nth: int, limit) -> DataFrame:
+    """At most one pair a member, with a neighbour of another label: by size in round 0, in an order by hash after that."""
+    place = F.struct("size", "id") if nth == 0 else F.struct(F.xxhash64("id", F.lit(nth)).alias("x"), "id")
+    runs = postings.groupBy("token").agg(F.ceil(F.count("*") / RUN).alias("runs")).filter("runs > 1")
+    run = F.pmod(F.xxhash64("id", F.lit(-1 - nth)), F.coalesce("runs", F.lit(1)))
+    x = postings.join(runs, "token", "left").select("token", run.alias("run"), F.struct("id", "label", "size", "place").alias("x"), place.alias("at"))
+    both = x.withColumn("y", F.lead("x").over(Window.partitionBy("token", "run").orderBy("at"))).filter(F.col("y").isNotNull() & _fits("x", "y", limit))
+    return both.groupBy(F.col("x.id").alias("a")).agg(F.min(F.struct(F.xxhash64("token", F.lit(nth)).alias("order"), F.col("y.id").alias("b"))).alias("y")).select("a", "y.b")
+
+
+def _across(postings: DataFrame, limit) -> DataFrame:
+    """All pairs of different labels that share a shingle and pass the filters; members of a shingle's largest label only meet the others."""
+    main = postings.groupBy("token", "label").count().groupBy("token").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+    every = cut(postings.join(main, "token"))
+    x, y = every.filter("label <> main").alias("x"), every.alias("y")
+    once = (F.col("y.label") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
+    return x.join(y, (F.col("x.token") == F.col("y.token")) & once & _fits("x", "y", limit)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
+def _verified(members: DataFrame, pairs: DataFrame, limit) -> DataFrame:
+    """The pairs that are linked, by both their sets."""
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [linked(_loaded(x), _loaded(y), limit) for x, y in zip(batch.column("blob_a").to_pylist(), batch.column("blob_b").to_pylist())]
+            ok = [linked(_loaded(x.as_py()), _loaded(y.as_py()), limit) for x, y in zip(batch.column("blob_a"), batch.column("blob_b"))]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    tokens = members.select("id", "blob").mapInArrow(heads, "id long, token long, place long, size long")
-    x, y = tokens.alias("x"), tokens.alias("y")
-    first = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.id") < F.col("y.id")))
-    near = F.col("x.size") * limit[1] >= F.col("y.size") * limit[0]
-    room = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
-    fits = room * (limit[0] + limit[1]) >= (F.col("x.size") + F.col("y.size")) * limit[0]
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & first & near & fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    pairs = pairs.join(members.select(F.col("id").alias("a"), F.col("blob").alias("blob_a")), "a").join(members.select(F.col("id").alias("b"), F.col("blob").alias("blob_b")), "b")
-    return pairs.mapInArrow(verify, "a long, b long")
+    a, b = (members.select(F.col("id").alias(k), F.col("blob").alias(f"blob_{k}")) for k in "ab")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "blob_a", "blob_b").mapInArrow(verify, "a long, b long")
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame | None:
+    """The labels after links, the smallest id of each component; None if nothing changes."""
+    a, b = (labels.select(F.col("id").alias(k), F.col("label").alias(f"label_{k}")) for k in "ab")
+    edges = cut(links.join(a, "a").join(b, "b").filter("label_a <> label_b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct())
+    if edges.isEmpty():
+        return None
+    least = components(edges).withColumnRenamed("id", "label")
+    return cut(labels.join(least, "label", "left").select("id", F.coalesce("component", "label").alias("label")))
+
+
+def _rounds(members: DataFrame, limit, rarity) -> DataFrame:
+    """Exact components of families that are too large for one task: (id, component)."""
+    tokens = cut(members.select("id", "blob").mapInArrow(_heads(limit, rarity), "id long, token long, place long, size long"))
+    labels = cut(members.select("id", F.col("id").alias("label")))
+    for nth in range(ROUNDS):
+        now = _merged(labels, _verified(members, _chained(tokens.join(labels, "id"), nth, limit), limit))
+        if now is None:
+            break
+        labels = now
+    now = _merged(labels, _verified(members, _across(tokens.join(labels, "id"), limit), limit))
+    return (labels if now is None else now).select("id", F.col("label").alias("component"))
 
 
 def groups(docs: DataFrame, k: int = WORDS, limit=LIMIT, family: int = FAMILY) -> tuple[DataFrame, DataFrame]:
@@ -279,17 +331,17 @@ def groups(docs: DataFrame, k: int = WORDS, limit=LIMIT, family: int = FAMILY) -
     edges = found.filter("part >= 0").select("part", "blob").groupBy("part").applyInArrow(_edges(limit), "a long, b long")
     families = cut(components(edges).withColumnRenamed("component", "family"))
     # one document of each set that has candidates, wanted from its block; copies fall away before the exchange
-    homes = rows.groupBy("id").agg(F.min(F.struct("block", "row")).alias("home")).join(families, "id")
+    homes = cut(rows.groupBy("id").agg(F.min(F.struct("block", "row")).alias("home"), F.max("n").alias("n")).join(families, "id"))
     wanted = homes.groupBy("home.block").agg(F.collect_list(F.struct("home.row", "id", "family")).alias("want"))
     members = store.join(wanted, "block").select("blob", "want").mapInArrow(_members(k), "family long, id long, blob binary")
-    large = cut(families.groupBy("family").count().filter(F.col("count") > family).select("family"))
+    large = cut(homes.groupBy("family").agg(F.count("*").alias("count"), F.sum("n").alias("n")).filter((F.col("count") > family) | (F.col("n") > FAMILY_SHINGLES)).select("family"))
     label = "id long, component long"
     if large.isEmpty():
         solved = members.groupBy("family").applyInArrow(_resolve(limit, rarity), label)
     else:
         members = cut(members)
         solved = members.join(large, "family", "left_anti").groupBy("family").applyInArrow(_resolve(limit, rarity), label)
-        solved = solved.unionByName(components(_pairwise(members.join(large, "family", "left_semi"), limit, rarity)))
+        solved = solved.unionByName(_rounds(members.join(large, "family", "left_semi"), limit, rarity))
     return store, cut(rows.join(solved, "id", "left").select("block", "row", "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "id")).alias("label")))
 
 

@@ -300,6 +300,26 @@ def test_long_lists_are_chained(spark, monkeypatch):
     assert _counts(ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()) == want
 
 
+def test_large_families_make_no_pairs_within_linked_groups(spark, monkeypatch):
+    base = [f"q{k}" for k in range(120)]
+    rows = [(k, " ".join(base[: 110 + k % 10] + [f"z{k}"]), "s") for k in range(120)]
+    rows += [(500 + k, " ".join(base[:60] + [f"y{k}x{j}" for j in range(50)]), "s") for k in range(3)]
+    verified, verify = [], ngram_join._verified
+
+    def counted(members, pairs, limit):
+        verified.append(pairs.count())
+        return verify(members, pairs, limit)
+
+    monkeypatch.setattr(ngram_join, "_verified", counted)
+    want, _ = _brute_components(rows, 4, (85, 100))
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert _counts(ngram_join.join(d, family=2).collect()) == want
+    assert 119 <= sum(verified) < 1000  # 7,140 pairs of near copies
+    monkeypatch.setattr(ngram_join, "FAMILY_SHINGLES", 100)  # sets are bounded by their bytes too
+    verified.clear()
+    assert _counts(ngram_join.join(d).collect()) == want and verified
+
+
 def test_shards(docs, rows, none):
     got = sharding.query(docs).collect()
     assert len(got) == len(rows)
