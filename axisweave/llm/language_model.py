@@ -1,17 +1,13 @@
-"""Language-model scores from a weighted backoff automaton.
-
-The model is a bigram model with Dirichlet smoothing over an add-one unigram model. Its
-automaton has a root, a state for each context word and one for the start. From a state
-an arc leads to every word seen behind it with the weight log P(word | context); a failure
-arc of weight log(m / (c + m)) leads to the root, whose arcs are the words of the vocabulary
-(any other word has the weight of a count of 0). A text is one walk from the start to its end
-that adds up weights.
-
-The automaton of a corpus is as large as its distinct bigrams, so no task holds all of it. Texts
-lie in blocks; each block asks for the counts of exactly the states and arcs that its texts can
-reach, the counts of all blocks are added up by ranges of the key space, and the sums go back to
-the blocks, which build their part of the automaton and walk it. Counts cover all training
-documents; nothing is pruned.
+"""Language-model scores of a bigram model, by a closed formula.
+
+The model is a bigram model with Dirichlet smoothing over an add-one unigram model: a word costs
+log((pair + m P(word)) / (context + m)). No automaton is built or traversed, and the order is fixed; the
+scores are those that a walk through the model's weighted backoff automaton would add up.
+
+No task holds the counts of all bigrams. Texts lie in blocks; each block asks for the counts of exactly
+the words and pairs of its texts, the counts of all blocks are added up by ranges of the key space, and
+the sums go back to the blocks, which score their texts. Counts cover all training documents; nothing
+is pruned.
 
 Keys are 63-bit hashes of words and of word pairs.
 
