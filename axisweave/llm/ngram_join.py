@@ -1,9 +1,9 @@
-"""N-gram Jaccard join by grouped prefixes.
+"""N-gram Jaccard join by prefixes of groups of identical sets.
 
 A document is its set of word shingles. All sets are ordered alike, rare shingles first (a
 fixed table of counts by hash gives rarity), so two sets that are similar enough share a
-shingle among the first few of each: the prefix. Documents with the same set form one
-group; groups that share a prefix shingle and pass the length and positional filters are
+shingle among the first few of each: the prefix. Documents with the same set (not those of the same
+prefix and size) form one group; groups that share a prefix shingle and pass the length and positional filters are
 candidates. Candidates hang together in families; a family's sets are brought together once,
 members are verified against each other, and verified links are expanded to components.
 A pair is only verified if its ends are not linked yet, so a group of copies costs as many
