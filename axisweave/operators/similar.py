@@ -66,9 +66,9 @@ def _bound(name: str, x) -> None:
     if x is None:
         return
     if isinstance(x, bool) or not isinstance(x, (int, dict)):
-        raise ValueError(f"{name} must be integer or dict")
+        raise ValueError(f"expected an int or a dict of ints as {name}, not {type(x).__name__}")
     if any(v < 0 for v in (x.values() if isinstance(x, dict) else [x])):
-        raise ValueError(f"{name} must be positive or 0")
+        raise ValueError(f"{name} may not go below 0")
 
 
 def _limit(m: Matrix, d: DataFrame, x, name: str) -> DataFrame:
