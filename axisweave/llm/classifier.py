@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axisweave.llm.common import LOWER, arrow
+from axisweave.llm.common import LOWER, bounded, written
 
 #: At most this many labelled documents are learnt from: the bound of the fit and of the broadcast.
 SAMPLE = 6000
@@ -117,7 +117,6 @@ def train(docs: DataFrame, labels: DataFrame) -> dict | None:
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
     spark = docs.sparkSession
-    arrow(spark)
     model = spark.sparkContext.broadcast(train(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,4 +126,5 @@ def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     slim = docs.select("doc_id", held_out().alias("held_out"), "text")
-    return slim.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, score double, predicted int")
+    with bounded(spark):
+        return written(slim.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, score double, predicted int"), "scores")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axisweave.functions.checkpoints import cut as cut
+from axisweave.functions.checkpoints import written as written
 
 #: White space of the contracts, as Java and Python regex classes.
 WS = r"[\x20\x09-\x0D]+"
@@ -21,10 +25,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow(spark: SparkSession) -> None:
-    """Bounds an Arrow batch by rows and by bytes, so very long texts don't pile up."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+@contextmanager
+def bounded(spark: SparkSession) -> Iterator[None]:
+    """Within it, an Arrow batch of a job is bounded by rows and by bytes (one row at least), so very long texts don't pile up; the session's options come back after that."""
+    ours = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    before = {k: spark.conf.get(k, None) for k in ours}
+    for k, v in ours.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def n_words(text: Column) -> Column:
@@ -92,7 +104,6 @@ def blocks(docs: DataFrame, *columns: str) -> DataFrame:
     A block is named by its task and its place there; 24 bits stay free for the number of a row. As the blocks are written once and read from the
     checkpoint after that, a name stands for the same rows whichever executor is lost later.
     """
-    arrow(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
@@ -113,7 +124,8 @@ def blocks(docs: DataFrame, *columns: str) -> DataFrame:
                     name += 1 << 24
                 low = high
 
-    return cut(docs.select(*columns).mapInArrow(run, BLOCK))
+    with bounded(docs.sparkSession):
+        return cut(docs.select(*columns).mapInArrow(run, BLOCK))
 
 
 def opened(blob: bytes):

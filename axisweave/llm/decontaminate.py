@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axisweave.llm.common import arrow, cut
+from axisweave.llm.common import bounded, cut, written
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -154,7 +154,6 @@ def _blocks(bench: DataFrame):
 def search(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """docs (with a string column text) and the state columns: hit spans, items and the number of words."""
     spark, first = docs.sparkSession, True
-    arrow(spark)
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     for tests in _blocks(bench):
         docs = docs if first else cut(docs)
@@ -182,13 +181,13 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def query(docs: DataFrame, bench: DataFrame) -> DataFrame:
     found = search(docs.select("doc_id", "text"), bench)
     kind = dict(docs.dtypes)["doc_id"]
-    return found.mapInArrow(_digest, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    with bounded(docs.sparkSession):
+        return written(found.mapInArrow(_digest, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"), "hits")
 
 
 def matches(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """The longest verbatim matches: doc_id, item_id, first words in document and item, number of words."""
     spark = docs.sparkSession
-    arrow(spark)
 
     def run_of(tests):
         def run(batches):

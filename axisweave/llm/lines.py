@@ -1,135 +1,180 @@
-"""Line deduplication by an exact set-similarity join, in DataFrame functions only.
+"""Line deduplication by an exact set-similarity join.
 
-A line is its set of words, unchanged. Words are ordered by rarity, which is a table
-of counts by hash; a line's prefix is so many of its rarest words that a similar line must
-share one of them. Lines that do and pass the length, positional and bitmap filters (the bits in which
-two 64-bit sketches differ bound the words in which the lines do) are verified by their words, and of similar lines every one after the first is removed:
-a line goes if a line before it, by (doc_id, line number), has a Jaccard similarity of 0.8 or more.
+A line is its set of words, unchanged; lines with the same words are one class. Words are ordered by rarity (``setjoin.levels``),
+and a class posts its prefix: so many of its rarest words that a similar class must share one of them. Pairs that do and pass the length,
+positional and sketch filters are verified by all their words. A line is removed if a line before it, by (doc_id, line number), has the
+same words or a Jaccard similarity of 0.8 or more.
 
-Lines with the same words are one class from the start, so copies make no pairs. Lines of
-up to three words are only similar to their own class and are not joined.
+A class only needs one similar class before it. So where a word is in the prefixes of very many classes, each of them is
+first verified against the earliest of these (``setjoin.leaders``); classes that are removed by that make no pairs among each other.
 
-Edge cases. Null texts have no lines; lines without a word are never removed and not counted. Of
-rows with equal doc_id no line is before its equal number in the other. A null doc_id comes after
-all others. Equal rows give equal results, one a row. Empty input gives no rows; other columns are
-ignored. Words are compared by hash (a class by two of 64 bits, a word in a pair by 48 and its rarity).
+No text is moved. It is read three times: for the counts, for the prefixes, and for the words of lines in a pair.
+
+Lines of up to three words are only similar to their own class and are not joined.
+
+Edge cases. Null texts have no lines; lines without a word are never removed and not counted. Of rows with equal doc_id no line is before
+its equal number in the other. A null doc_id comes after all others. doc_id may be of any type that can be ordered. Equal rows give equal
+results, one a row; rows of equal doc_id and different text are judged by themselves. Empty input gives no rows. Other columns, whatever
+their names, are ignored by ``query`` and kept by ``remove_lines``. A line of any length is one set (a batch holds 12 MB of text, or one text).
+Words are compared by 48 bits (rarity and hash), classes by 128 bits, and pairs of classes name them by 64 bits.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from axisweave.llm.common import WORD, WS, cut
+from axisweave.functions.checkpoints import written
+from axisweave.llm import setjoin
+from axisweave.llm.common import bounded, mix64, text_bytes
 
 LIMIT = (80, 100)
-#: Places of the table of counts.
-PLACES = 1 << 20
-#: Classes of more lines than this send their words from their first line only.
-COPIES = 100
-#: Rows up to this number are broadcast (under 50 bytes each); more are joined by a shuffle.
-FEW = 500_000
-
-
-def _words(line: Column) -> Column:
-    return F.array_remove(F.split(line, WS), "")
-
-
-def _rarity(docs: DataFrame) -> Column:
-    """The table as one array: an eighth of a power of two of the count at each place. PLACES values, whatever the corpus."""
-    word = docs.select(F.explode(_words(F.coalesce("text", F.lit("")))).alias("w"))
-    counts = word.select(F.pmod(F.xxhash64("w"), F.lit(PLACES)).alias("place")).groupBy("place").count()
-    level = F.floor(8 * F.log2(1 + F.coalesce("count", F.lit(0)))).cast("int")
-    every = docs.sparkSession.range(PLACES).withColumnRenamed("id", "place").join(counts, "place", "left").select("place", level.alias("level"))
-    chunk = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "level"))), lambda x: x["level"]), ",")
-    rows = every.groupBy(F.floor(F.col("place") / 1024).alias("chunk")).agg(chunk.alias("x")).orderBy("chunk").collect()
-    # one constant, folded before the plan runs
-    return F.split(F.lit(",".join(r["x"] for r in rows)), ",").cast("array<int>")
-
-
-def _tokens(words: Column, rarity: Column) -> Column:
-    """Distinct words as longs that sort by rarity: the rarity before 48 bits of the hash."""
-
-    def one(w):
-        h = F.xxhash64(w)
-        return F.shiftleft(F.get(rarity, F.pmod(h, F.lit(PLACES)).cast("int")).cast("long"), 48).bitwiseOR(F.shiftrightunsigned(h, 16))
-
-    return F.sort_array(F.array_distinct(F.transform(words, one)))
-
-
-def _keyed(docs: DataFrame, rarity: Column) -> DataFrame:
-    """One row a line that has a word: digest of its row, doc_id, line, class (k1, k2), n words, bits (its sketch), head (its prefix). Written once."""
-    d = docs.select(_row().alias("row"), "doc_id", F.split("text", "\n").alias("text"))
-    d = d.select("row", "doc_id", F.posexplode("text").alias("line", "text")).filter(F.col("text").rlike(WORD))
-    d = d.select("row", "doc_id", "line", _tokens(_words(F.col("text")), rarity).alias("tokens"))
-    n = F.size("tokens")
-    keep = n - F.ceil(n.cast("long") * LIMIT[0] / LIMIT[1]).cast("int") + 1
-    head = F.when(n > 3, F.slice("tokens", F.lit(1), keep))
-    bits = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
-    return cut(d.select("row", "doc_id", "line", F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(7), "tokens").alias("k2"), n.alias("n"), bits.alias("bits"), head.alias("head")))
+ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _split(texts: pa.Array, wanted=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of all lines that have one; per line its words, row and number. wanted(row, lines) says which lines of a row to take."""
+    from xxhash import xxh3_64_intdigest
+
+    parts, sizes, rows, numbers = [np.zeros(0, np.uint64)], [], [], []
+    for k, text in enumerate(texts):
+        if not text.is_valid:
+            continue
+        held = text.as_py().encode("utf-8", "surrogatepass").split(b"\n")
+        own: list[bytes] = []
+        for at in range(len(held)) if wanted is None else wanted(k, len(held)):
+            words = held[at].split()
+            if words:
+                own += words
+                sizes.append(len(words))
+                rows.append(k)
+                numbers.append(at)
+        parts.append(np.fromiter(map(xxh3_64_intdigest, own), np.uint64, len(own)))
+    return np.concatenate(parts), *(np.array(x, np.int64) for x in (sizes, rows, numbers))
 
 
 def _row() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def _place() -> Column:
-    return F.struct(F.isnull("doc_id").alias("null"), "doc_id", "line", "row")
-
-
-def first_matches(docs: DataFrame, lines: DataFrame, rarity: Column) -> DataFrame:
-    """Per class of lines: k1, k2, and the place of the first line that is similar to it (itself included)."""
-    classes = cut(lines.groupBy("k1", "k2").agg(F.min(_place()).alias("place"), F.count("*").alias("copies")))
-    copied = cut(classes.filter(F.col("copies") > COPIES).select("k1", "k2", F.col("place.row").alias("r"), F.col("place.line").alias("l")))
-    once = lines.join(F.broadcast(copied) if copied.count() <= FEW else copied, ["k1", "k2"], "left").filter("r is null or (row = r and line = l)")
-    # one exchange by word serves both the removal of copies and the join
-    heads = once.select("k1", "n", "bits", F.posexplode("head").alias("at", "token"))
-    heads = heads.select("token", "k1", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("x"), "bits")
-    heads = heads.repartition("token").groupBy("token", "k1", "x", "bits").agg(F.lit(1).alias("one"))
-    size, at = (lambda k: F.shiftright(F.col(f"{k}.x"), 32)), (lambda k: F.col(f"{k}.x").bitwiseAND(F.lit(0xFFFFFFFF)))
-    x, y = heads.alias("x"), heads.alias("y")
-    first = (size("x") < size("y")) | ((size("x") == size("y")) & (F.col("x.k1") < F.col("y.k1")))
-    near = size("x") * LIMIT[1] >= size("y") * LIMIT[0]
-    differ = F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits")))
-    alike = differ * (LIMIT[0] + LIMIT[1]) <= (size("x") + size("y")) * (LIMIT[1] - LIMIT[0])
-    fits = F.least(size("x") - at("x"), size("y") - at("y")) * (LIMIT[0] + LIMIT[1]) >= (size("x") + size("y")) * LIMIT[0]
-    pairs = cut(x.join(y, (F.col("x.token") == F.col("y.token")) & first & near & fits & alike).select(F.col("x.k1").alias("a"), F.col("y.k1").alias("b")).distinct())
-    # the words of the first line of each class that is in a pair, from the documents that hold one
-    wanted = pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct()
-    homes = cut(wanted.join(classes, "k1").select("k1", "k2", F.col("place.row").alias("row"), F.col("place.line").alias("line")).groupBy("row").agg(F.collect_list(F.struct("line", "k1", "k2")).alias("want")))
-    numbered = docs.select(_row().alias("row"), F.split("text", "\n").alias("text"))
-    held = numbered.join(F.broadcast(homes) if homes.count() <= FEW // 10 else homes, "row").select(F.explode(F.transform("want", lambda w: F.struct(w["k1"].alias("k1"), w["k2"].alias("k2"), F.get("text", w["line"]).alias("text")))).alias("w")).select("w.*")
-    words = cut(held.select("k1", "k2", _tokens(_words(F.col("text")), rarity).alias("words")).dropDuplicates(["k1", "k2"]))
-    a, b = (words.select(F.col("k1").alias(k), F.struct("k1", "k2").alias(f"key_{k}"), F.col("words").alias(f"words_{k}")) for k in "ab")
-    both = pairs.join(a, "a").join(b, "b")
-    shared, n_a, n_b = (F.size(x).cast("long") for x in (F.array_intersect("words_a", "words_b"), "words_a", "words_b"))
-    alike = both.filter(shared * (LIMIT[0] + LIMIT[1]) >= (n_a + n_b) * LIMIT[0])
-    links = alike.select(F.col("key_a").alias("one"), F.col("key_b").alias("other")).unionByName(alike.select(F.col("key_b").alias("one"), F.col("key_a").alias("other")))
-    seen = links.join(classes.select(F.struct("k1", "k2").alias("other"), "place"), "other").select("one.k1", "one.k2", "place")
-    least = seen.unionByName(classes.select("k1", "k2", "place")).groupBy("k1", "k2").agg(F.min("place").alias("first"))
-    return least.select("k1", "k2", F.struct("first.null", "first.doc_id", "first.line").alias("first"))
+def _lines(docs: DataFrame, table) -> DataFrame:
+    """One row a line that has a word: row, doc_id, line, class (k1, k2), and the class's head where the line is its first in a batch; one row a document with line -1 and its number of lines."""
+    kind = docs.schema["doc_id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, sizes, rows, numbers = _split(batch.column("text"))
+            _, n, k1, k2, bits, (token, held, first) = setjoin.sets_of(setjoin.tokens(hashes, table.value), sizes, LIMIT)
+            lead = np.zeros(len(n), bool)
+            lead[np.unique(np.stack([k1, k2], 1), axis=0, return_index=True)[1]] = True
+            lead &= n > 3
+            token, held = token[np.repeat(lead, held)], np.where(lead, held, 0)
+            none = pa.array(~lead)
+            heads = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(held)), pa.int32()), pa.array(token.view(np.int64)))
+            ids, docs_ = (batch.column(c) for c in ("row", "doc_id"))
+            at = pa.array(rows)
+            columns = [ids.take(at), docs_.take(at), pa.array(numbers, pa.int32()), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(n, pa.int32()), pa.array(bits.view(np.int64)), pa.array(first, pa.int32())]
+            names = ["row", "doc_id", "line", "k1", "k2", "n", "bits", "first"]
+            yield pa.RecordBatch.from_arrays([*columns, heads], [*names, "head"])
+            each, empty = np.bincount(rows, minlength=batch.num_rows), batch.num_rows
+            columns = [ids, docs_, pa.array(np.full(empty, -1), pa.int32()), pa.nulls(empty, pa.int64()), pa.nulls(empty, pa.int64()), pa.array(each, pa.int32()), pa.nulls(empty, pa.int64()), pa.nulls(empty, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(empty, pa.list_(pa.int64()))], [*names, "head"])
+
+    to_arrow_type(kind)  # a type that Arrow lacks fails here
+    source = docs.select(_row().alias("row"), "doc_id", "text")
+    return written(source.mapInArrow(run, f"row long, doc_id {kind.simpleString()}, line int, k1 long, k2 long, n int, bits long, first int, head array<long>"), "lines")
+
+
+def _place(prefix: str = "") -> Column:
+    return F.struct(F.isnull(f"{prefix}doc_id").alias("null"), F.col(f"{prefix}doc_id").alias("doc_id"), F.col(f"{prefix}line").alias("line"))
+
+
+def _key(row: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return mix64(row.view(np.uint64) + line.astype(np.uint64) * ODD)
+
+
+def _words(docs: DataFrame, homes: DataFrame, table) -> DataFrame:
+    """(id, blob): the words of the lines (row, line) of homes, and of a few others whose place in a table by hash is the same."""
+    spark = docs.sparkSession
+    size = min(setjoin.MOST, max(setjoin.LEAST, 1 << (8 * homes.count()).bit_length()))
+    of = lambda b: _key(b.column("row").to_numpy(), b.column("line").to_numpy())
+    held = spark.sparkContext.broadcast(setjoin.levels(homes.select("row", "line"), of, size) > 0)
+    shift = np.uint64(64 - (size.bit_length() - 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column("row").to_numpy()
+            wanted = lambda k, n: np.flatnonzero(held.value[(_key(np.full(n, rows[k]), np.arange(n)) >> shift).astype(np.int64)])
+            hashes, sizes, *_ = _split(batch.column("text"), wanted)
+            token, n, k1, *_ = setjoin.sets_of(setjoin.tokens(hashes, table.value), sizes, LIMIT)
+            yield pa.RecordBatch.from_arrays([pa.array(k1.view(np.int64)), setjoin.packed(token, n)], ["id", "blob"])
+
+    return docs.select(_row().alias("row"), "text").mapInArrow(run, "id long, blob binary").dropDuplicates(["id"])
+
+
+def _late(pairs: DataFrame, classes: DataFrame, docs: DataFrame, table) -> DataFrame:
+    """(id): the classes that have a similar one before them, among pairs (a, b)."""
+    a, b = (classes.select(F.col("id").alias(k), F.col("place").alias(f"place_{k}")) for k in "ab")
+    two = pairs.join(a, "a").join(b, "b")
+    at = {k: F.struct(*[F.col(f"place_{k}.{x}") for x in ("null", "doc_id", "line")]) for k in "ab"}
+    two = written(two.filter(at["a"] != at["b"]).withColumn("swap", at["b"] < at["a"]), "pairs")
+    homes = two.select(F.explode(F.array("place_a", "place_b")).alias("p")).select("p.row", "p.line").distinct()
+    ordered = two.select(F.when(F.col("swap"), F.col("b")).otherwise(F.col("a")).alias("a"), F.when(F.col("swap"), F.col("a")).otherwise(F.col("b")).alias("b"))
+    return setjoin.verified(ordered, written(_words(docs, homes, table), "words"), LIMIT).select(F.col("b").alias("id")).distinct()
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, n_lines, times, n_removed, removed): one row for equal rows."""
+    spark = docs.sparkSession
+    docs = docs.select("doc_id", "text")
+    size = setjoin.places(text_bytes(docs))
+    table = spark.sparkContext.broadcast(setjoin.levels(docs.select("text"), lambda b: _split(b.column("text"))[0], size))
+    lines = _lines(docs, table)
+    place = F.struct(F.isnull("doc_id").alias("null"), "doc_id", "line", "row")
+    held = lines.filter("line >= 0").groupBy("k1", "k2").agg(F.min(place).alias("place"), *[F.first(c, ignorenulls=True).alias(c) for c in ("n", "bits", "first", "head")])
+    classes = written(held.withColumnRenamed("k1", "id"), "classes")
+    heads = classes.filter("n > 3").withColumn("null", F.col("place.null"))
+    late = None
+    first = setjoin.leaders(heads, [F.col("place.null").alias("null"), F.col("place.doc_id").alias("doc_id"), F.col("place.line").alias("line")], LIMIT)
+    if first is not None:
+        late = written(_late(first, classes, docs, table), "late")
+        heads = heads.join(late.withColumn("label", F.lit(0).cast("long")), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    else:
+        heads = heads.withColumn("label", F.col("id"))
+    more = _late(setjoin.candidates(heads, LIMIT), classes, docs, table)
+    late = more if late is None else late.unionByName(more).distinct()
+    gone = classes.select(F.col("id").alias("k1"), "k2", "place").join(late.select(F.col("id").alias("k1"), F.lit(True).alias("late")), "k1", "left")
+    own = F.struct("place.null", "place.doc_id", "place.line")
+    out = lines.filter("line >= 0").select("row", "doc_id", "line", "k1", "k2").join(gone, ["k1", "k2"]).filter(F.col("late") | (own < _place()))
+    removed = out.select("row", "doc_id", "line").distinct().groupBy("row", "doc_id").agg(F.sort_array(F.collect_list("line")).alias("removed"))
+    every = lines.filter("line < 0").groupBy("row", "doc_id").agg(F.first("n").alias("n_lines"), F.count("*").alias("times")).alias("e")
+    r = removed.alias("r")
+    both = every.join(r, (F.col("e.row") == F.col("r.row")) & F.col("e.doc_id").eqNullSafe(F.col("r.doc_id")), "left")
+    return both.select("e.*", F.coalesce("r.removed", F.array().cast("array<int>")).alias("removed"))
 
 
 def query(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_lines (those with a word), n_removed, and the numbers of the removed lines."""
-    rarity = _rarity(docs)
-    lines = _keyed(docs, rarity)
-    first = cut(first_matches(docs, lines, rarity))
-    place = F.struct(F.isnull("doc_id").alias("null"), "doc_id", "line")
-    judged = lines.join(first, ["k1", "k2"]).groupBy("row", "doc_id", "line").agg(F.max(F.col("first") < place).alias("removed"))
-    # documents without lines come along as rows without a line; equal rows are one until the end
-    every = docs.select(_row().alias("row"), "doc_id").groupBy("row", "doc_id").agg(F.count("*").alias("times"))
-    both = judged.withColumn("times", F.lit(0).cast("long")).unionByName(every.withColumns({"line": F.lit(None).cast("int"), "removed": F.lit(False)}))
-    gone = F.array_join(F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("line")))).cast("array<string>"), ",")
-    out = both.groupBy("row", "doc_id").agg(F.count("line").alias("n_lines"), F.count(F.when(F.col("removed"), 1)).alias("n_removed"), gone.alias("removed_lines"), F.sum("times").alias("times"))
-    return out.select("doc_id", "n_lines", "n_removed", "removed_lines", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("nth")).drop("nth")
+    with bounded(docs.sparkSession):
+        out = written(_judged(docs), "judged")
+    out = out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed_lines"), F.explode(F.sequence(F.lit(1), F.col("times"))).alias("nth"))
+    return out.drop("nth")
 
 
 def remove_lines(docs: DataFrame) -> DataFrame:
-    """The documents without their removed lines, all columns kept; doc_id must be unique and not null here."""
-    gone = query(docs).filter("n_removed > 0").select(F.col("doc_id").alias("__id"), F.split("removed_lines", ",").alias("__gone"))
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.coalesce(F.array_contains("__gone", i.cast("string")), F.lit(False))), "\n")
-    return docs.join(gone, F.col("doc_id") == F.col("__id"), "left").withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents without their removed lines, all columns kept; rows of equal doc_id and null ones too."""
+    with bounded(docs.sparkSession):
+        gone = written(_judged(docs).filter(F.size("removed") > 0).select("row", "doc_id", "removed"), "removed").alias("g")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")).withColumn("row", F.xxhash64("whole.doc_id", "whole.text")).alias("d")
+    both = whole.join(gone, (F.col("d.row") == F.col("g.row")) & F.col("d.whole.doc_id").eqNullSafe(F.col("g.doc_id")), "left")
+    left = F.array_join(F.filter(F.split("d.whole.text", "\n"), lambda x, i: ~F.array_contains("g.removed", i)), "\n")
+    text = F.when(F.col("g.removed").isNull(), F.col("d.whole.text")).otherwise(left)
+    return both.select(*[text.alias(c) if c == "text" else F.col(f"d.whole.`{c}`").alias(c) for c in docs.columns])
 
 
 #: All pairs of classes that share a word and whose sizes are near, with their shared words counted.

@@ -21,7 +21,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axisweave.llm.common import arrow
 
 RULES_VERSION = "2"
 #: Kind, pattern, group whose length counts, least length. The first three are the base, the others the method's own.
@@ -73,7 +72,6 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
     known is the findings table of earlier scans: it is the ledger too, as a blob without secrets has a row with none.
     """
-    arrow(docs.sparkSession)
     new = blobs(docs)
     if known is not None:
         new = new.join(known.filter(F.col("rules") == RULES_VERSION).select("blob"), "blob", "left_anti")
