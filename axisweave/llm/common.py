@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,17 +138,77 @@ def opened(blob: bytes):
         return stream.read_next_batch()
 
 
-def hashed_words(texts, fold: bytes | None = LOWER) -> tuple[np.ndarray, np.ndarray]:
+#: A random value for every byte, and the odd base whose powers tell the places of a word's bytes apart.
+VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+BASE = 0x9E3779B97F4A7C15
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Bytes of text that are hashed at a time.
+PIECE = 1 << 20
+
+
+@cache
+def _powers(base: int) -> np.ndarray:
+    return np.cumprod(np.concatenate(([np.uint64(1)], np.full(PIECE, base, np.uint64))))
+
+
+def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, one behind the other, and where each begins (and the last ends); a null is empty."""
+    column = texts.cast(pa.large_binary()).fill_null(b"")
+    ends = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
+    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
+    return data[ends[0] : ends[-1]], ends - ends[0]
+
+
+def pieces(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about most bytes of their column text, or one row."""
+    for batch in batches:
+        _, ends = raw(batch.column("text"))
+        cuts = np.flatnonzero(np.diff(ends[:-1] // most, prepend=-1)).tolist() if batch.num_rows else []
+        for low, high in zip(cuts, [*cuts[1:], batch.num_rows]):
+            yield batch.slice(low, high - low)
+
+
+def word_spans(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte, and byte behind the last, of every word of the texts."""
+    inside = np.zeros(len(data) + 1, bool)
+    np.logical_not(SPACE[data], out=inside[:-1])
+    first, last = inside[:-1].copy(), inside[:-1].copy()
+    first[1:] &= ~inside[:-2]
+    last &= ~inside[1:]
+    edge = ends[(ends > 0) & (ends < len(data))]  # words don't go on from one text to the next
+    first[edge] = inside[edge]
+    last[edge - 1] = inside[edge - 1]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def hashed_spans(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """64-bit hashes of stretches of data that come one behind the other."""
+    out = np.empty(len(start), np.uint64)
+    up, down = _powers(BASE), _powers(pow(BASE, -1, 2**64))
+    low = 0
+    while low < len(start):
+        a = int(start[low])
+        high = max(low + 1, int(np.searchsorted(stop, a + PIECE, "right")))
+        if high == low + 1 and stop[low] - a > PIECE:  # one stretch longer than a piece: the hashes of its pieces, hashed
+            own = data[a : stop[low]]
+            cuts = np.append(np.arange(0, len(own), PIECE), len(own))
+            out[low] = (mix64(hashed_spans(own, cuts[:-1], cuts[1:])) * np.arange(1, 2 * len(cuts) - 1, 2, dtype=np.uint64)).sum()
+        else:
+            sums = np.zeros(int(stop[high - 1]) - a + 1, np.uint64)
+            np.cumsum(VALUES[data[a : stop[high - 1]]] * up[: len(sums) - 1], out=sums[1:])
+            x, y = start[low:high] - a, stop[low:high] - a
+            out[low:high] = (sums[y] - sums[x]) * down[x] + (y - x).astype(np.uint64)
+        low = high
+    return mix64(out)
+
+
+def hashed_words(texts: pa.Array, fold: bytes | None = LOWER) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts, one behind the other, and the number of words of each text."""
-    from xxhash import xxh3_64_intdigest
-
-    parts, sizes = [], []
-    for text in texts:
-        raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-        own = (raw.translate(fold) if fold else raw).split()
-        parts.append(np.fromiter(map(xxh3_64_intdigest, own), np.uint64, len(own)))
-        sizes.append(len(own))
-    return np.concatenate([np.zeros(0, np.uint64), *parts]), np.array(sizes, np.int64)
+    data, ends = raw(texts)
+    if fold:
+        data = np.frombuffer(fold, np.uint8)[data]
+    start, stop = word_spans(data, ends)
+    return hashed_spans(data, start, stop), np.diff(np.searchsorted(start, ends)).astype(np.int64)
 
 
 def by_range(keys: np.ndarray, parts: int) -> np.ndarray:

@@ -31,31 +31,27 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from axisweave.functions.checkpoints import written
 from axisweave.llm import setjoin
-from axisweave.llm.common import bounded, mix64, text_bytes
+from axisweave.llm.common import bounded, hashed_spans, hashed_words, mix64, pieces, raw, text_bytes, word_spans
 
 LIMIT = (80, 100)
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _split(texts: pa.Array, wanted=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the words of all lines that have one; per line its words, row and number. wanted(row, lines) says which lines of a row to take."""
-    from xxhash import xxh3_64_intdigest
-
-    parts, sizes, rows, numbers = [np.zeros(0, np.uint64)], [], [], []
-    for k, text in enumerate(texts):
-        if not text.is_valid:
-            continue
-        held = text.as_py().encode("utf-8", "surrogatepass").split(b"\n")
-        own: list[bytes] = []
-        for at in range(len(held)) if wanted is None else wanted(k, len(held)):
-            words = held[at].split()
-            if words:
-                own += words
-                sizes.append(len(words))
-                rows.append(k)
-                numbers.append(at)
-        parts.append(np.fromiter(map(xxh3_64_intdigest, own), np.uint64, len(own)))
-    return np.concatenate(parts), *(np.array(x, np.int64) for x in (sizes, rows, numbers))
+    """Hashes of the words of all lines that have one; per line its words, row and number. wanted(rows, lines) says which lines to take."""
+    data, ends = raw(texts)
+    start, stop = word_spans(data, ends)
+    breaks = np.concatenate(([0], np.cumsum(data == 10, dtype=np.int64)))
+    row = np.repeat(np.arange(len(ends) - 1), np.diff(np.searchsorted(start, ends)))
+    line = breaks[start] - breaks[ends[row]]
+    new = np.ones(len(start), bool)
+    new[1:] = (row[1:] != row[:-1]) | (line[1:] != line[:-1])
+    rows, lines, sizes = row[new], line[new], np.diff(np.append(np.flatnonzero(new), len(start)))
+    if wanted is not None:
+        take = wanted(rows, lines)
+        held = np.repeat(take, sizes)
+        start, stop, rows, lines, sizes = start[held], stop[held], rows[take], lines[take], sizes[take]
+    return hashed_spans(data, start, stop), sizes, rows, lines
 
 
 def _row() -> Column:
@@ -67,9 +63,9 @@ def _lines(docs: DataFrame, table) -> DataFrame:
     kind = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             hashes, sizes, rows, numbers = _split(batch.column("text"))
-            _, n, k1, k2, bits, (token, held, first) = setjoin.sets_of(setjoin.tokens(hashes, table.value), sizes, LIMIT)
+            _, n, k1, k2, bits, bits2, (token, held, first) = setjoin.sets_of(setjoin.tokens(hashes, table.value), sizes, LIMIT)
             lead = np.zeros(len(n), bool)
             lead[np.unique(np.stack([k1, k2], 1), axis=0, return_index=True)[1]] = True
             lead &= n > 3
@@ -78,16 +74,16 @@ def _lines(docs: DataFrame, table) -> DataFrame:
             heads = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(held)), pa.int32()), pa.array(token.view(np.int64)))
             ids, docs_ = (batch.column(c) for c in ("row", "doc_id"))
             at = pa.array(rows)
-            columns = [ids.take(at), docs_.take(at), pa.array(numbers, pa.int32()), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(n, pa.int32()), pa.array(bits.view(np.int64)), pa.array(first, pa.int32())]
-            names = ["row", "doc_id", "line", "k1", "k2", "n", "bits", "first"]
+            columns = [ids.take(at), docs_.take(at), pa.array(numbers, pa.int32()), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(n, pa.int32()), pa.array(bits.view(np.int64)), pa.array(bits2.view(np.int64)), pa.array(first, pa.int32())]
+            names = ["row", "doc_id", "line", "k1", "k2", "n", "bits", "bits2", "first"]
             yield pa.RecordBatch.from_arrays([*columns, heads], [*names, "head"])
             each, empty = np.bincount(rows, minlength=batch.num_rows), batch.num_rows
-            columns = [ids, docs_, pa.array(np.full(empty, -1), pa.int32()), pa.nulls(empty, pa.int64()), pa.nulls(empty, pa.int64()), pa.array(each, pa.int32()), pa.nulls(empty, pa.int64()), pa.nulls(empty, pa.int32())]
+            columns = [ids, docs_, pa.array(np.full(empty, -1), pa.int32()), pa.nulls(empty, pa.int64()), pa.nulls(empty, pa.int64()), pa.array(each, pa.int32()), *[pa.nulls(empty, pa.int64())] * 2, pa.nulls(empty, pa.int32())]
             yield pa.RecordBatch.from_arrays([*columns, pa.nulls(empty, pa.list_(pa.int64()))], [*names, "head"])
 
     to_arrow_type(kind)  # a type that Arrow lacks fails here
     source = docs.select(_row().alias("row"), "doc_id", "text")
-    return written(source.mapInArrow(run, f"row long, doc_id {kind.simpleString()}, line int, k1 long, k2 long, n int, bits long, first int, head array<long>"), "lines")
+    return written(source.mapInArrow(run, f"row long, doc_id {kind.simpleString()}, line int, k1 long, k2 long, n int, bits long, bits2 long, first int, head array<long>"), "lines")
 
 
 def _place(prefix: str = "") -> Column:
@@ -103,16 +99,19 @@ def _words(docs: DataFrame, homes: DataFrame, table) -> DataFrame:
     spark = docs.sparkSession
     size = min(setjoin.MOST, max(setjoin.LEAST, 1 << (8 * homes.count()).bit_length()))
     of = lambda b: _key(b.column("row").to_numpy(), b.column("line").to_numpy())
-    held = spark.sparkContext.broadcast(setjoin.levels(homes.select("row", "line"), of, size) > 0)
+    places = homes.select("row", "line").union(homes.select("row", F.lit(-1)).distinct())  # line -1: any line of the row
+    held = spark.sparkContext.broadcast(setjoin.levels(places, of, size) > 0)
     shift = np.uint64(64 - (size.bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        at = lambda rows, line: held.value[(_key(rows, line) >> shift).astype(np.int64)]
+        for batch in pieces(batches):
             rows = batch.column("row").to_numpy()
-            wanted = lambda k, n: np.flatnonzero(held.value[(_key(np.full(n, rows[k]), np.arange(n)) >> shift).astype(np.int64)])
-            hashes, sizes, *_ = _split(batch.column("text"), wanted)
-            token, n, k1, *_ = setjoin.sets_of(setjoin.tokens(hashes, table.value), sizes, LIMIT)
-            yield pa.RecordBatch.from_arrays([pa.array(k1.view(np.int64)), setjoin.packed(token, n)], ["id", "blob"])
+            some = np.flatnonzero(at(rows, np.full(len(rows), -1)))
+            if len(some):
+                hashes, sizes, *_ = _split(batch.column("text").take(pa.array(some)), lambda k, line: at(rows[some[k]], line))
+                token, n, k1, *_ = setjoin.sets_of(setjoin.tokens(hashes, table.value), sizes, LIMIT)
+                yield pa.RecordBatch.from_arrays([pa.array(k1.view(np.int64)), setjoin.packed(token, n)], ["id", "blob"])
 
     return docs.select(_row().alias("row"), "text").mapInArrow(run, "id long, blob binary").dropDuplicates(["id"])
 
@@ -125,7 +124,7 @@ def _late(pairs: DataFrame, classes: DataFrame, docs: DataFrame, table) -> DataF
     two = written(two.filter(at["a"] != at["b"]).withColumn("swap", at["b"] < at["a"]), "pairs")
     homes = two.select(F.explode(F.array("place_a", "place_b")).alias("p")).select("p.row", "p.line").distinct()
     ordered = two.select(F.when(F.col("swap"), F.col("b")).otherwise(F.col("a")).alias("a"), F.when(F.col("swap"), F.col("a")).otherwise(F.col("b")).alias("b"))
-    return setjoin.verified(ordered, written(_words(docs, homes, table), "words"), LIMIT).select(F.col("b").alias("id")).distinct()
+    return setjoin.verified(ordered, _words(docs, homes, table), LIMIT).select(F.col("b").alias("id")).distinct()
 
 
 def _judged(docs: DataFrame) -> DataFrame:
@@ -133,10 +132,10 @@ def _judged(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     size = setjoin.places(text_bytes(docs))
-    table = spark.sparkContext.broadcast(setjoin.levels(docs.select("text"), lambda b: _split(b.column("text"))[0], size))
+    table = spark.sparkContext.broadcast(setjoin.levels(docs.select("text"), lambda b: hashed_words(b.column("text"), None)[0], size))
     lines = _lines(docs, table)
     place = F.struct(F.isnull("doc_id").alias("null"), "doc_id", "line", "row")
-    held = lines.filter("line >= 0").groupBy("k1", "k2").agg(F.min(place).alias("place"), *[F.first(c, ignorenulls=True).alias(c) for c in ("n", "bits", "first", "head")])
+    held = lines.filter("line >= 0").groupBy("k1", "k2").agg(F.min(place).alias("place"), *[F.first(c, ignorenulls=True).alias(c) for c in ("n", "bits", "bits2", "first", "head")])
     classes = written(held.withColumnRenamed("k1", "id"), "classes")
     heads = classes.filter("n > 3").withColumn("null", F.col("place.null"))
     late = None

@@ -28,7 +28,7 @@ from axisweave.llm.common import mix64, pack, pow2, steps, unpack
 #: Bytes of text a place of the table of counts, its least and most places, and places of one message.
 PER_PLACE, LEAST, MOST, CHUNK = 64, 1 << 16, 1 << 26, 1 << 16
 #: Heads of one token above which leaders come first, and posts that are packed or paired at a time.
-HOT, AT_ONCE = 1000, 4_000_000
+HOT, AT_ONCE = 256, 4_000_000
 SHIFT = np.uint64(40)
 
 
@@ -71,7 +71,7 @@ ONCE = np.uint64(8)
 
 
 def sets_of(token: np.ndarray, sizes: np.ndarray, limit) -> tuple:
-    """Of tokens, the sets one behind the other: sorted distinct tokens, sizes, two hashes of each set, its sketch, and the heads as (tokens, sizes, first places)."""
+    """Of tokens, the sets one behind the other: sorted distinct tokens, sizes, two hashes of each set, its sketch in two parts (parities of 128 sorts of tokens), and the heads as (tokens, sizes, first places)."""
     out = []
     low = 0
     while low < len(sizes):  # a set's number takes the 16 bits in front of a token
@@ -88,17 +88,19 @@ def sets_of(token: np.ndarray, sizes: np.ndarray, limit) -> tuple:
     start = np.cumsum(n) - n
     add = lambda x, f: np.where(n > 0, f.reduceat(np.append(x, x.dtype.type(0)), np.minimum(start, len(x)))[: len(n)] if len(n) else x[:0], x.dtype.type(0))
     k1, k2 = add(mix64(token + np.uint64(1)), np.add), add(mix64(token ^ np.uint64(0xA0761D6478BD642F)), np.add)
-    bits = add(np.uint64(1) << (token & np.uint64(63)), np.bitwise_or)
+    # each token flips one of 128 bits
+    flip, half = np.uint64(1) << (token & np.uint64(63)), token >> np.uint64(6) & np.uint64(1) == 0
+    bits, bits2 = (add(np.where(x, flip, np.uint64(0)), np.bitwise_xor) for x in (half, ~half))
     place = np.arange(len(token)) - start[owner]
     keep = n - -(-n * limit[0] // limit[1]) + 1
     inside = place < keep[owner]
     shared = inside & (token >> SHIFT > ONCE)
     held = np.bincount(owner[shared], minlength=len(n))
     first = np.minimum(keep, n) - held
-    return token, n, k1, k2, bits, (token[shared], held, first)
+    return token, n, k1, k2, bits, bits2, (token[shared], held, first)
 
 
-HEADS = "id long, n int, bits long, first int, head array<long>"
+HEADS = "id long, n int, bits long, bits2 long, first int, head array<long>"
 
 
 def leaders(heads: DataFrame, order: list[Column], limit) -> DataFrame | None:
@@ -132,7 +134,7 @@ def candidates(heads: DataFrame, limit) -> DataFrame:
             token = np.array(col["head"].flatten().to_numpy(zero_copy_only=False), np.uint64)
             each = lambda k, kind: np.repeat(np.array(col[k].to_numpy(zero_copy_only=False), kind), sizes)
             at = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + each("first", np.int64)
-            held.append((token, each("id", np.int64), each("label", np.int64), each("n", np.uint32), at.astype(np.uint32), each("bits", np.int64)))
+            held.append((token, each("id", np.int64), each("label", np.int64), each("n", np.uint32), at.astype(np.uint32), each("bits", np.int64), each("bits2", np.int64)))
             n_held += len(token)
             if n_held > AT_ONCE:
                 yield _sent(held, width)
@@ -143,9 +145,9 @@ def candidates(heads: DataFrame, limit) -> DataFrame:
     def pair(t: pa.Table) -> pa.Table:
         blobs = [unpack(x.as_py()) for x in t.column("blob")]
         token = np.concatenate([np.cumsum(b[0], dtype=np.uint64) for b in blobs])
-        who, label, n, at, bits = (np.concatenate([b[j] for b in blobs]) for j in range(1, 6))
+        who, label, n, at, bits, bits2 = (np.concatenate([b[j] for b in blobs]) for j in range(1, 7))
         order = np.lexsort((n, token))
-        token, who, label, n, at, bits = token[order], who[order], label[order] ^ who[order], n[order].astype(np.int64), at[order].astype(np.int64), bits[order].view(np.uint64)
+        token, who, label, n, at, bits, bits2 = token[order], who[order], label[order] ^ who[order], n[order].astype(np.int64), at[order].astype(np.int64), bits[order], bits2[order]
         group = np.cumsum(np.append(True, token[1:] != token[:-1])) - 1 if len(token) else token.astype(np.int64)
         # the partners of a set are those of its token behind it, as long as the limit lets them be
         wide = int(n.max(initial=0)) * limit[1] // limit[0] + 2
@@ -161,27 +163,29 @@ def candidates(heads: DataFrame, limit) -> DataFrame:
             a, b = a[ok], b[ok]
             both = n[a] + n[b]
             ok = np.minimum(n[a] - at[a], n[b] - at[b]) * (limit[0] + limit[1]) >= both * limit[0]
-            # the bits in which two sketches differ bound the tokens in which the sets do
-            ok &= np.bitwise_count(bits[a] ^ bits[b]) * np.int64(limit[0] + limit[1]) <= both * (limit[1] - limit[0])
+            # where the parities of two sketches differ there is a token that only one of the sets has
+            a, b, both = a[ok], b[ok], both[ok]
+            differ = np.bitwise_count(bits[a].view(np.uint64) ^ bits[b].view(np.uint64)).astype(np.int64) + np.bitwise_count(bits2[a].view(np.uint64) ^ bits2[b].view(np.uint64))
+            ok = differ * (limit[0] + limit[1]) <= both * (limit[1] - limit[0])
             a, b = who[a[ok]], who[b[ok]]
             out.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0))
             low = high
         pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *out]), axis=0)
         return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    sent = heads.select("id", "label", "n", "first", "bits", "head").filter(F.size("head") > 0).mapInArrow(send, "part int, blob binary")
+    sent = heads.select("id", "label", "n", "first", "bits", "bits2", "head").filter(F.size("head") > 0).mapInArrow(send, "part int, blob binary")
     return sent.groupBy("part").applyInArrow(pair, "a long, b long").distinct()
 
 
 def _sent(held: list[tuple], width: int) -> pa.RecordBatch:
     """Posts, packed by range of the tokens' hashes; labels as their difference from the ids, which is mostly none."""
-    token, who, label, n, at, bits = (np.concatenate(x) for x in zip(*held))
+    token, who, label, n, at, bits, bits2 = (np.concatenate(x) for x in zip(*held))
     spread = token & np.uint64((1 << 40) - 1)
     order = np.lexsort((token, spread // np.uint64(width)))
-    token, who, label, n, at, bits, spread = (x[order] for x in (token, who, label, n, at, bits, spread))
+    token, who, label, n, at, bits, bits2, spread = (x[order] for x in (token, who, label, n, at, bits, bits2, spread))
     part = (spread // np.uint64(width)).astype(np.int64)
     cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-    blobs = [pack(steps(token[a:b]), who[a:b], label[a:b] ^ who[a:b], n[a:b], at[a:b], bits[a:b]) for a, b in zip(cuts, np.append(cuts[1:], len(token)))]
+    blobs = [pack(steps(token[a:b]), who[a:b], label[a:b] ^ who[a:b], n[a:b], at[a:b], bits[a:b], bits2[a:b]) for a, b in zip(cuts, np.append(cuts[1:], len(token)))]
     return pa.RecordBatch.from_arrays([pa.array(part[cuts], pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
 
