@@ -16,7 +16,7 @@ Edge cases. Null texts have no lines; lines without a word are never removed and
 its equal number in the other. A null doc_id comes after all others. doc_id may be of any type that can be ordered. Equal rows give equal
 results, one a row; rows of equal doc_id and different text are judged by themselves. Empty input gives no rows. Other columns, whatever
 their names, are ignored by ``query`` and kept by ``remove_lines``. A line of any length is one set (a batch holds 12 MB of text, or one text).
-Words are compared by 48 bits (rarity and hash), classes by 128 bits, and pairs of classes name them by 64 bits.
+Words are compared by 56 bits (rarity and hash), classes by 128 bits, and pairs of classes name them by 64 bits.
 """
 
 from __future__ import annotations
@@ -139,7 +139,7 @@ def _judged(docs: DataFrame) -> DataFrame:
     classes = written(held.withColumnRenamed("k1", "id"), "classes")
     heads = classes.filter("n > 3").withColumn("null", F.col("place.null"))
     late = None
-    first = setjoin.leaders(heads, [F.col("place.null").alias("null"), F.col("place.doc_id").alias("doc_id"), F.col("place.line").alias("line")], LIMIT)
+    first = setjoin.leaders(heads, [F.col("place.null").alias("null"), F.col("place.doc_id").alias("doc_id"), F.col("place.line").alias("line")], LIMIT, setjoin.HOT)
     if first is not None:
         late = written(_late(first, classes, docs, table), "late")
         heads = heads.join(late.withColumn("label", F.lit(0).cast("long")), "id", "left").withColumn("label", F.coalesce("label", "id"))

@@ -1,372 +1,194 @@
-"""N-gram Jaccard join by prefixes of groups of identical sets.
-
-A document is its set of word shingles. All sets are ordered alike, rare shingles first (a
-fixed table of counts by hash gives rarity), so two sets that are similar enough share a
-shingle among the first few of each: the prefix. Documents with the same set (not those of the same
-prefix and size) form one group; groups that share a prefix shingle and pass the length and positional filters are
-candidates. Candidates hang together in families; a family's sets are brought together once,
-members are verified against each other, and verified links are expanded to components.
-A pair is only verified if its ends are not linked yet, so a group of copies costs as many
-checks as it has members.
-
-Families above ``FAMILY`` members or ``FAMILY_SHINGLES`` shingles are not gathered. They are resolved in rounds
-(``_rounds``): the members of a shingle are chained, pairs of neighbours that are not linked yet are joined with their sets and
-verified, and links merge labels. When a round merges nothing, or after ``ROUNDS``, all pairs of different labels that pass
-the filters are verified, so no pair within a linked group is ever made.
-
-Sets and shingles are 64-bit hashes.
-
-Edge cases. Null or empty texts have no shingles, no links, and are their own component. A
-text with fewer words than a shingle is one shingle of all its words. Equal rows are in one component.
-A null doc_id is never the smallest. Empty input gives no rows; other columns are ignored by
-``join`` and kept by ``deduplicate``.
+"""N-gram Jaccard join by prefixes of groups.
+
+A document is its set of word shingles. All sets are ordered alike, rare shingles first (``setjoin.levels``), so two sets that are similar
+enough share a shingle among the first few of each: the prefix. Documents of one set are one class; classes with the same prefix and the same size are
+one group, which posts its prefix once. Pairs of groups that share a prefix shingle and pass the length and the positional filter are expanded to
+their members, whose sketches are compared; the pairs left are verified by all their shingles, and links are joined to components.
+
+Pairs of members that are linked already are never made. First every member of a group is verified against the first of its group, and every
+group with a shingle that more than ``HOT`` groups share against the first of these (``setjoin.leaders``); what that links has one
+label, and groups of one label make no pairs. So a family of near copies costs about a pair a member, and no family, group or shingle
+is gathered in one task. What the pairs of different labels link is joined after that.
+
+No text is moved; it is read for the counts, for the prefixes, and for the shingles of documents in a pair.
+
+Shingles are compared by 56 bits (rarity and hash), sets by 128 bits, and pairs name classes by 64 bits; n_shingles counts 64-bit hashes.
+
+Edge cases. Null or empty texts have no shingles, no links, and are their own component. A text with fewer words than a shingle is one
+shingle of all its words; a text of any length is one set (a task holds 4 MB of text, or one text). Equal rows are in one component. A null doc_id is
+never the smallest; doc_id may be of any type that can be ordered. Repeated doc_ids are documents of their own. Empty input gives no rows; other columns, whatever their names,
+are ignored by ``join`` and kept by ``deduplicate``, which keeps the row with the least doc_id (nulls last), then the least hash of
+all columns (maps by their JSON), and one of rows that are equal in all columns, whatever the partitioning.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import MapType
 
-from axisweave.llm.common import BATCH_BYTES, blocks, by_range, cut, hashed_words, mix64, opened, pack, pow2, steps, text_bytes, unpack
+from axisweave.functions.checkpoints import written
+from axisweave.llm import setjoin
+from axisweave.llm.common import LOWER, WORD, bounded, hashed_words, mix64, pieces, text_bytes
 from axisweave.operators.graph import components
 
 WORDS, LIMIT = 4, (85, 100)
-#: Places of the table of counts, and the parts in which it is added up.
-SKETCH, CHUNKS = 1 << 20, 64
-#: Most members of a family that one task resolves, and most shingles of their sets (8 bytes each).
-FAMILY, FAMILY_SHINGLES = 20_000, 1 << 24
-#: Most rounds of the larger families, and about how many members of a shingle one task chains.
-ROUNDS, RUN = 8, 50_000
-#: Longest list of a shingle in which all pairs are filtered one by one; longer ones are chained by size.
-LIST = 64
-
-
-def shingle_sets(texts, k: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text."""
-    words, sizes = hashed_words(texts)
-    odd = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
-    n = len(words) - k + 1
-    every = np.zeros(max(n, 0), np.uint64)
-    for j in range(k if n > 0 else 0):
-        every += mix64(words[j : j + n] + odd[j % 8]) * odd[(j + 3) % 8]
-    every = mix64(every)
-    out, at = [], 0
-    for size in sizes:
-        if size >= k:
-            out.append(np.unique(every[at : at + size - k + 1]))
-        elif size:
-            own = mix64(words[at : at + size] + np.array(odd[:size])) * np.array(odd[::-1][:size])
-            out.append(mix64(own.sum(keepdims=True) + np.array([size], np.uint64)))
-        else:
-            out.append(words[:0])
-        at += size
-    return out
-
-
-def _texts(batch: pa.RecordBatch) -> pa.Array:
-    return batch.column(batch.num_columns - 1)
-
-
-def set_id(s: np.ndarray) -> int:
-    from xxhash import xxh3_64_intdigest
-
-    return xxh3_64_intdigest(s.tobytes()) - (1 << 63)
-
-
-def ceil_share(n, limit) -> np.ndarray:
-    return -(-n * limit[0] // limit[1])
-
-
-def needed(a, b, limit):
-    """The least intersection of linked sets of a and b shingles."""
-    return -(-(a + b) * limit[0] // (limit[0] + limit[1]))
-
-
-def prefix(s: np.ndarray, rarity: np.ndarray, limit) -> np.ndarray:
-    """The first shingles of a set in the common order, as many as a linked set cannot all lack."""
-    if not len(s):
-        return s
-    keep = len(s) - int(ceil_share(len(s), limit)) + 1
-    rank = rarity[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
-    return s[np.lexsort((s, rank))[:keep]]
-
-
-def _count(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
-        for batch in batches:
-            for blob in batch.column("blob"):
-                s = np.concatenate([np.zeros(0, np.uint64), *shingle_sets(_texts(opened(blob.as_py())), k)])
-                total += np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-        if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([pack(x) for x in np.split(total, CHUNKS)], pa.binary())], ["chunk", "blob"])
+#: Groups that share a shingle above which the first of them comes first.
+HOT = 16
+ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingles(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the shingles of all texts, one behind the other, and the number of shingles of each, repeated ones too."""
+    words, sizes = hashed_words(texts, LOWER)
+    starts = np.cumsum(sizes) - sizes
+    step = np.arange(1, k + 1, dtype=np.uint64) * ODD
+    at = lambda j: mix64(words + step[j])
+    n = max(0, len(words) - k + 1)
+    every = np.zeros(n, np.uint64)
+    for j in range(k):
+        every += at(j)[j : j + n]
+    counts = np.where(sizes >= k, sizes - k + 1, np.minimum(sizes, 1))
+    first = np.cumsum(counts) - counts
+    out = np.zeros(int(counts.sum()), np.uint64)
+    whole = np.repeat(sizes >= k, counts)
+    place = np.arange(len(out)) - np.repeat(first, counts) + np.repeat(starts, counts)
+    out[whole] = every[place[whole]]
+    for d in np.flatnonzero((sizes > 0) & (sizes < k)):  # shorter texts: a sum that no shingle of k words has
+        own = words[starts[d] : starts[d] + sizes[d]]
+        out[first[d]] = mix64(own + np.arange(1, len(own) + 1, dtype=np.uint64) * ODD).sum() + np.uint64(sizes[d])
+    return mix64(out), counts
+
+
+def _signed(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """docs as (row, row2, doc_id, text, whole): hashes of the given columns, and all columns in whole."""
+    kinds = {f.name: f.dataType for f in docs.schema}
+    each = [F.to_json(F.col(f"`{c}`")) if isinstance(kinds[c], MapType) else F.col(f"`{c}`") for c in columns]
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(F.xxhash64(*each).alias("row"), F.xxhash64(F.lit(7), *each).alias("row2"), "doc_id", "text", whole.alias("whole"))
+
+
+ROWS = "row long, row2 long, doc_id {}, n long, k1 long, k2 long, g1 long, g2 long, bits long, bits2 long, first int, head array<long>"
+
+
+def _rows(docs: DataFrame, k: int, limit, table) -> DataFrame:
+    """One row a document: its hashes, doc_id, n, class (k1, k2), group (g1, g2), sketch, and the head where the document is the first of its class in a batch."""
 
-    return run
-
-
-def _added(t: pa.Table) -> pa.Table:
-    blob = pack(sum(unpack(x)[0] for x in t.column("blob").to_pylist()))
-    return pa.table([t.column("chunk")[:1], pa.array([blob], pa.binary())], ["chunk", "blob"])
-
-
-def rarities(store: DataFrame, k: int) -> np.ndarray:
-    """Eighths of powers of two of the documents' counts by hash: SKETCH bytes, whatever the corpus."""
-    added = store.mapInArrow(_count(k), "chunk int, blob binary").groupBy("chunk").applyInArrow(_added, "chunk int, blob binary")
-    out = np.zeros(SKETCH, np.uint8)
-    for r in added.collect():
-        n = SKETCH // CHUNKS
-        out[r["chunk"] * n : (r["chunk"] + 1) * n] = np.minimum(255, 8 * np.log2(1 + unpack(bytes(r["blob"]))[0]))
-    return out
-
-
-def _postings(k: int, limit, rarity, parts: int, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, blob in zip(batch.column("block"), batch.column("blob")):
-                own = opened(blob.as_py())
-                sets = shingle_sets(_texts(own), k)
-                ids = [set_id(s) for s in sets]
-                n = len(sets)
-                yield _rows(kind, np.full(n, -1), [block.as_py()] * n, np.arange(n), own.column(0), [len(s) for s in sets], ids, [None] * n)
-                once = {i: s for i, s in zip(ids, sets) if len(s)}
-                heads = [prefix(s, rarity.value, limit) for s in once.values()]
-                sizes = np.array([len(h) for h in heads], np.int64)
-                token = np.concatenate([np.zeros(0, np.uint64), *heads])
-                who = np.repeat(np.fromiter(once, np.int64, len(once)), sizes)
-                length = np.repeat(np.array([len(s) for s in once.values()], np.int64), sizes).astype(np.uint32)
-                place = (np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.uint32)
-                order = np.argsort(token, kind="stable")
-                token, who, length, place = token[order], who[order], length[order], place[order]
-                at = by_range(token, parts)
-                # 44 bits of a shingle are enough to find candidates
-                blobs = [pack(steps(token[a:b] >> np.uint64(20)), who[a:b], length[a:b], place[a:b]) for a, b in zip(at[:-1], at[1:])]
-                yield _rows(kind, np.arange(parts), [None] * parts, [None] * parts, pa.nulls(parts, kind), [None] * parts, [None] * parts, blobs)
-
-    return run
-
-
-def _rows(kind, part, block, row, doc, n, ids, blob) -> pa.RecordBatch:
-    columns = [pa.array(part, pa.int32()), pa.array(block, pa.int64()), pa.array(row, pa.int32()), doc.cast(kind), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(blob, pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, ["part", "block", "row", "doc_id", "n", "id", "blob"])
-
-
-def _edges(limit):
-    """Candidate pairs of one range of shingles: enough of them to hang every pair that passes the filters together."""
-
-    def run(t: pa.Table) -> pa.Table:
-        blobs = [unpack(x) for x in t.column("blob").to_pylist()]
-        token = np.concatenate([np.cumsum(b[0], dtype=np.uint64) for b in blobs])
-        who, length, place = (np.concatenate([b[j] for b in blobs]).astype(np.int64) for j in (1, 2, 3))
-        order = np.lexsort((who, length, token))
-        token, who, length, place = token[order], who[order], length[order], place[order]
-        starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))) if len(token) else np.zeros(0, np.int64)
-        sizes = np.diff(starts, append=len(token))
-        left, right = [], []
-
-        def filtered(i, j):
-            # i comes before j, so it isn't longer; the rest of both sets bounds what they can share
-            ok = (who[i] != who[j]) & (length[i] * limit[1] >= length[j] * limit[0])
-            ok &= 1 + np.minimum(length[i] - place[i], length[j] - place[j]) - 1 >= needed(length[i], length[j], limit)
-            left.append(who[i[ok]])
-            right.append(who[j[ok]])
-
-        for size in np.unique(sizes[(sizes > 1) & (sizes <= LIST)]):
-            a, b = np.triu_indices(size, 1)
-            at = starts[sizes == size]
-            for part in np.array_split(at, 1 + len(at) * len(a) // 1_000_000):
-                filtered((part[:, None] + a).ravel(), (part[:, None] + b).ravel())
-        for at, size in zip(starts[sizes > LIST], sizes[sizes > LIST]):
-            i = np.arange(at, at + size - 1)
-            i = i[(who[i] != who[i + 1]) & (length[i] * limit[1] >= length[i + 1] * limit[0])]
-            left.append(who[i])
-            right.append(who[i + 1])
-        pairs = np.stack([np.concatenate([np.zeros(0, np.int64), *x]) for x in (left, right)], 1)
-        pairs = np.unique(np.sort(pairs, 1), axis=0)
-        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    return run
-
-
-def _members(k: int):
-    """(family, id, blob of the set) of the rows that are wanted of a block."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob, want in zip(batch.column("blob"), batch.column("want").to_pylist()):
-                text = _texts(opened(blob.as_py()))
-                sets = shingle_sets(text.take(pa.array([w["row"] for w in want], pa.int32())), k)
-                blobs = [pack(steps(s)) for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array([w["family"] for w in want], pa.int64()), pa.array([w["id"] for w in want], pa.int64()), pa.array(blobs, pa.binary())], ["family", "id", "blob"])
-
-    return run
-
-
-def _loaded(blob: bytes) -> np.ndarray:
-    return np.cumsum(unpack(blob)[0], dtype=np.uint64)
-
-
-def linked(a: np.ndarray, b: np.ndarray, limit) -> bool:
-    return len(np.intersect1d(a, b, assume_unique=True)) >= needed(len(a), len(b), limit)
-
-
-def _resolve(limit, rarity):
-    """Exact components of one family: (id, component)."""
-
-    def run(t: pa.Table) -> pa.Table:
-        ids = np.array(t.column("id").to_pylist(), np.int64)
-        sets = [_loaded(x) for x in t.column("blob").to_pylist()]
-        order = sorted(range(len(ids)), key=lambda x: (len(sets[x]), ids[x]))
-        size = np.array([len(s) for s in sets], np.int64)
-        root = np.arange(len(ids))
-        lists: dict[int, list[int]] = defaultdict(list)
-        for x in order:
-            head = prefix(sets[x], rarity.value, limit).tolist()
-            near, count = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.array(lists[h], np.int64) for h in head if h in lists)]), return_counts=True)
-            ok = size[near] * limit[1] >= size[x] * limit[0]
-            near = near[ok][np.argsort(-count[ok], kind="stable")]
-            while len(near := near[root[near] != root[x]]):
-                y, near = near[0], near[1:]
-                if linked(sets[x], sets[y], limit):
-                    a, b = sorted((root[x], root[y]))
-                    root[root == b] = a
-            for h in head:
-                lists[h].append(x)
-        low = np.full(len(ids), np.iinfo(np.int64).max)
-        np.minimum.at(low, root, ids)
-        return pa.table([pa.array(ids), pa.array(low[root])], ["id", "component"])
-
-    return run
-
-
-def _heads(limit, rarity):
-    """(id, token, place, size) of the prefix of every set."""
+        for batch in pieces(batches):
+            hashes, sizes = shingles(batch.column("text"), k)
+            token, n, k1, k2, bits, bits2, (shared, held, first) = setjoin.sets_of(setjoin.tokens(hashes, table.value), sizes, limit)
+            distinct = [len(np.unique(x)) for x in np.split(hashes, np.cumsum(sizes)[:-1])]
+            keep = np.minimum(n - -(-n * limit[0] // limit[1]) + 1, n)
+            inside = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n) < np.repeat(keep, n)
+            owner = np.repeat(np.arange(len(n)), n)[inside]
+            ends = np.append(0, np.cumsum(np.bincount(owner, minlength=len(n))))
+            total = lambda x: np.diff(np.append(np.uint64(0), np.cumsum(x, dtype=np.uint64))[ends])
+            size = n.astype(np.uint64) * ODD
+            g1, g2 = (mix64(total(mix64(token[inside] + np.uint64(s))) + size) for s in (3, 5))
+            lead = np.zeros(len(n), bool)
+            lead[np.unique(np.stack([k1, k2], 1), axis=0, return_index=True)[1]] = True
+            lead &= n > 0
+            shared, held = shared[np.repeat(lead, held)], np.where(lead, held, 0)
+            heads = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(held)), pa.int32(), mask=None if lead.all() else np.append(~lead, False)), pa.array(shared.view(np.int64)))
+            columns = [pa.array(np.array(distinct, np.int64)), *(pa.array(x.view(np.int64)) for x in (k1, k2, g1, g2, bits, bits2)), pa.array(first, pa.int32()), heads]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("row2"), batch.column("doc_id"), *columns], [x.split()[0] for x in ROWS.split(", ")])
+
+    return written(docs.select("row", "row2", "doc_id", "text").mapInArrow(run, ROWS.format(dict(docs.dtypes)["doc_id"])), "rows")
+
+
+def _sets(docs: DataFrame, homes: DataFrame, k: int, limit, table) -> DataFrame:
+    """(id, blob): the shingles of the documents of homes (row), and of a few others whose place in a table by hash is the same."""
+    spark = docs.sparkSession
+    size = min(setjoin.MOST, max(setjoin.LEAST, 1 << (8 * homes.count()).bit_length()))
+    key = lambda b: mix64(b.column("row").to_numpy().view(np.uint64))
+    held = spark.sparkContext.broadcast(setjoin.levels(homes.select("row"), key, size) > 0)
+    shift = np.uint64(64 - (size.bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, blob in zip(batch.column("id"), batch.column("blob")):
-                s = _loaded(blob.as_py())
-                h = prefix(s, rarity.value, limit).astype(np.int64)
-                n = len(h)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, i.as_py())), pa.array(h), pa.array(np.arange(n)), pa.array(np.full(n, len(s)))], ["id", "token", "place", "size"])
-
-    return run
-
-
-def _fits(x: str, y: str, limit):
-    """Whether the sizes of two postings, and what is left of their sets behind a shared shingle, allow a link."""
-    least, most = F.least(f"{x}.size", f"{y}.size"), F.greatest(f"{x}.size", f"{y}.size")
-    room = F.least(F.col(f"{x}.size") - F.col(f"{x}.place"), F.col(f"{y}.size") - F.col(f"{y}.place"))
-    return (F.col(f"{x}.label") != F.col(f"{y}.label")) & (least * limit[1] >= most * limit[0]) & (room * (limit[0] + limit[1]) >= (least + most) * limit[0])
-
-
-def _chained(postings: DataFrame, nth: int, limit) -> DataFrame:
-    """At most one pair a member, with a neighbour of another label: by size in round 0, in an order by hash after that."""
-    place = F.struct("size", "id") if nth == 0 else F.struct(F.xxhash64("id", F.lit(nth)).alias("x"), "id")
-    runs = postings.groupBy("token").agg(F.ceil(F.count("*") / RUN).alias("runs")).filter("runs > 1")
-    run = F.pmod(F.xxhash64("id", F.lit(-1 - nth)), F.coalesce("runs", F.lit(1)))
-    x = postings.join(runs, "token", "left").select("token", run.alias("run"), F.struct("id", "label", "size", "place").alias("x"), place.alias("at"))
-    both = x.withColumn("y", F.lead("x").over(Window.partitionBy("token", "run").orderBy("at"))).filter(F.col("y").isNotNull() & _fits("x", "y", limit))
-    return both.groupBy(F.col("x.id").alias("a")).agg(F.min(F.struct(F.xxhash64("token", F.lit(nth)).alias("order"), F.col("y.id").alias("b"))).alias("y")).select("a", "y.b")
-
-
-def _across(postings: DataFrame, limit) -> DataFrame:
-    """All pairs of different labels that share a shingle and pass the filters; members of a shingle's largest label only meet the others."""
-    main = postings.groupBy("token", "label").count().groupBy("token").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-    every = cut(postings.join(main, "token"))
-    x, y = every.filter("label <> main").alias("x"), every.alias("y")
-    once = (F.col("y.label") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
-    return x.join(y, (F.col("x.token") == F.col("y.token")) & once & _fits("x", "y", limit)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-
-
-def _verified(members: DataFrame, pairs: DataFrame, limit) -> DataFrame:
-    """The pairs that are linked, by both their sets."""
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = [linked(_loaded(x.as_py()), _loaded(y.as_py()), limit) for x, y in zip(batch.column("blob_a"), batch.column("blob_b"))]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    a, b = (members.select(F.col("id").alias(k), F.col("blob").alias(f"blob_{k}")) for k in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "blob_a", "blob_b").mapInArrow(verify, "a long, b long")
-
-
-def _merged(labels: DataFrame, links: DataFrame) -> DataFrame | None:
-    """The labels after links, the smallest id of each component; None if nothing changes."""
-    a, b = (labels.select(F.col("id").alias(k), F.col("label").alias(f"label_{k}")) for k in "ab")
-    edges = cut(links.join(a, "a").join(b, "b").filter("label_a <> label_b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct())
-    if edges.isEmpty():
-        return None
-    least = components(edges).withColumnRenamed("id", "label")
-    return cut(labels.join(least, "label", "left").select("id", F.coalesce("component", "label").alias("label")))
-
-
-def _rounds(members: DataFrame, limit, rarity) -> DataFrame:
-    """Exact components of families that are too large for one task: (id, component)."""
-    tokens = cut(members.select("id", "blob").mapInArrow(_heads(limit, rarity), "id long, token long, place long, size long"))
-    labels = cut(members.select("id", F.col("id").alias("label")))
-    for nth in range(ROUNDS):
-        now = _merged(labels, _verified(members, _chained(tokens.join(labels, "id"), nth, limit), limit))
-        if now is None:
-            break
-        labels = now
-    now = _merged(labels, _verified(members, _across(tokens.join(labels, "id"), limit), limit))
-    return (labels if now is None else now).select("id", F.col("label").alias("component"))
-
-
-def groups(docs: DataFrame, k: int = WORDS, limit=LIMIT, family: int = FAMILY) -> tuple[DataFrame, DataFrame]:
-    """The blocks of docs (doc_id first, text last), and of each row: block, row, doc_id, n (shingles), label of its component (null without shingles)."""
-    spark = docs.sparkSession
-    kind = to_arrow_type(docs.schema["doc_id"].dataType)
-    parts = pow2(text_bytes(docs) / BATCH_BYTES)
-    store = blocks(docs, *[f"`{c}`" for c in docs.columns])
-    rarity = spark.sparkContext.broadcast(rarities(store, k))
-    found = cut(store.mapInArrow(_postings(k, limit, rarity, parts, kind), f"part int, block long, row int, doc_id {dict(docs.dtypes)['doc_id']}, n long, id long, blob binary"))
-    rows = found.filter("part < 0").drop("part", "blob")
-    edges = found.filter("part >= 0").select("part", "blob").groupBy("part").applyInArrow(_edges(limit), "a long, b long")
-    families = cut(components(edges).withColumnRenamed("component", "family"))
-    # one document of each set that has candidates, wanted from its block; copies fall away before the exchange
-    homes = cut(rows.groupBy("id").agg(F.min(F.struct("block", "row")).alias("home"), F.max("n").alias("n")).join(families, "id"))
-    wanted = homes.groupBy("home.block").agg(F.collect_list(F.struct("home.row", "id", "family")).alias("want"))
-    members = store.join(wanted, "block").select("blob", "want").mapInArrow(_members(k), "family long, id long, blob binary")
-    large = cut(homes.groupBy("family").agg(F.count("*").alias("count"), F.sum("n").alias("n")).filter((F.col("count") > family) | (F.col("n") > FAMILY_SHINGLES)).select("family"))
-    label = "id long, component long"
-    if large.isEmpty():
-        solved = members.groupBy("family").applyInArrow(_resolve(limit, rarity), label)
-    else:
-        members = cut(members)
-        solved = members.join(large, "family", "left_anti").groupBy("family").applyInArrow(_resolve(limit, rarity), label)
-        solved = solved.unionByName(_rounds(members.join(large, "family", "left_semi"), limit, rarity))
-    return store, cut(rows.join(solved, "id", "left").select("block", "row", "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "id")).alias("label")))
-
-
-def join(docs: DataFrame, k: int = WORDS, limit=LIMIT, family: int = FAMILY) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
-    _, found = groups(docs.select("doc_id", "text"), k, limit, family)
-    # written, so that both sides of the join are plain exchanges and a label with many rows can be split
-    least = cut(found.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least")))
-    return found.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
-
-
-def deduplicate(docs: DataFrame, k: int = 5, limit=(80, 100), family: int = FAMILY) -> DataFrame:
-    """One row of each component, that of the smallest doc_id (nulls last); rows without shingles are all kept. All columns stay as they were."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    store, found = groups(docs.select("doc_id", *[f"`{c}`" for c in others], "text"), k, limit, family)
-    first = found.filter("label is not null").groupBy("label").agg(F.min(F.struct(F.isnull("doc_id").alias("null"), "doc_id", "block", "row")).alias("first"))
-    kept = first.select("first.block", "first.row").unionByName(found.filter("label is null").select("block", "row"))
-    names = docs.columns
-
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob, rows in zip(batch.column("blob"), batch.column("rows").to_pylist()):
-                yield opened(blob.as_py()).take(pa.array(sorted(rows), pa.int32())).select(names)
-
-    return store.select("block", "blob").join(kept.groupBy("block").agg(F.collect_list("row").alias("rows")), "block").select("blob", "rows").mapInArrow(take, docs.schema)
+        for batch in pieces(batches):
+            some = held.value[(key(batch) >> shift).astype(np.int64)]
+            if some.any():
+                hashes, sizes = shingles(batch.column("text").filter(pa.array(some)), k)
+                token, n, k1, *_ = setjoin.sets_of(setjoin.tokens(hashes, table.value), sizes, limit)
+                yield pa.RecordBatch.from_arrays([pa.array(k1.view(np.int64)), setjoin.packed(token, n)], ["id", "blob"])
+
+    return docs.select("row", "text").mapInArrow(run, "id long, blob binary").dropDuplicates(["id"])
+
+
+def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, limit, table) -> DataFrame:
+    """The pairs (a, b) of classes that are linked, written."""
+    pairs = written(pairs, "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    return written(setjoin.verified(pairs, _sets(docs, classes.join(wanted, "id").select(F.col("home").alias("row")), k, limit, table), limit), "links")
+
+
+def _labelled(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """Classes with the least label of what links (pairs of labels) join."""
+    least = components(links).select(F.col("id").alias("label"), F.col("component").alias("least"))
+    return classes.join(least, "label", "left").withColumn("label", F.coalesce("least", "label")).drop("least")
+
+
+def _groups(classes: DataFrame) -> DataFrame:
+    """Heads of the groups: id (of the group), lead (its first class), label (that of all its classes, or its own id)."""
+    same = F.min("label") == F.max("label")
+    each = [F.first(c).alias(c) for c in ("n", "first", "head")]
+    heads = classes.groupBy("g1", "g2").agg(*each, F.min("id").alias("lead"), F.count("*").alias("size"), F.when(same, F.min("label")).otherwise(F.first("g1")).alias("label"), same.alias("same"))
+    return heads.withColumnRenamed("g1", "id").withColumns({"bits": F.lit(0).cast("long"), "bits2": F.lit(0).cast("long")})
+
+
+def classified(docs: DataFrame, k: int = WORDS, limit=LIMIT) -> tuple[DataFrame, DataFrame]:
+    """Of docs (as _signed gives them): one row a document (row, row2, doc_id, n, k1, k2), and the classes (id, k2, label of the component)."""
+    slim = docs.select("row", "row2", "doc_id", "text")
+    table = slim.sparkSession.sparkContext.broadcast(setjoin.levels(slim.select("text"), lambda b: shingles(b.column("text"), k)[0], setjoin.places(text_bytes(slim))))
+    rows = _rows(slim, k, limit, table)
+    held = rows.filter("n > 0").groupBy("k1", "k2").agg(F.min("row").alias("home"), *[F.first(c, ignorenulls=True).alias(c) for c in ("n", "g1", "g2", "bits", "bits2", "first", "head")])
+    classes = written(held.withColumnRenamed("k1", "id").withColumns({"label": F.col("id"), "n": F.col("n").cast("int")}), "classes")
+    # the first of each group, and of the groups of each hot shingle
+    heads = written(_groups(classes), "groups")
+    pairs = classes.select("g1", "id").join(heads.filter("size > 1").select(F.col("id").alias("g1"), "lead"), "g1").filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
+    lead = setjoin.leaders(heads, [], limit, HOT)
+    if lead is not None:
+        of = lambda x: heads.select(F.col("id").alias(x), F.col("lead").alias(f"lead_{x}"))
+        pairs = pairs.unionByName(lead.join(of("a"), "a").join(of("b"), "b").select(F.col("lead_a").alias("a"), F.col("lead_b").alias("b")))
+    links = _links(pairs.distinct(), classes, slim, k, limit, table)
+    classes = written(_labelled(classes, links), "labelled")
+    # pairs of groups, expanded to members of different labels
+    heads = written(_groups(classes), "groups")
+    pairs = setjoin.candidates(heads, limit).unionByName(heads.filter("not same").select(F.col("id").alias("a"), F.col("id").alias("b")))
+    x, y = (classes.select(F.col("g1").alias(g), F.struct("id", "label", "n", "bits", "bits2").alias(s)) for g, s in (("a", "x"), ("b", "y")))
+    met = pairs.join(x, "a").join(y, "b").filter((F.col("x.label") != F.col("y.label")) & ((F.col("a") != F.col("b")) | (F.col("x.id") < F.col("y.id"))) & setjoin.alike("x", "y", limit))
+    links = _links(met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), classes, slim, k, limit, table)
+    a, b = (classes.select(F.col("id").alias(c), F.col("label").alias(f"label_{c}")) for c in "ab")
+    merged = links.join(a, "a").join(b, "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+    return rows.select("row", "row2", "doc_id", "n", "k1", "k2"), _labelled(classes, merged).select("id", "k2", "label")
+
+
+def join(docs: DataFrame, k: int = WORDS, limit=LIMIT) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
+    with bounded(docs.sparkSession):
+        rows, classes = classified(_signed(docs.select("doc_id", "text"), ["doc_id", "text"]), k, limit)
+        each = written(rows.join(classes.withColumnRenamed("id", "k1"), ["k1", "k2"], "left").select("doc_id", "n", "label"), "labels")
+        least = each.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
+        out = each.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+        return written(out, "components")
+
+
+def deduplicate(docs: DataFrame, k: int = 5, limit=(80, 100)) -> DataFrame:
+    """One document of each component, all columns as they were; documents without words stay."""
+    signed = _signed(docs, docs.columns)
+    with bounded(docs.sparkSession):
+        rows, classes = classified(signed, k, limit)
+        order = F.struct(F.isnull("doc_id").alias("null"), "doc_id", "row", "row2")
+        best = rows.join(classes.withColumnRenamed("id", "k1"), ["k1", "k2"]).groupBy("label").agg(F.min(order).alias("best")).select("best.row", "best.row2")
+        best = written(best, "best")
+    has = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    kept = signed.filter(has).join(best, ["row", "row2"], "left_semi").dropDuplicates(["row", "row2"]).select("whole")
+    return signed.filter(~has).select("whole").unionByName(kept).select("whole.*")
 
 
 query = join

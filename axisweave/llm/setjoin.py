@@ -1,7 +1,7 @@
 """Exact set-similarity join by prefixes, for sets that are numbered by a 64-bit id.
 
 Tokens sort by rarity: a token is the rarity level of its hash (an eighth of a power of two of its count in
-the corpus) before 40 bits of the hash. The counts lie in a table by hash that grows with the corpus up to ``MOST`` places, one byte
+the corpus) before 48 bits of the hash. The counts lie in a table by hash that grows with the corpus up to ``MOST`` places, one byte
 a place when it is broadcast. A set's head is the part of its prefix that other sets can share: tokens that the
 table counts once are left out.
 
@@ -29,7 +29,8 @@ from axisweave.llm.common import mix64, pack, pow2, steps, unpack
 PER_PLACE, LEAST, MOST, CHUNK = 64, 1 << 16, 1 << 26, 1 << 16
 #: Heads of one token above which leaders come first, and posts that are packed or paired at a time.
 HOT, AT_ONCE = 256, 4_000_000
-SHIFT = np.uint64(40)
+BITS = 48
+SHIFT, WHOLE = np.uint64(BITS), np.uint64(BITS + 8)
 
 
 def places(n_bytes: int) -> int:
@@ -61,9 +62,9 @@ def levels(source: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], si
 
 
 def tokens(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Tokens of 48 bits, as uint64: the level, then the leading 40 bits of the hash."""
+    """Tokens of 56 bits, as uint64: the level, then the leading 48 bits of the hash."""
     shift = np.uint64(64 - int(math.log2(len(table))))
-    return table[(hashes >> shift).astype(np.int64)].astype(np.uint64) << SHIFT | hashes >> np.uint64(24)
+    return table[(hashes >> shift).astype(np.int64)].astype(np.uint64) << SHIFT | hashes >> np.uint64(64 - BITS)
 
 
 #: The level of a token that occurs once in the corpus.
@@ -72,15 +73,13 @@ ONCE = np.uint64(8)
 
 def sets_of(token: np.ndarray, sizes: np.ndarray, limit) -> tuple:
     """Of tokens, the sets one behind the other: sorted distinct tokens, sizes, two hashes of each set, its sketch in two parts (parities of 128 sorts of tokens), and the heads as (tokens, sizes, first places)."""
+    ends = np.append(0, np.cumsum(sizes))
     out = []
-    low = 0
-    while low < len(sizes):  # a set's number takes the 16 bits in front of a token
-        high = min(len(sizes), low + (1 << 16))
-        at = sizes[:low].sum(), sizes[:high].sum()
-        out.append(np.sort(np.repeat(np.arange(high - low, dtype=np.uint64), sizes[low:high]) << np.uint64(48) | token[at[0] : at[1]]))
-        low = high
-    owner = np.concatenate([np.zeros(0, np.int64), *((x >> np.uint64(48)).astype(np.int64) + (k << 16) for k, x in enumerate(out))])
-    token = np.concatenate([np.zeros(0, np.uint64), *out]) & np.uint64((1 << 48) - 1)
+    for low in range(0, len(sizes), 256):  # a set's number takes the eight bits in front of a token
+        own = sizes[low : low + 256]
+        out.append(np.sort(np.repeat(np.arange(len(own), dtype=np.uint64), own) << WHOLE | token[ends[low] : ends[low + len(own)]]))
+    owner = np.concatenate([np.zeros(0, np.int64), *((x >> WHOLE).astype(np.int64) + 256 * k for k, x in enumerate(out))])
+    token = np.concatenate([np.zeros(0, np.uint64), *out]) & np.uint64((1 << BITS + 8) - 1)
     new = np.ones(len(token), bool)
     new[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
     owner, token = owner[new], token[new]
@@ -103,14 +102,16 @@ def sets_of(token: np.ndarray, sizes: np.ndarray, limit) -> tuple:
 HEADS = "id long, n int, bits long, bits2 long, first int, head array<long>"
 
 
-def leaders(heads: DataFrame, order: list[Column], limit) -> DataFrame | None:
+def leaders(heads: DataFrame, order: list[Column], limit, hot_heads: int = HOT) -> DataFrame | None:
     """(a, b): every set with a hot token and the first set, by order, of that token and about its size; None without hot tokens.
 
+    Hot are tokens of more than hot_heads heads.
+
     heads has the columns of HEADS and those of order. Tokens too rare to be hot are not counted.
     """
-    level = int(8 * math.log2(1 + HOT))
-    each = heads.select("id", "n", F.struct(*order, F.col("id").alias("id")).alias("at"), F.explode("head").alias("token")).filter(F.shiftright("token", 40) >= level)
-    hot = written(each.groupBy("token").count().filter(F.col("count") > HOT).select("token"))
+    level = int(8 * math.log2(1 + hot_heads))
+    each = heads.select("id", "n", F.struct(*order, F.col("id").alias("id")).alias("at"), F.explode("head").alias("token")).filter(F.shiftright("token", BITS) >= level)
+    hot = written(each.groupBy("token").count().filter(F.col("count") > hot_heads).select("token"))
     if hot.isEmpty():
         return None
     # sizes of one class differ by less than the limit
@@ -118,13 +119,15 @@ def leaders(heads: DataFrame, order: list[Column], limit) -> DataFrame | None:
     mine = each.join(hot, "token").select("token", kind.alias("kind"), "at", "n")
     first = mine.groupBy("token", "kind").agg(F.min("at").alias("lead"), F.min_by("n", "at").alias("m"))
     near = (F.least("n", "m") * limit[1] >= F.greatest("n", "m") * limit[0]) & (F.col("lead.id") != F.col("at.id"))
-    return mine.join(first, ["token", "kind"]).filter(near).select(F.col("lead.id").alias("a"), F.col("at.id").alias("b")).distinct()
+    # a set also meets the first of the next larger size, which hangs the sizes of a family together
+    both = mine.withColumn("kind", F.explode(F.array(F.col("kind"), F.col("kind") + 1)))
+    return both.join(first, ["token", "kind"]).filter(near).select(F.col("lead.id").alias("a"), F.col("at.id").alias("b")).distinct()
 
 
 def candidates(heads: DataFrame, limit) -> DataFrame:
     """(a, b) of all pairs of different labels that share a token of both heads and pass the filters, a < b. heads has HEADS and label."""
     parts = int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    width = max(1, -(-(1 << 40) // parts))
+    width = max(1, -(-(1 << BITS) // parts))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n_held = [], 0
@@ -180,7 +183,7 @@ def candidates(heads: DataFrame, limit) -> DataFrame:
 def _sent(held: list[tuple], width: int) -> pa.RecordBatch:
     """Posts, packed by range of the tokens' hashes; labels as their difference from the ids, which is mostly none."""
     token, who, label, n, at, bits, bits2 = (np.concatenate(x) for x in zip(*held))
-    spread = token & np.uint64((1 << 40) - 1)
+    spread = token & np.uint64((1 << BITS) - 1)
     order = np.lexsort((token, spread // np.uint64(width)))
     token, who, label, n, at, bits, bits2, spread = (x[order] for x in (token, who, label, n, at, bits, bits2, spread))
     part = (spread // np.uint64(width)).astype(np.int64)
@@ -189,20 +192,26 @@ def _sent(held: list[tuple], width: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(part[cuts], pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
 
+def alike(a: str, b: str, limit) -> Column:
+    """Whether the sketches of two sets (structs of n, bits, bits2) allow that they are similar."""
+    differ = sum((F.bit_count(F.col(f"{a}.{k}").bitwiseXOR(F.col(f"{b}.{k}"))) for k in ("bits", "bits2")), F.lit(0))
+    return differ * (limit[0] + limit[1]) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (limit[1] - limit[0])
+
+
 def packed(token: np.ndarray, n: np.ndarray) -> pa.Array:
-    """Each set as one value: its sorted tokens, six bytes each."""
-    raw = token.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(np.append(0, np.cumsum(n) * 6).astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
+    """Each set as one value: its sorted tokens, seven bytes each."""
+    raw = token.view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(np.append(0, np.cumsum(n) * 7).astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
 
 
 def _opened(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The tokens of a column of sets, and the row of each."""
     column = column.cast(pa.large_binary())
     ends = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
-    raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].reshape(-1, 6)
+    raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].reshape(-1, 7)
     token = np.zeros((len(raw), 8), np.uint8)
-    token[:, :6] = raw
-    return token.view(np.uint64).reshape(-1), np.repeat(np.arange(len(column), dtype=np.uint64), np.diff(ends) // 6)
+    token[:, :7] = raw
+    return token.view(np.uint64).reshape(-1), np.repeat(np.arange(len(column), dtype=np.uint64), np.diff(ends) // 7)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, limit) -> DataFrame:
@@ -210,11 +219,11 @@ def verified(pairs: DataFrame, sets: DataFrame, limit) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 1 << 15):
-                part = batch.slice(low, 1 << 15)
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
                 (x, row_x), (y, row_y) = _opened(part.column("x")), _opened(part.column("y"))
-                every = np.sort(np.concatenate((row_x << np.uint64(48) | x, row_y << np.uint64(48) | y)))
-                twice = every[1:][every[1:] == every[:-1]] >> np.uint64(48)
+                every = np.sort(np.concatenate((row_x << WHOLE | x, row_y << WHOLE | y)))
+                twice = every[1:][every[1:] == every[:-1]] >> WHOLE
                 common = np.bincount(twice.astype(np.int64), minlength=part.num_rows)
                 size = np.bincount(np.concatenate((row_x, row_y)).astype(np.int64), minlength=part.num_rows)
                 yield part.select(["a", "b"]).filter(pa.array(common * (limit[0] + limit[1]) >= size * limit[0]))

@@ -300,11 +300,12 @@ def _brute_components(rows, k, limit):
     return Counter((i, len(sets[n]), low[find(n)] if sets[n] else i) for n, (i, _, _) in enumerate(rows)), len(least)
 
 
-@pytest.mark.parametrize("family", [20_000, 2])
-def test_ngram_join(docs, rows, none, family):
+@pytest.mark.parametrize("hot", [16, 1])
+def test_ngram_join(docs, rows, none, hot, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT", hot)
     want, _ = _brute_components(rows, 4, (85, 100))
-    assert _counts(ngram_join.join(docs, family=family).collect()) == want
-    if family == 2:
+    assert _counts(ngram_join.join(docs).collect()) == want
+    if hot == 1:
         assert ngram_join.join(none).count() == 0
 
 
@@ -315,32 +316,42 @@ def test_deduplicate_keeps_one_of_each(docs, rows, none):
     assert ngram_join.deduplicate(none).count() == 0
 
 
-def test_long_lists_are_chained(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "LIST", 2)
-    base = [f"q{k}" for k in range(100)]
-    rows = [(k, " ".join(base[: 90 + k % 10] + [f"z{k}"]), "s") for k in range(30)]
-    want, _ = _brute_components(rows, 4, (85, 100))
-    assert _counts(ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()) == want
-
-
-def test_large_families_make_no_pairs_within_linked_groups(spark, monkeypatch):
+def test_families_make_no_pairs_within_linked_groups(spark, monkeypatch):
     base = [f"q{k}" for k in range(120)]
-    rows = [(k, " ".join(base[: 110 + k % 10] + [f"z{k}"]), "s") for k in range(120)]
-    rows += [(500 + k, " ".join(base[:60] + [f"y{k}x{j}" for j in range(50)]), "s") for k in range(3)]
-    verified, verify = [], ngram_join._verified
+    rows = [(f"d{k}", " ".join(base[: 110 + k % 10] + [f"z{k}"]), "s") for k in range(120)]
+    rows += [(f"e{k}", " ".join(base[:60] + [f"y{k}x{j}" for j in range(50)]), "s") for k in range(3)]
+    rows += [(f"f{k}", " ".join([f"v{k % 2}"] * 3 + base[20:100]), "s") for k in range(40)] + [(None, "a b c d e f", "s")] * 3
+    verified, verify = [], setjoin.verified
 
-    def counted(members, pairs, limit):
+    def counted(pairs, *a):
         verified.append(pairs.count())
-        return verify(members, pairs, limit)
+        return verify(pairs, *a)
 
-    monkeypatch.setattr(ngram_join, "_verified", counted)
+    monkeypatch.setattr(setjoin, "verified", counted)
     want, _ = _brute_components(rows, 4, (85, 100))
-    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    assert _counts(ngram_join.join(d, family=2).collect()) == want
-    assert 119 <= sum(verified) < 1000  # 7,140 pairs of near copies
-    monkeypatch.setattr(ngram_join, "FAMILY_SHINGLES", 100)  # sets are bounded by their bytes too
-    verified.clear()
-    assert _counts(ngram_join.join(d).collect()) == want and verified
+    d = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    for n in (1, 4):
+        assert _counts(ngram_join.join(d.repartition(n)).collect()) == want
+    assert sum(verified) < 2 * 1500  # 7,140 pairs of near copies
+
+
+def test_members_of_one_prefix_and_size_are_one_group(spark, monkeypatch):
+    """Sets that differ behind the prefix only, some of them too much to be linked."""
+    import numpy as np
+
+    table = np.full(1 << 16, 80, np.uint8)
+    monkeypatch.setattr(setjoin, "levels", lambda source, hashes, size: table)
+    rng = random.Random(4)
+    rows = [(k, " ".join(["same start of all texts here", *(rng.choice("abcdefgh") for _ in range(14))]), "s") for k in range(60)]
+    want, _ = _brute_components(rows, 1, (60, 100))
+    assert _counts(ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string, source string"), 1, (60, 100)).collect()) == want
+
+
+def test_deduplicate_keeps_the_same_row_whatever_the_partitions(spark):
+    rows = [(k // 3, "one text of a few words", f"s{k % 3}", k % 2) for k in range(12)] + [(7, "other", "x", 1)] * 2 + [(8, " ", "x", 1)] * 2
+    d = spark.createDataFrame(rows, "doc_id long, text string, label string, row int")
+    kept = [_counts(ngram_join.deduplicate(d.repartition(n)).collect()) for n in (1, 4, 16)]
+    assert kept[0] == kept[1] == kept[2] and sum(kept[0].values()) == 4 and {r[0] for r in kept[0]} == {0, 7, 8}
 
 
 def test_shards(docs, rows, none):
