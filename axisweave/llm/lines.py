@@ -137,14 +137,12 @@ def _judged(docs: DataFrame) -> DataFrame:
     place = F.struct(F.isnull("doc_id").alias("null"), "doc_id", "line", "row")
     held = lines.filter("line >= 0").groupBy("k1", "k2").agg(F.min(place).alias("place"), *[F.first(c, ignorenulls=True).alias(c) for c in ("n", "bits", "bits2", "first", "head")])
     classes = written(held.withColumnRenamed("k1", "id"), "classes")
-    heads = classes.filter("n > 3").withColumn("null", F.col("place.null"))
+    heads = classes.filter("n > 3").withColumn("label", F.col("id"))
     late = None
     first = setjoin.leaders(heads, [F.col("place.null").alias("null"), F.col("place.doc_id").alias("doc_id"), F.col("place.line").alias("line")], LIMIT, setjoin.HOT)
     if first is not None:
         late = written(_late(first, classes, docs, table), "late")
-        heads = heads.join(late.withColumn("label", F.lit(0).cast("long")), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    else:
-        heads = heads.withColumn("label", F.col("id"))
+        heads = heads.join(late.withColumn("late", F.lit(0).cast("long")), "id", "left").withColumn("label", F.coalesce("late", "label"))
     more = _late(setjoin.candidates(heads, LIMIT), classes, docs, table)
     late = more if late is None else late.unionByName(more).distinct()
     gone = classes.select(F.col("id").alias("k1"), "k2", "place").join(late.select(F.col("id").alias("k1"), F.lit(True).alias("late")), "k1", "left")

@@ -39,6 +39,8 @@ from axisweave.operators.graph import components
 WORDS, LIMIT = 4, (85, 100)
 #: Groups that share a shingle above which the first of them comes first.
 HOT = 16
+#: Rounds in which they do, at most; a round that links nothing is the last.
+ROUNDS = 3
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -133,12 +135,18 @@ def _labelled(classes: DataFrame, links: DataFrame) -> DataFrame:
     return classes.join(least, "label", "left").withColumn("label", F.coalesce("least", "label")).drop("least")
 
 
+def _by_label(links: DataFrame, classes: DataFrame) -> DataFrame:
+    a, b = (classes.select(F.col("id").alias(c), F.col("label").alias(f"label_{c}")) for c in "ab")
+    return links.join(a, "a").join(b, "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+
+
 def _groups(classes: DataFrame) -> DataFrame:
     """Heads of the groups: id (of the group), lead (its first class), label (that of all its classes, or its own id)."""
     same = F.min("label") == F.max("label")
-    each = [F.first(c).alias(c) for c in ("n", "first", "head")]
+    each = [F.first(c).alias(c) for c in ("n", "first", "head", "bits", "bits2")]
     heads = classes.groupBy("g1", "g2").agg(*each, F.min("id").alias("lead"), F.count("*").alias("size"), F.when(same, F.min("label")).otherwise(F.first("g1")).alias("label"), same.alias("same"))
-    return heads.withColumnRenamed("g1", "id").withColumns({"bits": F.lit(0).cast("long"), "bits2": F.lit(0).cast("long")})
+    # a group of one class has the sketch of that class
+    return heads.withColumns({c: F.when(F.col("size") == 1, F.col(c)).otherwise(0).cast("long") for c in ("bits", "bits2")}).withColumnRenamed("g1", "id")
 
 
 def classified(docs: DataFrame, k: int = WORDS, limit=LIMIT) -> tuple[DataFrame, DataFrame]:
@@ -148,24 +156,26 @@ def classified(docs: DataFrame, k: int = WORDS, limit=LIMIT) -> tuple[DataFrame,
     rows = _rows(slim, k, limit, table)
     held = rows.filter("n > 0").groupBy("k1", "k2").agg(F.min("row").alias("home"), *[F.first(c, ignorenulls=True).alias(c) for c in ("n", "g1", "g2", "bits", "bits2", "first", "head")])
     classes = written(held.withColumnRenamed("k1", "id").withColumns({"label": F.col("id"), "n": F.col("n").cast("int")}), "classes")
-    # the first of each group, and of the groups of each hot shingle
-    heads = written(_groups(classes), "groups")
-    pairs = classes.select("g1", "id").join(heads.filter("size > 1").select(F.col("id").alias("g1"), "lead"), "g1").filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
-    lead = setjoin.leaders(heads, [], limit, HOT)
-    if lead is not None:
-        of = lambda x: heads.select(F.col("id").alias(x), F.col("lead").alias(f"lead_{x}"))
-        pairs = pairs.unionByName(lead.join(of("a"), "a").join(of("b"), "b").select(F.col("lead_a").alias("a"), F.col("lead_b").alias("b")))
-    links = _links(pairs.distinct(), classes, slim, k, limit, table)
-    classes = written(_labelled(classes, links), "labelled")
+    # the first of each group, and of the groups of each hot shingle; what is not linked yet meets others
+    for nth in range(ROUNDS):
+        heads = written(_groups(classes), "groups")
+        pairs = classes.select("g1", "id", "label").join(heads.filter("size > 1 and not same").select(F.col("id").alias("g1"), "lead"), "g1").filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")) if nth == 0 else None
+        lead = setjoin.leaders(heads, [], limit, HOT, nth)
+        if lead is not None:
+            of = lambda x: heads.select(F.col("id").alias(x), F.col("lead").alias(f"lead_{x}"))
+            lead = lead.join(of("a"), "a").join(of("b"), "b").select(F.col("lead_a").alias("a"), F.col("lead_b").alias("b"))
+            pairs = lead if pairs is None else pairs.unionByName(lead)
+        links = None if pairs is None else _links(pairs.distinct(), classes, slim, k, limit, table)
+        if links is None or links.isEmpty():
+            break
+        classes = written(_labelled(classes, _by_label(links, classes)), "labelled")
     # pairs of groups, expanded to members of different labels
     heads = written(_groups(classes), "groups")
     pairs = setjoin.candidates(heads, limit).unionByName(heads.filter("not same").select(F.col("id").alias("a"), F.col("id").alias("b")))
     x, y = (classes.select(F.col("g1").alias(g), F.struct("id", "label", "n", "bits", "bits2").alias(s)) for g, s in (("a", "x"), ("b", "y")))
     met = pairs.join(x, "a").join(y, "b").filter((F.col("x.label") != F.col("y.label")) & ((F.col("a") != F.col("b")) | (F.col("x.id") < F.col("y.id"))) & setjoin.alike("x", "y", limit))
     links = _links(met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), classes, slim, k, limit, table)
-    a, b = (classes.select(F.col("id").alias(c), F.col("label").alias(f"label_{c}")) for c in "ab")
-    merged = links.join(a, "a").join(b, "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
-    return rows.select("row", "row2", "doc_id", "n", "k1", "k2"), _labelled(classes, merged).select("id", "k2", "label")
+    return rows.select("row", "row2", "doc_id", "n", "k1", "k2"), _labelled(classes, _by_label(links, classes)).select("id", "k2", "label")
 
 
 def join(docs: DataFrame, k: int = WORDS, limit=LIMIT) -> DataFrame:

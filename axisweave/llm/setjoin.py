@@ -27,8 +27,8 @@ from axisweave.llm.common import mix64, pack, pow2, steps, unpack
 
 #: Bytes of text a place of the table of counts, its least and most places, and places of one message.
 PER_PLACE, LEAST, MOST, CHUNK = 64, 1 << 16, 1 << 26, 1 << 16
-#: Heads of one token above which leaders come first, and posts that are packed or paired at a time.
-HOT, AT_ONCE = 256, 4_000_000
+#: Heads of one token above which leaders come first, most leaders of a token, and posts that are packed or paired at a time.
+HOT, LEADERS, AT_ONCE = 256, 8, 4_000_000
 BITS = 48
 SHIFT, WHOLE = np.uint64(BITS), np.uint64(BITS + 8)
 
@@ -102,30 +102,35 @@ def sets_of(token: np.ndarray, sizes: np.ndarray, limit) -> tuple:
 HEADS = "id long, n int, bits long, bits2 long, first int, head array<long>"
 
 
-def leaders(heads: DataFrame, order: list[Column], limit, hot_heads: int = HOT) -> DataFrame | None:
-    """(a, b): every set with a hot token and the first set, by order, of that token and about its size; None without hot tokens.
+def leaders(heads: DataFrame, order: list[Column], limit, hot_heads: int = HOT, nth: int = 0) -> DataFrame | None:
+    """(a, b): every set with a hot token and one or a few first sets, by order and by hashes, of that token and about its size; None without hot tokens.
 
-    Hot are tokens of more than hot_heads heads.
+    Pairs of one label are left out. Hot are tokens of more than hot_heads heads; each nth has other hashes, and the order counts in the first only.
 
-    heads has the columns of HEADS and those of order. Tokens too rare to be hot are not counted.
+    heads has the columns of HEADS, label, and those of order. Tokens too rare to be hot are not counted.
     """
     level = int(8 * math.log2(1 + hot_heads))
-    each = heads.select("id", "n", F.struct(*order, F.col("id").alias("id")).alias("at"), F.explode("head").alias("token")).filter(F.shiftright("token", BITS) >= level)
+    each = heads.select("id", "n", "label", F.struct(*order, F.col("id").alias("id")).alias("at"), F.explode("head").alias("token")).filter(F.shiftright("token", BITS) >= level)
     hot = written(each.groupBy("token").count().filter(F.col("count") > hot_heads).select("token"))
     if hot.isEmpty():
         return None
     # sizes of one class differ by less than the limit
     kind = F.floor(F.log(F.col("n").cast("double")) / math.log(limit[1] / limit[0])).cast("int")
-    mine = each.join(hot, "token").select("token", kind.alias("kind"), "at", "n")
-    first = mine.groupBy("token", "kind").agg(F.min("at").alias("lead"), F.min_by("n", "at").alias("m"))
-    near = (F.least("n", "m") * limit[1] >= F.greatest("n", "m") * limit[0]) & (F.col("lead.id") != F.col("at.id"))
+    mine = each.join(hot, "token").select("token", kind.alias("kind"), "at", "n", "label")
+    # the first in order, and by other orders as many more as the binary logarithm of how hot it is
+    by = [F.min(F.struct(F.xxhash64("at.id", F.lit(k + nth * LEADERS)).alias("x") if k + nth else F.lit(0).cast("long").alias("x"), "at", "n", "label")).alias(f"lead{k}") for k in range(LEADERS)]
+    first = mine.groupBy("token", "kind").agg(F.count("*").alias("count"), *by)
+    many = F.least(F.lit(LEADERS), 1 + F.floor(F.log2(F.greatest(F.lit(1.0), F.col("count") / hot_heads)))).cast("int")
+    first = first.select("token", "kind", F.explode(F.slice(F.array(*[F.struct(F.col(f"lead{k}.at.id").alias("id"), F.col(f"lead{k}.n").alias("n"), F.col(f"lead{k}.label").alias("label")) for k in range(LEADERS)]), F.lit(1), many)).alias("lead"))
     # a set also meets the first of the next larger size, which hangs the sizes of a family together
     both = mine.withColumn("kind", F.explode(F.array(F.col("kind"), F.col("kind") + 1)))
-    return both.join(first, ["token", "kind"]).filter(near).select(F.col("lead.id").alias("a"), F.col("at.id").alias("b")).distinct()
+    near = (F.least("n", "lead.n") * limit[1] >= F.greatest("n", "lead.n") * limit[0]) & (F.col("lead.id") != F.col("at.id")) & (F.col("lead.label") != F.col("label"))
+    pair = (F.col("lead.id"), F.col("at.id"))
+    return both.join(first, ["token", "kind"]).filter(near).select(F.least(*pair).alias("a"), F.greatest(*pair).alias("b")).distinct()
 
 
 def candidates(heads: DataFrame, limit) -> DataFrame:
-    """(a, b) of all pairs of different labels that share a token of both heads and pass the filters, a < b. heads has HEADS and label."""
+    """(a, b) of all pairs of different labels that share a token of both heads and pass the filters, a < b. heads has HEADS and label; a sketch of zeros is none."""
     parts = int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     width = max(1, -(-(1 << BITS) // parts))
 
@@ -169,7 +174,8 @@ def candidates(heads: DataFrame, limit) -> DataFrame:
             # where the parities of two sketches differ there is a token that only one of the sets has
             a, b, both = a[ok], b[ok], both[ok]
             differ = np.bitwise_count(bits[a].view(np.uint64) ^ bits[b].view(np.uint64)).astype(np.int64) + np.bitwise_count(bits2[a].view(np.uint64) ^ bits2[b].view(np.uint64))
-            ok = differ * (limit[0] + limit[1]) <= both * (limit[1] - limit[0])
+            known = (bits | bits2) != 0
+            ok = (differ * (limit[0] + limit[1]) <= both * (limit[1] - limit[0])) | ~known[a] | ~known[b]
             a, b = who[a[ok]], who[b[ok]]
             out.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0))
             low = high
