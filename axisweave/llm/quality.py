@@ -1,16 +1,15 @@
 """Quality rules: counts of each text, and line frequency across the documents of a host.
 
-Lines are normalised (ASCII lower case, white space to one space, trimmed) and hashed;
-for every host (``source``) the distinct texts that hold a line are counted. Lines in more
-of them than a limit are removed, and a document that is left with too little is rejected.
-Exact copies count once, so a page that was copied does not make its own lines frequent.
+Lines are normalised (ASCII lower case, white space to one space, trimmed) and hashed; for every host (``source``) the documents that hold a line
+are counted: rows, each once however often the line is in it, copies and equal rows too. Lines in more than ``LINE_DOCS`` of them are
+removed, however large the host is, and a document that is left with too little is rejected.
 
-Only DataFrame functions run here, and no text is moved: the frequent lines of a host go to its
-documents, not the lines of the documents to the counts.
+Only DataFrame functions run here, and no text is moved: the frequent lines of a host go to its documents while they are few by a check of their size (``LIST``,
+``LIST_BYTES``); beyond that the keys of lines are joined with the frequent ones and each document gets its own.
 
-Edge cases. A null text has no words, no lines, and fails the base rule; a null source is one host.
-Equal rows give equal results, one a row. A null doc_id is kept. Empty input gives no rows; other
-columns of the input are ignored by ``judge`` and kept by ``keep``. Lines without a word stay.
+Edge cases. A null text has no words, no lines, and fails the base rule; a null source is one host. Equal rows give equal results, one a row. A null doc_id is
+kept, and doc_id may be of any type. Empty input gives no rows; other columns of the input, whatever their names, are ignored by ``judge`` and kept by ``keep``. Lines without a
+word stay. Long texts are judged whole, as one row. Line keys are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -18,15 +17,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from axisweave.llm.common import WORD, WS, cut
+from axisweave.llm.common import WORD, WS, written
 
 MIN_WORDS, MAX_REPEAT, WINDOW = 20, 30, 8
-#: A line is frequent in more than this many distinct texts of a host and more than this share of them.
-LINE_DOCS, LINE_SHARE = 10, 0.05
+#: A line is frequent in more than this many documents of a host.
+LINE_DOCS = 50
 #: Words and share of words that must be left.
 LEFT_WORDS, LEFT_SHARE = 20, 0.2
-#: Hosts up to this number are broadcast. A host has at most (mean lines of its documents) / LINE_SHARE frequent lines.
-FEW_HOSTS = 10_000
+#: Most frequent lines of a host, and bytes of all of them, that go to the documents as one list a host.
+LIST, LIST_BYTES = 5_000, 16 << 20
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -44,27 +43,44 @@ def _lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
 
 
+def _keys(docs: DataFrame) -> DataFrame:
+    """(row, host, line): the distinct line keys of every document; row is a hash of what is read of it."""
+    texts = docs.select(_row(), F.col("source").alias("host"), _lines(_text()).alias("lines"))
+    return texts.select("row", "host", F.explode(F.array_distinct(F.transform("lines", _line_key))).alias("line"))
+
+
+def _row() -> Column:
+    return F.xxhash64("doc_id", "source", "text").alias("row")
+
+
 def frequent_lines(docs: DataFrame) -> DataFrame:
-    """(host, lines): the keys of each host's frequent lines; hosts without any are absent."""
-    texts = docs.select(F.col("source").alias("host"), F.xxhash64(_text()).alias("copy"), _lines(_text()).alias("lines"))
-    seen = texts.select("host", "copy", F.explode(F.array_distinct(F.transform("lines", _line_key))).alias("line")).distinct()
-    counts = seen.groupBy("host", "line").count().filter(F.col("count") > LINE_DOCS)
-    hosts = texts.groupBy("host").agg(F.count_distinct("copy").alias("n"))
-    both = counts.alias("c").join(hosts.alias("h"), F.col("c.host").eqNullSafe(F.col("h.host")))
-    return both.filter(F.col("count") > F.col("n") * LINE_SHARE).groupBy("c.host").agg(F.collect_set("line").alias("frequent"))
+    """(host, line): the keys of each host's frequent lines."""
+    return _keys(docs).groupBy("host", "line").count().filter(F.col("count") > LINE_DOCS).select("host", "line")
+
+
+def _lists(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Lists of frequent lines (frequent), by host or, where they are long, by row, and the names of the key there and in the documents."""
+    lines = written(frequent_lines(docs), "frequent")
+    hosts = lines.groupBy("host").agg(F.count("*").alias("n"))
+    longest, size = hosts.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum(8 * F.col("n") + F.coalesce(F.octet_length(F.col("host").cast("string")), F.lit(0))), F.lit(0))).first()
+    if longest <= LIST and size <= LIST_BYTES:
+        return F.broadcast(lines.groupBy(F.col("host").alias("of")).agg(F.collect_set("line").alias("frequent"))), "host"
+    k, f = _keys(docs).alias("k"), lines.alias("f")
+    held = k.join(f, (F.col("k.line") == F.col("f.line")) & F.col("k.host").eqNullSafe(F.col("f.host")))
+    return written(held.groupBy(F.col("k.row").alias("of")).agg(F.collect_set("k.line").alias("frequent")), "held"), "row"
 
 
 def _measured(docs: DataFrame, extra: list[str]) -> DataFrame:
     """Counts of each text; ``found`` has (key, words) of its lines. Arrays used again stand in a projection of their own."""
-    d = docs.select(*extra, "doc_id", F.col("source").alias("host"), _text().alias("text"))
-    d = d.select(*extra, "doc_id", "host", F.array_remove(F.split("text", WS), "").alias("words"), _lines(F.col("text")).alias("lines"),
+    d = docs.select(*extra, "doc_id", _row(), F.col("source").alias("host"), _text().alias("text"))
+    d = d.select(*extra, "doc_id", "row", "host", F.array_remove(F.split("text", WS), "").alias("words"), _lines(F.col("text")).alias("lines"),
                  (F.length("text") - F.length(F.translate("text", SPACES, ""))).alias("n_spaces"), F.length("text").alias("n_points"),
                  (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"))
     n = F.size("words")
     windows = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("words", i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
     words = lambda x: F.length(F.regexp_replace(F.regexp_replace(x, WORD, "x"), WS, "")).cast("long")
     found = F.transform("lines", lambda x: F.struct(_line_key(x).alias("key"), words(x).alias("words")))
-    d = d.select(*extra, "doc_id", "host", n.cast("long").alias("n_words"), (F.col("n_points") - F.col("n_spaces")).cast("long").alias("word_chars"), "n_symbols",
+    d = d.select(*extra, "doc_id", "row", "host", n.cast("long").alias("n_words"), (F.col("n_points") - F.col("n_spaces")).cast("long").alias("word_chars"), "n_symbols",
                  (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), found.alias("found"), windows.alias("windows"))
     # only texts with an equal pair of windows sort them; the places of equal ones then lie side by side
     again = F.size(F.array_distinct("windows")) < F.size("windows")
@@ -79,10 +95,8 @@ def _measured(docs: DataFrame, extra: list[str]) -> DataFrame:
 
 def _judged(docs: DataFrame, extra: list[str]) -> DataFrame:
     """What ``judge`` gives, the columns of extra, and the frequent lines of the document's host."""
-    lines = cut(frequent_lines(docs))
-    few = lines.count() <= FEW_HOSTS
-    d = _measured(docs, extra).alias("d")
-    d = d.join((F.broadcast(lines) if few else lines).alias("f"), F.col("d.host").eqNullSafe(F.col("f.host")), "left").select("d.*", "f.frequent")
+    lists, key = _lists(docs)
+    d = _measured(docs, extra).alias("d").join(lists.alias("f"), F.col(f"d.{key}").eqNullSafe(F.col("f.of")), "left").select("d.*", "f.frequent")
     hit = F.filter("found", lambda x: F.array_contains("frequent", x["key"]))
     d = d.withColumn("n_removed_words", F.coalesce(F.aggregate(hit, F.lit(0).cast("long"), lambda a, x: a + x["words"]), F.lit(0)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
@@ -98,8 +112,8 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, their text without the frequent lines; the other columns (a count of characters too) as they were."""
-    whole = docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    kept = _judged(whole.select("doc_id", "source", "text", "__row"), ["__row"]).filter("kept")
+    whole = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    kept = _judged(whole, ["__row"]).filter("kept")
     left = F.filter(F.split("__row.text", "\n"), lambda x: ~F.array_contains("frequent", _line_key(x)))
     text = F.when(F.col("n_removed_words") > 0, F.array_join(left, "\n")).otherwise(F.col("__row.text"))
     return kept.select(*[text.alias(c) if c == "text" else F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
@@ -121,12 +135,10 @@ covered as (
   select rn, count(distinct i + j) as n from (select rn, i, count(*) over (partition by rn, w) as k from w), (select unnest(generate_series(0, {WINDOW - 1})) as j)
   where k > 1 group by rn),
 l as (
-  select rn, host, text, line, trim(regexp_replace(translate(line, '{UPPER}', '{LOWERED}'), '{WS}', ' ', 'g')) as key
-  from (select rn, host, text, unnest(lines) as line from m)),
+  select rn, host, line, trim(regexp_replace(translate(line, '{UPPER}', '{LOWERED}'), '{WS}', ' ', 'g')) as key
+  from (select rn, host, unnest(lines) as line from m)),
 f as (
-  select c.host, key from (select host, key, count(distinct text) as k from l group by host, key) c
-  join (select host, count(distinct text) as n from d group by host) h on c.host is not distinct from h.host
-  where k > {LINE_DOCS} and k > n * {LINE_SHARE}),
+  select c.host, key from (select host, key, count(distinct rn) as k from l group by host, key) c where k > {LINE_DOCS}),
 gone as (
   select rn, sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) as gone from l join f on l.host is not distinct from f.host and l.key = f.key group by rn),
 s as (
