@@ -27,4 +27,5 @@ SQL = {
     "op4_decontaminate": decontaminate.SQL,
     "op5_quality_rules": quality.SQL,
     "op6_ngram_join": ngram_join.SQL,
+    "op8_secret_scan": secrets.SQL,
 }

@@ -257,23 +257,33 @@ def test_quality(docs, rows, none):
     assert quality.query(none).count() == 0 and quality.keep(none).count() == 0
 
 
-def test_quality_removes_frequent_lines(spark):
+@pytest.mark.parametrize("most", [5000, 0])
+def test_quality_removes_frequent_lines(spark, monkeypatch, most):
+    monkeypatch.setattr(quality, "LIST", most)  # 0: lists by document
     prose = lambda k: " ".join(f"t{k}x{j}" for j in range(40))
     spam = " ".join(f"buy{j} now{j}" for j in range(15))
-    data = [(k, f"{prose(k)}\n{spam if k < 30 else prose(1000 + k)}", "h") for k in range(60)] + [(100 + k, spam + f"\nend {k}", "h") for k in range(10)]
-    got = {r.doc_id: r for r in quality.query(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()}
-    assert got[0].kept and got[0].n_removed_words == 30 and got[40].kept and got[40].n_removed_words == 0
-    assert not any(got[100 + k].kept for k in range(10))
-
-
-def test_quality_keeps_texts_without_frequent_lines(spark):
+    data = [(k, f"{prose(k)}\n{spam if k < 50 else prose(1000 + k)}", "h") for k in range(900)] + [(1000 + k, spam + f"\nend {k}", "h") for k in range(10)]
+    data += [(2000 + k, prose(7), "g") for k in range(51)] + [(3000 + k, prose(8), "f") for k in range(50)]
+    data += [(None, prose(9), None)] * 51
+    got = [r for r in quality.query(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()]
+    by = {r.doc_id: r for r in got}
+    assert by[0].kept and by[0].n_removed_words == 30 and by[70].kept and by[70].n_removed_words == 0  # 60 of 910 documents hold the line
+    assert not any(by[1000 + k].kept for k in range(10))
+    assert not by[2000].kept and by[2000].n_removed_words == 40 and by[3000].kept  # copies count, each by itself; 50 are not more than 50
+    assert sum(r.doc_id is None and not r.kept for r in got) == 51  # a null source is one host
+
+
+@pytest.mark.parametrize("most", [5000, 0])
+def test_quality_keeps_texts_without_frequent_lines(spark, monkeypatch, most):
+    monkeypatch.setattr(quality, "LIST", most)
     prose = lambda k: " ".join(f"t{k}x{j}" for j in range(40))
     spam = " ".join(f"buy{j} now{j}" for j in range(15))
-    data = [(k, f"{prose(k)}\n\n{spam.upper() if k < 15 else spam} \n{prose(1000 + k)}\n" if k < 30 else f"{prose(k)}\n", "h") for k in range(60)]
-    data += [(100, f"{prose(100)}\n{spam}", "other"), (101, f"{spam}\nend", "h")]
-    got = {r.doc_id: r.text for r in quality.keep(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()}
-    want = {k: f"{prose(k)}\n\n{prose(1000 + k)}\n" if k < 30 else f"{prose(k)}\n" for k in range(60)}
-    assert got == want | {100: f"{prose(100)}\n{spam}"}
+    data = [(k, f"{prose(k)}\n\n{spam.upper() if k < 15 else spam} \n{prose(1000 + k)}\n" if k < 60 else f"{prose(k)}\n", "h", 1, "x") for k in range(90)]
+    data += [(100, f"{prose(100)}\n{spam}", "other", 1, "x"), (101, f"{spam}\nend", "h", 1, "x")]
+    kept = quality.keep(spark.createDataFrame(data, "doc_id long, text string, source string, row int, frequent string"))
+    want = {k: f"{prose(k)}\n\n{prose(1000 + k)}\n" if k < 60 else f"{prose(k)}\n" for k in range(90)}
+    assert kept.columns == ["doc_id", "text", "source", "row", "frequent"]
+    assert {r.doc_id: r.text for r in kept.collect()} == want | {100: f"{prose(100)}\n{spam}"}
 
 
 def _brute_components(rows, k, limit):
@@ -397,7 +407,7 @@ def test_matrix_has_exact_margins():
     assert abs(np.mean(big) - 250) < 5 and 10 < np.std(big) < 18
 
 
-def test_secrets(spark, docs, rows, none):
+def test_secrets(spark, docs, rows, none, tmp_path, monkeypatch):
     def base(t):
         t = t or ""
         rules = (("assign", r"(?ai:(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+))", 2, 12), ("access", r"AKIA[A-Z0-9]+", 0, 18), ("hex", r"[0-9a-f]+", 0, 16))
@@ -411,11 +421,21 @@ def test_secrets(spark, docs, rows, none):
     got = secrets.query(docs).collect()
     assert Counter(tuple(r)[:5] for r in got) == want
     assert secrets.query(none).count() == 0
-    known = secrets.scan(docs.filter("doc_id < 50"))
-    new = secrets.scan(docs, known)
-    texts = lambda d: {r.blob for r in secrets.blobs(d).collect()}
-    assert {r.blob for r in new.collect()} == texts(docs) - texts(docs.filter("doc_id < 50"))
-    assert secrets.report(docs, known.unionByName(new)).count() == len(rows)
+    ledger = f"{tmp_path}/ledger"
+    distinct = lambda keep: {t or "" for i, t, _ in rows if keep(i)}
+    few = distinct(lambda i: i is not None and i < 50)
+    assert secrets.scan(docs.filter("doc_id < 50"), ledger) == len(few)
+    assert secrets.scan(docs, ledger) == len(distinct(lambda i: True) - few)
+    assert secrets.known(spark, ledger).count() == len(distinct(lambda i: True))
+    scanned = spark.sparkContext.accumulator(0)
+    found = secrets._found
+    monkeypatch.setattr(secrets, "_found", lambda b, t: (scanned.add(len(b)), found(b, t))[1])
+    before = len(list(tmp_path.glob("ledger/*.parquet")))
+    assert secrets.scan(docs, ledger) == 0 and scanned.value == 0  # the second scan finds nothing unseen
+    assert len(list(tmp_path.glob("ledger/*.parquet"))) == before
+    assert Counter(tuple(r)[:5] for r in secrets.report(docs, ledger).collect()) == want
+    monkeypatch.setattr(secrets, "RULES_VERSION", "next")
+    assert secrets.unseen(docs, ledger).count() == len(distinct(lambda i: True))  # other rules see every blob anew
 
 
 def test_secret_patterns_are_ascii():
