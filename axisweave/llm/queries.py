@@ -28,4 +28,5 @@ SQL = {
     "op5_quality_rules": quality.SQL,
     "op6_ngram_join": ngram_join.SQL,
     "op8_secret_scan": secrets.SQL,
+    "op9_language_model": language_model.SQL,
 }

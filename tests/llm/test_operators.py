@@ -444,28 +444,54 @@ def test_secret_patterns_are_ascii():
     assert secrets.find("é token=abcdefghijkl") == [("assign", 2, 20)]
 
 
-def test_language_model(docs, rows, none):
-    tokens = lambda t: [*((t or "").encode().translate(ngram_join.hashed_words.__defaults__[0]).split()), None]
+def _brute_scores(rows):
+    """The probabilities of the automaton by plain recursion over counts."""
+    lower = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+    tokens = lambda t: [*((t or "").encode().translate(lower).split()), None]
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
-    c, pair, ctx = Counter(), Counter(), Counter()
+    c = Counter()
     for i, t, _ in rows:
         if not held(i):
-            x = tokens(t)
-            c.update(x)
-            pair.update(zip(["<", *x], x))
-            ctx.update(["<", *x[:-1]])
-    n, v = sum(c.values()), len(c)
+            x = ["<", *tokens(t)]
+            c.update((w,) for w in x)
+            c.update(zip(x, x[1:]))
+            c.update(zip(x, x[1:], x[2:]))
+    words = {k: n for k, n in c.items() if len(k) == 1 and k != ("<",)}
+    n, v = sum(words.values()), len(words)
+
+    def p(history, w):
+        if not history:
+            return (c[(w,)] + 1) / (n + v + 1)
+        low = p(history[1:], w)
+        m = language_model.MASS[len(history) - 1]
+        return (c[(*history, w)] + m * low) / (c[history] + m) if c[history] else low
+
     want = Counter()
     for i, t, _ in rows:
-        x = tokens(t)
-        p1 = [(c[w] + 1) / (n + v + 1) for w in x]
-        full = [math.log10((pair[a, w] + language_model.MASS * p) / (ctx[a] + language_model.MASS)) for a, w, p in zip(["<", *x], x, p1)]
-        want[(i, held(i), len(x), sum(c[w] > 0 for w in x), n, round(sum(map(math.log10, p1)), 6), round(sum(full), 6))] += 1
-    got = language_model.query(docs).collect()
-    assert Counter((*tuple(r)[:5], round(r.base_score, 6), round(r.score, 6)) for r in got) == want
+        x = ["<", *tokens(t)]
+        full = [p(tuple(x[max(0, k - 2) : k]), x[k]) for k in range(1, len(x))]
+        base = [p((), w) for w in x[1:]]
+        want[(i, held(i), len(x) - 1, sum(c[(w,)] > 0 for w in x[1:]), n, round(sum(map(math.log10, base)), 6), round(sum(map(math.log10, full)), 6))] += 1
+    return want
+
+
+def _rounded(d):
+    return Counter((*tuple(r)[:5], round(r.base_score, 6), round(r.score, 6)) for r in d.collect())
+
+
+def test_language_model(docs, rows, none, monkeypatch):
+    assert _rounded(language_model.query(docs)) == _brute_scores(rows)
+    monkeypatch.setattr(language_model, "LANE", 5)  # lanes pick up the state of those before them
+    assert _rounded(language_model.query(docs.repartition(6))) == _brute_scores(rows)
     assert language_model.query(none).count() == 0
 
 
+def test_language_model_without_training_texts(spark):
+    held = [(k, "a b c", "s") for k in range(60) if zlib.crc32(str(k).encode()) % 7 == 2]
+    d = spark.createDataFrame(held, "doc_id long, text string, source string")
+    assert _rounded(language_model.query(d)) == _brute_scores(held)
+
+
 def test_classifier(spark, docs, none):
     rng = random.Random(2)
     data, marks = [], []
