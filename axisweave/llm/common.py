@@ -100,8 +100,8 @@ def steps(x: np.ndarray) -> np.ndarray:
 BLOCK = "block long, rows int, blob binary"
 
 
-def blocks(docs: DataFrame, *columns: str) -> DataFrame:
-    """The columns (text last) as checkpointed, compressed blocks of at most BATCH_BYTES or one document.
+def blocks(docs: DataFrame, *columns: str, most: int = BATCH_BYTES) -> DataFrame:
+    """The columns (text last) as checkpointed, compressed blocks of about most bytes or one document.
 
     A block is named by its task and its place there; 24 bits stay free for the number of a row. As the blocks are written once and read from the
     checkpoint after that, a name stands for the same rows whichever executor is lost later.
@@ -114,7 +114,7 @@ def blocks(docs: DataFrame, *columns: str) -> DataFrame:
         name = TaskContext.get().partitionId() << 40
         for batch in batches:
             sizes = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(batch.num_columns - 1).cast(pa.binary())], np.int64)
-            cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // BATCH_BYTES, prepend=0, append=-1) != 0) if len(sizes) else []
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // most, prepend=0, append=-1) != 0) if len(sizes) else []
             low = 0
             for high in cuts:
                 if high > low:

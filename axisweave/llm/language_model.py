@@ -17,7 +17,7 @@ Long texts are walked in lanes of ``LANE`` words side by side; a lane first read
 Keys are hashes of at least 48 bits, and 20 bits more than it takes to number the corpus's words.
 
 Edge cases. A null text is the empty text: one end token. A null doc_id counts as the empty string for the hold-out; doc_id may be of any type that has a text. Equal rows are all
-counted and each scored. Without training documents all counts are 0 and only the root is there. A text of any length is scored whole (a block holds 12 MB of text, or one text). Empty
+counted and each scored. Without training documents all counts are 0 and only the root is there. A text of any length is scored whole (a block holds 6 MB of text, or one text). Empty
 input gives no rows; other columns, whatever their names, are ignored.
 """
 
@@ -38,6 +38,8 @@ from axisweave.llm.common import blocks, hashed_words, mix64, opened, pack, step
 MASS = (32.0, 2.0)
 #: Words that a lane reads, besides the two before it.
 LANE = 512
+#: Bytes of text of a block; its n-grams take some 50 times that while they are counted.
+BLOCK_BYTES = 6 << 20
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Hashes of what no word is.
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
@@ -63,17 +65,22 @@ class Grams:
         self.third[self.starts] = False
         # the last bit is 0 for words, 1 for all else
         key = lambda x, last: mix64(x) >> np.uint64(64 - bits) & ~np.uint64(1) | np.uint64(last)
-        pair = mix64(back * ODD) + mix64(words + ODD)
-        triple = mix64(mix64(far + np.uint64(7)) * ODD + mix64(back * ODD + np.uint64(3))) + mix64(words ^ ODD)
-        train = np.repeat(~self.held, self.sizes)
-        every = [key(words, 0), key(pair, 1), key(triple[self.third], 1), key(np.array([START]), 1)]
-        self.keys, place = np.unique(np.concatenate(every), return_inverse=True)
-        use = np.concatenate((train, train, train[self.third], [(~self.held).sum()]))
-        self.counts = np.bincount(place, use, len(self.keys)).astype(np.uint32)
-        n = len(words)
-        self.one, self.two, self.start = place[:n], place[n : 2 * n], place[-1]
-        self.three = np.zeros(n, np.int64)
-        self.three[self.third] = place[2 * n : -1]
+        train, n = np.repeat(~self.held, self.sizes), len(words)
+        one = np.unique(np.append(key(words, 0), key(np.array([START]), 1)), return_inverse=True)
+        two = np.unique(key(mix64(back * ODD) + mix64(words + ODD), 1), return_inverse=True)
+        three = key(mix64(mix64(far + np.uint64(7)) * ODD + mix64(back * ODD + np.uint64(3))) + mix64(words ^ ODD), 1)[self.third]
+        del words, back, far
+        three = np.unique(three, return_inverse=True)
+        self.keys, place = np.unique(np.concatenate((one[0], two[0], three[0])), return_inverse=True)
+        cuts = np.cumsum([0, len(one[0]), len(two[0])])
+        self.one, self.two, self.three = place[one[1][:n]].astype(np.int32), place[cuts[1] + two[1]].astype(np.int32), np.zeros(n, np.int32)
+        self.three[self.third] = place[cuts[2] + three[1]]
+        self.start = int(place[one[1][n]])
+        del one, two, three, place
+        self.counts = np.zeros(len(self.keys), np.uint32)
+        for x in (self.one[train], self.two[train], self.three[train & self.third]):
+            self.counts += np.bincount(x, minlength=len(self.keys)).astype(np.uint32)
+        self.counts[self.start] += np.uint32((~self.held).sum())
 
     def ranges(self, bits: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of the ranges that have keys, and where each begins (and the last ends)."""
@@ -186,7 +193,7 @@ def score(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     size, parts = text_bytes(docs), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bits = key_bits(size)
-    store = blocks(docs, "doc_id", "text")
+    store = blocks(docs, "doc_id", "text", most=BLOCK_BYTES)
     answers = written(store.mapInArrow(_ask(bits, parts), "block long, part int, blob binary").groupBy("part").applyInArrow(_sum, ANSWER), "answers")
     n, v = answers.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     both = store.select("block", F.lit(-1).alias("part"), "blob").unionByName(answers.select("block", "part", "blob"))
