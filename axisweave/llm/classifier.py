@@ -9,7 +9,8 @@ their cosine as weight.
 
 Edge cases. A null or empty text has the bins alone as features. Labels are averaged over repeated
 doc_ids; null labels and labels without a document are ignored. A null doc_id is never held out.
-Without any label the score is 0.5. Equal rows get equal scores, one a row; empty input gives no rows.
+Without any label the score is 0.5. Equal rows get equal scores, one a row; repeated doc_ids are scored each by its text, and the least text of a
+repeated doc_id is learnt from. Texts of any length are scored whole (a batch holds 12 MB of text, or one text). Other columns, whatever their names, are ignored; empty input gives no rows.
 """
 
 from __future__ import annotations

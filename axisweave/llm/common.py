@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from axisweave.functions.checkpoints import cut as cut
 from axisweave.functions.checkpoints import written as written
@@ -211,9 +212,23 @@ def hashed_words(texts: pa.Array, fold: bytes | None = LOWER) -> tuple[np.ndarra
     return hashed_spans(data, start, stop), np.diff(np.searchsorted(start, ends)).astype(np.int64)
 
 
-def by_range(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where each of parts (a power of two) equal ranges of the key space begins in sorted uint64 keys."""
+def by_range(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of those of parts equal ranges of the key space that have any of sorted uint64 keys, and where each begins (and the last ends)."""
+    part = (keys // np.uint64(-(-(1 << 64) // parts) if parts > 1 else (1 << 64) - 1)).astype(np.int64)
     if parts == 1:
-        return np.array([0, len(keys)])
-    step = np.uint64(64 - int(np.log2(parts)))
-    return np.concatenate((np.searchsorted(keys, np.arange(parts, dtype=np.uint64) << step), [len(keys)]))
+        part[:] = 0
+    cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return part[cuts], np.append(cuts, len(keys))
+
+
+def integral(docs: DataFrame) -> DataFrame:
+    """docs, if their doc_id is a whole number; else a TypeError that says so."""
+    if dict(docs.dtypes)["doc_id"] not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"doc_id must be a whole number here, not {dict(docs.dtypes)['doc_id']}")
+    return docs
+
+
+def signature(docs: DataFrame, *more: Column) -> Column:
+    """A 64-bit hash of all columns of a row (maps by their JSON), so that rows which differ anywhere are told apart alike however they are partitioned."""
+    each = [F.to_json(F.col(f"`{f.name}`")) if isinstance(f.dataType, MapType) else F.col(f"`{f.name}`") for f in docs.schema]
+    return F.xxhash64(*more, *each)

@@ -11,7 +11,8 @@ if there are several, so neither the driver nor a task ever holds more of it.
 
 Edge cases. Null texts have no words. A null item_id counts as the empty string; items of equal id and
 different texts are one item. Equal documents give equal results, one a row. An empty benchmark hits
-nothing, empty documents give no rows. A benchmark item of fewer words than a window is one window.
+nothing, empty documents give no rows. A benchmark item of fewer words than a window is one window. doc_id may be of any type and null. Other columns, whatever
+their names, are ignored by ``query`` and ``matches`` and kept by ``clean``. A text of any length is searched whole (a batch holds 12 MB of text, or one text).
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ BLOCK_BYTES = 16 << 20
 #: Letters to lower case, digits and bytes over 127 as they are, all else to a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 STATE = "__hits binary, __items array<string>, __n_words bigint"
-MATCHES = "doc_id bigint, item_id string, doc_word bigint, item_word bigint, n_words bigint"
+MATCHES = "doc_id {}, item_id string, doc_word bigint, item_word bigint, n_words bigint"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -203,22 +204,25 @@ def matches(docs: DataFrame, bench: DataFrame) -> DataFrame:
                 a = np.flatnonzero(new)
                 b = np.concatenate((a[1:], [len(at)]))[: len(a)] - 1
                 doc = np.searchsorted(starts, at[a], "right") - 1
-                ids = batch.column("doc_id").take(pa.array(doc)).cast(pa.int64())
+                ids = batch.column("doc_id").take(pa.array(doc))
                 columns = [ids, pa.array([t.ids[i] for i in item[a]], pa.string()), at[a] - starts[doc], t.place[rows[a]], at[b] - at[a] + t.lens[rows[a]]]
                 yield pa.RecordBatch.from_arrays([*columns[:2], *(pa.array(x, pa.int64()) for x in columns[2:])], [x.split()[0] for x in MATCHES.split(", ")])
 
         return run
 
-    slim, out = docs.select("doc_id", "text"), None
+    slim, out, kind = docs.select("doc_id", "text"), None, MATCHES.format(dict(docs.dtypes)["doc_id"])
     for tests in _blocks(bench):
-        part = slim.mapInArrow(run_of(spark.sparkContext.broadcast(tests)), MATCHES)
+        part = slim.mapInArrow(run_of(spark.sparkContext.broadcast(tests)), kind)
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def clean(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """The documents that no window of the benchmark hits, all columns as they were."""
-    return search(docs, bench).filter(F.length("__hits") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # names of the caller's columns can't meet those of the search
+    own = docs.select(*[F.col(f"`{c}`").alias(c if c == "text" else f"column_{k}") for k, c in enumerate(docs.columns)])
+    left = search(own, bench).filter(F.length("__hits") == 0)
+    return left.select(*[F.col(x).alias(c) for x, c in zip(own.columns, docs.columns)])
 
 
 #: Windows of items joined with windows of documents, both as lists of words.

@@ -6,9 +6,9 @@ documents a whole number of times and a seeded random share of them once more.
 
 Edge cases. A null text has size 0; a null source is one source, last in order;
 a source without words gets target 0. Documents are ordered by a digest of seed,
-doc_id and text; equal rows tie and either may come first, which gives the same
-rows. A null doc_id counts as an empty string there. Empty input gives no rows.
-Other columns of the input are ignored by ``plan`` and kept by ``mix``.
+doc_id and text, and ``mix`` orders those of one digest by a hash of all columns (maps by their JSON); equal rows tie and either may come first, which gives the same
+rows whatever the partitioning. A null doc_id counts as an empty string there. Empty input gives no rows. Other columns of the input, whatever their names, are ignored by ``plan`` and kept by ``mix``. A text of any
+length is one document.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from axisweave.llm.common import cut, n_words
+from axisweave.llm.common import WORD, cut, n_words, signature
 
 WEIGHTS, SHARE, EPOCHS, SEED = (5, 2, 1), 1.5, 2.0, "mix-1"
 #: Hex digits of the digest that name a bucket: 4096 buckets a source.
@@ -56,28 +56,37 @@ def fill(sources: DataFrame, share: float, epochs: float) -> DataFrame:
     return sources.withColumn("target", target.cast("double"))
 
 
-def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, seed: str = SEED) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target of its source, and the words taken of it.
-
-    taken is the whole repetitions times size, plus size for the documents that come
-    first in the seeded order of their source, plus a part of the one at which the
-    target is reached (its leading words).
-    """
-    base = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _digest(seed).alias("digest")))
-    base = base.withColumn("bucket", F.substring("digest", 1, DIGITS))
+def _edges(base: DataFrame, weights, share: float, epochs: float) -> DataFrame:
+    """Per source (of): source_size, target, whole repetitions, and the bucket (edge) of base in which the seeded order takes the last words (left_over)."""
     sizes = cut(base.groupBy("source", "bucket").agg(F.sum("size").alias("words")))
     sources = sizes.groupBy("source").agg(F.sum("words").alias("source_size"))
-    n = sources.count()
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
-    targets = fill(cut(_ranked(sources, n).withColumn("weight", weight)), share, epochs)
+    targets = fill(cut(_ranked(sources, sources.count()).withColumn("weight", weight)), share, epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     targets = targets.withColumn("whole", whole).withColumn("rest", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
     # the bucket in which the seeded order reaches the rest, from the buckets' sums alone
     up_to = F.sum("words").over(W.partitionBy("source").orderBy("bucket"))
     t, s = targets.alias("t"), sizes.withColumn("up_to", up_to).alias("s")
     edge = t.join(s, F.col("t.source").eqNullSafe(F.col("s.source")) & (F.col("t.rest") > F.col("s.up_to") - F.col("s.words")) & (F.col("t.rest") <= F.col("s.up_to")), "left")
-    edge = cut(edge.select("t.*", F.coalesce("s.bucket", F.lit("")).alias("edge"), (F.col("t.rest") - F.coalesce(F.col("s.up_to") - F.col("s.words"), F.lit(0))).alias("left_over")).withColumnRenamed("source", "of"))
-    joined = base.join(F.broadcast(edge) if n <= FEW else edge, F.col("source").eqNullSafe(F.col("of")))
+    return cut(edge.select("t.*", F.coalesce("s.bucket", F.lit("")).alias("edge"), (F.col("t.rest") - F.coalesce(F.col("s.up_to") - F.col("s.words"), F.lit(0))).alias("left_over")).withColumnRenamed("source", "of"))
+
+
+def _small(edges: DataFrame) -> DataFrame:
+    """With the hint to broadcast where the sources are few and their names short; else Catalyst chooses."""
+    n, size = edges.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("of")), F.lit(0))).first()
+    return F.broadcast(edges) if n <= FEW and size <= 64 * FEW else edges
+
+
+def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, seed: str = SEED) -> DataFrame:
+    """Per document: doc_id, source, size, source_size, target of its source, and the words taken of it.
+
+    taken is the whole repetitions times size, plus size for the documents that come
+    first in the seeded order of their source, plus a part of the one at which the
+    target is reached (its leading words).
+    """
+    base = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _digest(seed).alias("digest")))
+    base = base.withColumn("bucket", F.substring("digest", 1, DIGITS))
+    joined = base.join(_small(_edges(base, weights, share, epochs)), F.col("source").eqNullSafe(F.col("of")))
     clear = joined.filter(F.col("bucket") != F.col("edge")).withColumn("extra", F.when(F.col("bucket") < F.col("edge"), F.col("size")).otherwise(0))
     before = F.sum("size").over(W.partitionBy("source").orderBy("digest", "doc_id").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
     split = joined.filter(F.col("bucket") == F.col("edge")).withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("left_over") - before)))
@@ -89,20 +98,21 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: float =
     """The mixed corpus itself: each document as many times as the plan takes it, all its columns kept.
 
     The one document a source at which its target is reached comes whole if at least half of it is
-    taken, else not once more. Documents without words stay once.
+    taken, else not once more. Documents without words stay once. Texts stay where they are, but for those of one bucket a source.
     """
-    kept = list(docs.columns)
-    repeats = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1).cast("int")
-    # equal rows are numbered alike on both sides, so each finds its own repetitions
-    key = ["digest", "source"]
-    plans = plan(docs, weights, share, epochs, seed).select(*key, repeats.alias("repeats")).groupBy(*key).agg(F.sum("repeats").alias("repeats"), F.count("*").alias("rows"))
-    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), "source", _digest(seed).alias("digest")).alias("d")
-    both = left.join(plans.alias("p"), (F.col("d.digest") == F.col("p.digest")) & F.col("d.source").eqNullSafe(F.col("p.source")))
-    # rows of equal id, text and source share their repetitions evenly, the first ones take what is left over
-    nth = F.when(F.col("rows") == 1, 0).otherwise(F.row_number().over(W.partitionBy("d.digest", "d.source").orderBy(F.lit(0))) - 1)
-    both = both.withColumn("nth", nth).withColumn("times", F.floor(F.col("repeats") / F.col("rows")) + F.when(F.col("nth") < F.col("repeats") % F.col("rows"), 1).otherwise(0))
-    copies = both.filter("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    return copies.select("row.*")
+    slim = cut(docs.select("source", n_words(F.col("text")).alias("size"), _digest(seed).alias("digest")))
+    edges = _small(_edges(slim.withColumn("bucket", F.substring("digest", 1, DIGITS)), weights, share, epochs))
+    has = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "source", _digest(seed).alias("digest"), signature(docs).alias("sig"), has.alias("has"))
+    own = own.withColumn("bucket", F.substring("digest", 1, DIGITS)).join(edges, F.col("source").eqNullSafe(F.col("of")))
+    clear = own.filter(F.col("bucket") != F.col("edge")).withColumn("times", F.col("whole") + (F.col("bucket") < F.col("edge")).cast("long"))
+    # in the bucket of the edge the order is by digest, then by a hash of all columns
+    split = own.filter(F.col("bucket") == F.col("edge")).withColumn("size", n_words(F.col("row.text")))
+    before = F.sum("size").over(W.partitionBy("source").orderBy("digest", "sig").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
+    split = split.withColumn("times", F.col("whole") + (2 * (F.col("left_over") - before) >= F.col("size")).cast("long"))
+    both = clear.select("row", "has", "times").unionByName(split.select("row", "has", "times"))
+    copies = both.withColumn("times", F.when(F.col("has"), F.col("times")).otherwise(1)).filter("times > 0")
+    return copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -27,13 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType
 
 from axisweave.functions.checkpoints import written
 from axisweave.llm import setjoin
-from axisweave.llm.common import LOWER, WORD, bounded, hashed_words, mix64, pieces, text_bytes
+from axisweave.llm.common import LOWER, WORD, bounded, hashed_words, mix64, pieces, signature, text_bytes
 from axisweave.operators.graph import components
 
 WORDS, LIMIT = 4, (85, 100)
@@ -66,12 +65,9 @@ def shingles(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return mix64(out), counts
 
 
-def _signed(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """docs as (row, row2, doc_id, text, whole): hashes of the given columns, and all columns in whole."""
-    kinds = {f.name: f.dataType for f in docs.schema}
-    each = [F.to_json(F.col(f"`{c}`")) if isinstance(kinds[c], MapType) else F.col(f"`{c}`") for c in columns]
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return docs.select(F.xxhash64(*each).alias("row"), F.xxhash64(F.lit(7), *each).alias("row2"), "doc_id", "text", whole.alias("whole"))
+def _signed(docs: DataFrame) -> DataFrame:
+    """docs as (row, row2, doc_id, text, whole): two hashes of all columns, and all columns in whole."""
+    return docs.select(signature(docs).alias("row"), signature(docs, F.lit(7)).alias("row2"), "doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
 
 
 ROWS = "row long, row2 long, doc_id {}, n long, k1 long, k2 long, g1 long, g2 long, bits long, bits2 long, first int, head array<long>"
@@ -181,7 +177,7 @@ def classified(docs: DataFrame, k: int = WORDS, limit=LIMIT) -> tuple[DataFrame,
 def join(docs: DataFrame, k: int = WORDS, limit=LIMIT) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
     with bounded(docs.sparkSession):
-        rows, classes = classified(_signed(docs.select("doc_id", "text"), ["doc_id", "text"]), k, limit)
+        rows, classes = classified(_signed(docs.select("doc_id", "text")), k, limit)
         each = written(rows.join(classes.withColumnRenamed("id", "k1"), ["k1", "k2"], "left").select("doc_id", "n", "label"), "labels")
         least = each.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
         out = each.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
@@ -190,7 +186,7 @@ def join(docs: DataFrame, k: int = WORDS, limit=LIMIT) -> DataFrame:
 
 def deduplicate(docs: DataFrame, k: int = 5, limit=(80, 100)) -> DataFrame:
     """One document of each component, all columns as they were; documents without words stay."""
-    signed = _signed(docs, docs.columns)
+    signed = _signed(docs)
     with bounded(docs.sparkSession):
         rows, classes = classified(signed, k, limit)
         order = F.struct(F.isnull("doc_id").alias("null"), "doc_id", "row", "row2")

@@ -11,8 +11,8 @@ them, so repetitions are dealt like any other rows. Law: ``rows`` (shards' count
 one at most), so ``grown_shard`` is null.
 
 Edge cases. A null text has size 1 and the checksum of the empty text; a null doc_id is
-hashed as such. Equal rows tie; either may come first, which gives the same rows.
-Empty input gives no rows. Other columns are ignored by ``assign`` and kept by ``shard``.
+hashed as such; doc_id may be of any type that can be hashed. Rows are told apart by all their columns in ``shard`` (maps by their JSON) and by doc_id and text in ``assign``; equal rows tie, and either may come first,
+which gives the same rows whatever the partitioning. Empty input gives no rows. Other columns, whatever their names, are ignored by ``assign`` and kept in ``row`` by ``shard``. A text of any length is one row.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from axisweave.llm.common import cut
+from axisweave.llm.common import signature, written
 
 SHARDS, SEED = 16, 20_250
 #: Rows of a partition, and the most partitions: they bound the matrix on the driver (16 counts each).
@@ -89,7 +89,7 @@ def _numbered(rows: DataFrame) -> DataFrame:
 
 def _dealt(rows: DataFrame, shards: int, seed: int) -> DataFrame:
     """Adds shard and slot to written rows that have long columns rid and h, their number and hash."""
-    rows = cut(_numbered(rows))
+    rows = written(_numbered(rows), "numbered")
     n = rows.count()
     parts = min(PARTS, max(1, math.ceil(n / PART_ROWS)))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("h", F.lit(1)), F.lit(parts)).cast("int"))
@@ -122,13 +122,13 @@ def assign(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame
     """Per document: doc_id, size, text_crc32, law, shard, slot, grown_shard. The texts are not moved."""
     text = F.coalesce("text", F.lit(""))
     slim = docs.select(_rid(), "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"), _hash(seed).alias("h"))
-    out = _dealt(cut(slim), shards, seed)
+    out = _dealt(written(slim, "slim"), shards, seed)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """The documents themselves, all columns in ``row``, with shard and slot; the texts are written and cross the network once."""
-    rows = cut(docs.select(_rid(), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _hash(seed).alias("h")))
+    rows = written(docs.select(_rid(), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), signature(docs, F.lit(seed)).alias("h")), "rows")
     dealt = _dealt(rows.select("rid", "h"), shards, seed).select("rid", "shard", "slot")
     return rows.select("rid", "row").join(dealt, "rid").drop("rid")
 

@@ -25,9 +25,11 @@ Copies within a block are sent once, so a passage that a third of all documents
 once a block, not once a document. Words and stretches are compared by hash: a stretch by 64 bits of
 its prefix and 40 of its words, a word in a subtree by 40 bits of its own.
 
-Edge cases. A null text has no words (kept: the empty string). Rows of equal doc_id are not smaller than
-each other. A null doc_id is greater than all others. Empty input gives no rows; other columns
-are ignored.
+Ranges are as many as Spark's shuffle partitions, and only those with records are sent.
+
+Edge cases. doc_id must be a whole number (else a TypeError). A null text has no words (kept: the empty string; its removed form is null). Rows of equal doc_id are not smaller than
+each other. A null doc_id is greater than all others. Equal rows give equal results, one a row. Empty input gives no rows; other columns, whatever their names,
+are ignored by ``query`` and kept by ``remove_repeats``. A text of any length is judged whole (a block holds 12 MB of text, or one text).
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axisweave.llm.common import BATCH_BYTES, blocks, by_range, cut, hashed_words, mix64, opened, pack, pow2, steps, text_bytes, unpack
+from axisweave.llm.common import blocks, by_range, cut, hashed_words, integral, mix64, opened, pack, steps, unpack
 
 WINDOW, PREFIX = 13, 7
 #: Suffixes of one subtree.
@@ -57,7 +59,7 @@ class Records:
     """The anchors of a block, ordered by prefix: documents, places, prefix and stretch hashes."""
 
     def __init__(self, batch: pa.RecordBatch):
-        self.words, self.sizes = hashed_words(batch.column(1), None)
+        self.words, self.sizes = hashed_words(batch.column("text"), None)
         ids = batch.column(0)
         self.ids = np.array(ids.fill_null(0).to_numpy(zero_copy_only=False), np.int64)
         self.ids[np.array(ids.is_null())] = np.iinfo(np.int64).max
@@ -138,13 +140,12 @@ def _send_heads(parts: int, hot: np.ndarray):
                 r = Records(opened(blob.as_py()))
                 split, _, _, keys, _, least = r.hot_windows(hot)
                 f = r.front[~split]
-                at = by_range(r.head[f], parts)
+                part, at = by_range(r.head[f], parts)
                 blobs = [pack(steps(r.head[f[a:b]]), r.body[f[a:b]], r.ids[r.doc[f[a:b]]]) for a, b in zip(at[:-1], at[1:])]
-                yield _answer([block.as_py()] * parts, range(parts), blobs)
-                if len(hot):
-                    at = by_range(keys, parts)
-                    blobs = [pack(steps(keys[a:b]), least[a:b]) for a, b in zip(at[:-1], at[1:])]
-                    yield _answer([block.as_py()] * parts, range(2 * KIND, 2 * KIND + parts), blobs)
+                yield _answer([block.as_py()] * len(part), part, blobs)
+                part, at = by_range(keys, parts)
+                blobs = [pack(steps(keys[a:b]), least[a:b]) for a, b in zip(at[:-1], at[1:])]
+                yield _answer([block.as_py()] * len(part), part + 2 * KIND, blobs)
 
     return run
 
@@ -208,14 +209,14 @@ def _send_words(parts: int, hot: np.ndarray):
         batch, answers = _parted(t)
         r = Records(batch)
         send = r.front[~np.isin(r.head[r.front], hot)][_states(r, answers[0]) == SEND]
-        at = by_range(r.head[send], parts)
+        part, at = by_range(r.head[send], parts)
         blobs = []
         for a, b in zip(at[:-1], at[1:]):
             k = send[a:b]
             long = r.high[k] - r.low[k]
             words = r.words[np.repeat(r.low[k] - (np.cumsum(long) - long), long) + np.arange(long.sum())]
             blobs.append(pack(r.ids[r.doc[k]], long.astype(np.uint8), words >> np.uint64(24)))
-        return pa.Table.from_batches([_answer(t.column("block")[:1].to_pylist() * parts, range(parts), blobs)])
+        return pa.Table.from_batches([_answer(t.column("block")[:1].to_pylist() * len(part), part, blobs)])
 
     return run
 
@@ -311,7 +312,7 @@ def _keep(hot: np.ndarray):
         r = Records(batch)
         gone = _marks(r, answers, hot)
         removed, sha = [], []
-        for text, a, n in zip(batch.column(1), r.starts, r.sizes):
+        for text, a, n in zip(batch.column("text"), r.starts, r.sizes):
             out = gone[a : a + n]
             words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
             removed.append(int(out.sum()))
@@ -327,17 +328,17 @@ def _texts(hot: np.ndarray):
         r = Records(batch)
         gone = _marks(r, answers, hot)
         kept = []
-        for text, a, n in zip(batch.column(1), r.starts, r.sizes):
+        for text, a, n in zip(batch.column("text"), r.starts, r.sizes):
             words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
             kept.append(b" ".join(w for w, x in zip(words, gone[a : a + n].tolist()) if not x).decode("utf-8", "surrogatepass") if gone[a : a + n].any() else text.as_py())
-        return pa.table([batch.column(0), pa.array(kept, pa.string())], ["doc_id", "text"])
+        return pa.table([batch.column("rest"), pa.array(kept, pa.string())], ["rest", "text"])
 
     return run
 
 
-def _run(docs: DataFrame, last, schema: str) -> DataFrame:
-    parts = pow2(text_bytes(docs) / BATCH_BYTES)
-    store = blocks(docs, "doc_id", "text")
+def _run(docs: DataFrame, columns: list[str], last, schema: str) -> DataFrame:
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    store = blocks(docs, *columns)
     texts = store.select("block", F.lit(-1).alias("part"), "blob")
     hot = hot_heads(store)
     heads = cut(store.mapInArrow(_send_heads(parts, hot), ANSWER).groupBy("part").applyInArrow(_judge_heads, ANSWER))
@@ -348,12 +349,15 @@ def _run(docs: DataFrame, last, schema: str) -> DataFrame:
 
 def query(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256."""
-    return _run(docs, _keep, f"doc_id {dict(docs.dtypes)['doc_id']}, {RESULT}")
+    return _run(integral(docs), ["doc_id", "text"], _keep, f"doc_id {dict(docs.dtypes)['doc_id']}, {RESULT}")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) with the repeated words removed; texts without any stay as they were."""
-    return _run(docs, _texts, f"doc_id {dict(docs.dtypes)['doc_id']}, text string")
+    """The documents with the repeated words removed, all other columns as they were; texts without any stay as they were."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    slim = integral(docs).select("doc_id", F.struct(*rest).alias("rest"), "text")
+    out = _run(slim, ["doc_id", "rest", "text"], _texts, f"rest {dict(slim.dtypes)['rest']}, text string")
+    return out.select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
 
 
 #: The first document of every window by a plain group, then the words that later windows cover.

@@ -104,18 +104,23 @@ def _brute_repeats(rows, window=13):
     return Counter(out)
 
 
-def test_substring(docs, rows, none, monkeypatch):
+def test_substring(spark, docs, rows, none):
     assert _counts(substring.query(docs).collect()) == _brute_repeats(rows)
-    monkeypatch.setattr(substring, "BATCH_BYTES", 2000)  # many ranges of prefixes
-    assert _counts(substring.query(docs.repartition(7)).collect()) == _brute_repeats(rows)
+    spark.conf.set("spark.sql.shuffle.partitions", "40")  # many ranges of prefixes
+    try:
+        assert _counts(substring.query(docs.repartition(7)).collect()) == _brute_repeats(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert substring.query(none).count() == 0
-    kept = substring.remove_repeats(docs).collect()
-    assert len(kept) == len(rows)
+    kept = substring.remove_repeats(docs)
+    assert kept.columns == docs.columns
+    assert _counts((r.doc_id, r.n_chars) for r in kept.collect()) == _counts((i, len(t or "")) for i, t, _ in rows)
+    with pytest.raises(TypeError):
+        substring.query(docs.withColumn("doc_id", docs.doc_id.cast("string")))
 
 
 def test_hot_prefix_is_split(spark, monkeypatch):
     monkeypatch.setattr(substring, "HOT", 100, raising=False)
-    monkeypatch.setattr(substring, "BATCH_BYTES", 20_000)
     rng = random.Random(9)
     make = lambda n: " ".join(f"m{rng.randint(0, 10**9)}" for _ in range(n))
     passage, tails = make(50), [make(20) for _ in range(5)]
@@ -528,3 +533,45 @@ def test_pipeline(spark, tmp_path, docs):
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
     ids = {r.doc_id for r in out.collect()}
     assert ids and ids <= {r.doc_id for r in quality.query(docs).filter("kept").collect()}
+
+
+def test_operators_give_the_same_rows_whatever_the_partitions(spark):
+    """Rows that are equal in doc_id, text and source, but not elsewhere, and columns named like those of the operators."""
+    rows = [(k % 5, f"some words of text {k % 5}", f"s{k % 2}", k, {"a": k % 3}) for k in range(60)] + [(9, "one more text", "s0", 1, None)] * 3
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, shard int, slot map<string,int>")
+    key = lambda r: (r.doc_id, r.text, r.source, r.shard, str(r.slot))
+    mixed = [Counter(map(key, mixing.mix(d.repartition(n)).collect())) for n in (1, 4, 16)]
+    assert mixed[0] == mixed[1] == mixed[2] and sum(mixed[0].values()) > 60
+    dealt = [Counter((key(r.row), r.shard, r.slot) for r in sharding.shard(d.repartition(n)).collect()) for n in (1, 4, 16)]
+    assert dealt[0] == dealt[1] == dealt[2]
+
+
+def test_decontamination_keeps_clashing_names_and_other_ids(spark):
+    rows = [("x", "a b c", 1, 2), (None, "alpha beta gamma and more", 3, 4), ("y", None, 5, 6)]
+    d = spark.createDataFrame(rows, "doc_id string, text string, __hits int, __items int")
+    bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id int, text string")
+    assert {tuple(r) for r in decontaminate.clean(d, bench).collect()} == {rows[0], rows[2]}
+    assert decontaminate.clean(d, bench).columns == d.columns
+    assert [(r.doc_id, r.n_words) for r in decontaminate.matches(d, bench).collect()] == [(None, 3)]
+    assert {r.doc_id: r.n_hit for r in decontaminate.query(d, bench).collect()} == {"x": 0, None: 3, "y": 0}
+
+
+def test_very_long_texts(spark):
+    """Texts above the bound of a batch, one of them without any white space."""
+    rng = random.Random(8)
+    long = " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(1_900_000))
+    assert len(long) > 13 << 20
+    rows = [(1, long, "a"), (2, long, "a"), (3, "z" * (13 << 20), "b"), (4, "short text", "b")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(2)
+    assert {r.doc_id: r.n_removed for r in substring.query(d).collect()} == {1: 0, 2: 1_900_000, 3: 0, 4: 0}
+    assert {r.doc_id: r.n_removed for r in lines.query(d).collect()} == {1: 0, 2: 1, 3: 0, 4: 0}
+    assert {r.doc_id: r.component_id for r in ngram_join.query(d).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert {r.doc_id: r.n_tokens for r in language_model.query(d).collect()} == {1: 1_900_001, 2: 1_900_001, 3: 2, 4: 3}
+    assert {r.doc_id: r.n_hex for r in secrets.query(d).collect()} == {1: 0, 2: 0, 3: 0, 4: 0}
+
+
+def test_session_options_come_back(spark, docs):
+    before = dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    secrets.query(docs)
+    lines.query(docs)
+    assert before == (dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))
