@@ -1,12 +1,18 @@
-"""The corpus pipeline: quality rules, near duplicates, decontamination, mixing, sharding."""
+"""The corpus pipeline: quality rules, near duplicates, decontamination, mixing, sharding.
 
-from __future__ import annotations
+Every stage works on all that its predecessor kept and returns the columns of documents; the last adds shard and slot.
+
+Edge cases. Columns of documents may be null, repeated rows are rows, ties go by doc_id and then by a hash of all columns, texts of any length
+are whole, and no documents give no rows, as the operators' docstrings say of each stage. Further columns are carried along, whatever their names; if documents has a
+column shard or slot, it stays and the new one is named shard_1 or slot_1 (the first free number).
+"""
 
-import tempfile
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from axisweave.functions.checkpoints import place
 from axisweave.llm import decontaminate, mixing, ngram_join, quality, sharding
 from axisweave.llm.common import table
 
@@ -33,9 +39,16 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+def _free(name: str, taken: list[str]) -> str:
+    """name, or name_1, name_2 and so on, whichever is the first that no column has (names differ by more than case)."""
+    held = {c.lower() for c in taken}
+    return next(x for x in (name, *(f"{name}_{k}" for k in range(1, len(held) + 2))) if x not in held)
+
+
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their shard and slot."""
-    return sharding.shard(docs).select("row.*", "shard", "slot")
+    own = [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return sharding.shard(docs).select(*own, *[F.col(c).alias(_free(c, docs.columns)) for c in ("shard", "slot")])
 
 
 STAGES = [
@@ -48,11 +61,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written to the shared folder and read again."""
-    root = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="axisweave-")
-    root = f"{root}/pipeline-{uuid.uuid4().hex}"
+    """All stages over documents; each is written to the shared folder (``checkpoints.sweep`` deletes it) and read again."""
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{root}/{k}")
-        docs = spark.read.parquet(f"{root}/{k}")
+    for name, stage in STAGES:
+        path = place(spark, name.replace(" ", "-"))
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
