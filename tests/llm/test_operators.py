@@ -522,17 +522,134 @@ def test_main_paths_are_native(docs):
         assert not re.search("Python|Pandas|Arrow", plan)
 
 
-def test_pipeline(spark, tmp_path, docs):
+def _written(spark, path, docs):
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([*_items(), (11, " ".join(f"leak{k}" for k in range(30)))], "item_id int, text string").write.parquet(f"{path}/benchmark.parquet")
+
+
+def test_pipeline_by_stage(spark, tmp_path):
+    """Every stage against brute force over what the stage before it kept."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    make = lambda n: " ".join(f"w{rng.randint(0, 900)}" for _ in range(n))
+    texts = [make(rng.randint(25, 90)) for _ in range(60)]
+    rows = [(k, t, "en", f"s{k % 3}", len(t)) for k, t in enumerate(texts)]
+    rows += [(100 + k, texts[k] if k % 2 else texts[k] + " end", "en", "s0", 1) for k in range(12)]  # copies and near ones
+    rows += [(200 + k, make(20) + " " + " ".join(f"leak{j}" for j in range(5, 20)) + " " + make(20), "en", "s1", 1) for k in range(4)]
+    rows += [(300, None, None, None, None), (301, "short", "en", "s1", 5), (302, "a b c d e f g h " * 30, "en", None, 1), (None, make(40), "en", None, 1), (303, make(50), "en", None, 1)]
+    rows += [(7, make(33), "en", "s2", 1), (7, texts[7], "en", "s1", 1)]
+    names = "doc_id long, text string, lang string, source string, n_chars long"
+    _written(spark, tmp_path, spark.createDataFrame(rows, names).repartition(3))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = [docs]
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, kept[-1], str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        kept.append(spark.read.parquet(f"{tmp_path}/{k}"))
+    all_, good, single, clean, mixed, dealt = [[tuple(r) for r in d.collect()] for d in kept]
+
+    def fails(t):
+        w = (t or "").split()
+        c = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        again = {k + j for k in range(len(w) - 7) if c[tuple(w[k : k + 8])] > 1 for j in range(8)}
+        return len(w) < 20 or 100 * len(again) > 30 * len(w)
+
+    assert Counter(good) == Counter(r for r in all_ if not fails(r[1]))
+    _, n = _brute_components([r[:2] + r[3:4] for r in good], 5, (80, 100))
+    assert len(single) == n and not Counter(single) - Counter(good) and {0, 1, 2} <= {r[0] for r in single} and not {100, 101, 103} & {r[0] for r in single}
+    items = [t for _, t in _items()] + [" ".join(f"leak{k}" for k in range(30))]
+    fold = lambda t: re.findall(rb"[a-z0-9\x80-\xff]+", (t or "").lower().encode())
+    windows = {tuple(w[k : k + 10]) for w in map(fold, items) if w for k in range(max(1, len(w) - 9))}
+    hit = lambda t: any(tuple(w[k : k + n]) in windows for w in [fold(t)] for n in {len(x) for x in windows} for k in range(len(w)))
+    assert Counter(clean) == Counter(r for r in single if not hit(r[1])) and not {200, 201, 202, 203} & {r[0] for r in clean}
+    sizes, weight, times = Counter(), {}, Counter(mixed)
+    for r in clean:
+        sizes[r[3]] += len(r[1].split())
+    for k, x in enumerate(sorted(sizes, key=lambda x: (x is None, x or ""))):
+        weight[x] = (5, 2, 1)[k % 3]
+    full, budget = set(), 1.5 * sum(sizes.values())
+    while True:
+        level = (budget - sum(2 * sizes[x] for x in full)) / sum(weight[x] for x in sizes if x not in full)
+        over = [x for x in sizes if x not in full and weight[x] * level > 2 * sizes[x]]
+        if not over:
+            break
+        full.update(over)
+    assert set(mixed) <= set(clean)
+    for x in sizes:
+        target, whole = (2 * sizes[x], 2) if x in full else (weight[x] * level, int(weight[x] * level / sizes[x]))
+        own = [r for r in clean if r[3] == x]
+        assert all(times[r] - whole in (0, 1) or x in full and times[r] == 2 for r in own)
+        assert abs(sum(times[r] * len(r[1].split()) for r in own) - target) <= max(len(r[1].split()) for r in own) / 2 + 1
+    assert Counter(r[:5] for r in dealt) == Counter(mixed)
+    slots = defaultdict(list)
+    for r in dealt:
+        slots[r[5]].append(r[6])
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and max(map(len, slots.values())) - min(len(slots[k]) for k in range(16)) <= 1
+
+
+def test_pipeline(spark, tmp_path, docs, none):
     import corpus_pipeline
 
-    for name in ("documents", "benchmark"):
-        d = docs.select("doc_id", "text", "lang", "source", "n_chars") if name == "documents" else spark.createDataFrame(_items(), "item_id int, text string")
-        d.write.parquet(f"{tmp_path}/{name}.parquet")
-    out = corpus_pipeline.run(spark, str(tmp_path))
-    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "shard", "slot"]
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+    _written(spark, tmp_path / "a", docs)  # columns named like those of the operators, shard among them
+    out = corpus_pipeline.run(spark, str(tmp_path / "a"))
+    assert out.columns == [*docs.columns, "shard_1", "slot"]
     ids = {r.doc_id for r in out.collect()}
     assert ids and ids <= {r.doc_id for r in quality.query(docs).filter("kept").collect()}
+    _written(spark, tmp_path / "b", none)
+    assert corpus_pipeline.run(spark, str(tmp_path / "b")).count() == 0
+
+
+def test_sweep_deletes_what_was_written(spark, docs):
+    import os
+
+    from axisweave.functions import checkpoints
+
+    made = checkpoints.place(spark, "x")
+    docs.write.parquet(made)
+    checkpoints.sweep(spark)
+    assert not os.path.exists(made.removeprefix("file:"))
+
+
+def test_votes_equal_brute_force(spark):
+    import numpy as np
+
+    rng = random.Random(6)
+    data = [(k, " ".join(rng.choice("river house green walk time over".split()) for _ in range(30)) + (" $$ || ##" if k % 4 == 0 else ".")) for k in range(120)]
+    d = spark.createDataFrame([*data, *data[:3]], "doc_id long, text string")  # repeated documents
+    m = spark.createDataFrame([(k, int(k % 4 > 0)) for k in range(120)] + [(5, 0), (5, 1)], "doc_id long, quality int")
+    model = classifier.train(d, m)
+    assert len(model["labels"]) == sum(zlib.crc32(str(k).encode()) % 3 != 1 for k in range(120))
+    space = classifier._unit(classifier._dense([t for _, t in data], model["idf"]) @ model["basis"])
+    got = {r.doc_id: r.score for r in classifier.query(d, m).collect()}
+    for k, x in enumerate(space):
+        cosine = [float(np.dot(x, v)) for v in model["vectors"]]
+        near = sorted(range(len(cosine)), key=lambda j: -cosine[j])[: classifier.NEAREST]
+        if sorted(cosine)[-classifier.NEAREST] - sorted(cosine)[-classifier.NEAREST - 1] < 1e-6:
+            continue  # a tie at the last neighbour
+        weight = [max(cosine[j], 1e-3) ** classifier.POWER for j in near]
+        want = sum(w * float(model["labels"][j]) for w, j in zip(weight, near)) / sum(weight)
+        assert got[k] == pytest.approx(want, abs=1e-3)
+
+
+def test_shuffle_is_uniform(spark):
+    """Counts of where documents of each input eighth end up, by chi-square, and counts of the matrix against the hypergeometric law."""
+    import numpy as np
+
+    d = spark.createDataFrame([(k, f"t{k}") for k in range(8000)], "doc_id long, text string")
+    table = np.zeros((8, 16))
+    place = np.zeros((8, 10))
+    for r in sharding.assign(d).collect():
+        table[r.doc_id // 1000, r.shard] += 1
+        place[r.doc_id // 1000, r.slot // 50] += 1
+    for x, low, high in ((table, 60, 160), (place, 30, 110)):  # 105 and 63 degrees of freedom
+        want = x.sum(1, keepdims=True) * x.sum(0, keepdims=True) / x.sum()
+        assert low < ((x - want) ** 2 / want).sum() < high
+    first = np.array([sharding.matrix([30, 50, 20], 4, seed)[0, 0] for seed in range(3000)])
+    law = np.array([math.comb(25, k) * math.comb(75, 30 - k) / math.comb(100, 30) for k in range(26)])
+    seen = np.bincount(first, minlength=26)
+    some = law > 0.01
+    assert ((seen[some] - 3000 * law[some]) ** 2 / (3000 * law[some])).sum() < 35
 
 
 def test_operators_give_the_same_rows_whatever_the_partitions(spark):
