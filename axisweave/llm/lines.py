@@ -65,7 +65,7 @@ def _lines(docs: DataFrame, table) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             hashes, sizes, rows, numbers = _split(batch.column("text"))
-            _, n, k1, k2, bits, bits2, (token, held, first) = setjoin.sets_of(setjoin.tokens(hashes, table.value), sizes, LIMIT)
+            _, n, k1, k2, _, (bits, bits2), (token, held, first) = setjoin.sets_of(setjoin.tokens(hashes, table.value), sizes, LIMIT)
             lead = np.zeros(len(n), bool)
             lead[np.unique(np.stack([k1, k2], 1), axis=0, return_index=True)[1]] = True
             lead &= n > 3
@@ -139,9 +139,9 @@ def _judged(docs: DataFrame) -> DataFrame:
     classes = written(held.withColumnRenamed("k1", "id"), "classes")
     heads = classes.filter("n > 3").withColumn("label", F.col("id"))
     late = None
-    first = setjoin.leaders(heads, [F.col("place.null").alias("null"), F.col("place.doc_id").alias("doc_id"), F.col("place.line").alias("line")], LIMIT, setjoin.HOT)
-    if first is not None:
-        late = written(_late(first, classes, docs, table), "late")
+    hot = setjoin.hot_posts(heads, [F.col("place.null").alias("null"), F.col("place.doc_id").alias("doc_id"), F.col("place.line").alias("line")], LIMIT, setjoin.HOT)
+    if hot is not None:
+        late = written(_late(setjoin.leaders(hot, None, LIMIT, setjoin.HOT), classes, docs, table), "late")
         heads = heads.join(late.withColumn("late", F.lit(0).cast("long")), "id", "left").withColumn("label", F.coalesce("late", "label"))
     more = _late(setjoin.candidates(heads, LIMIT), classes, docs, table)
     late = more if late is None else late.unionByName(more).distinct()

@@ -3,7 +3,7 @@
 A document is its set of word shingles. All sets are ordered alike, rare shingles first (``setjoin.levels``), so two sets that are similar
 enough share a shingle among the first few of each: the prefix. Documents of one set are one class; classes with the same prefix and the same size are
 one group, which posts its prefix once. Pairs of groups that share a prefix shingle and pass the length and the positional filter are expanded to
-their members, whose sketches are compared; the pairs left are verified by all their shingles, and links are joined to components.
+their members, whose sketches (parities) are compared; the pairs left are verified by all their shingles, and links are joined to components.
 
 Pairs of members that are linked already are never made. First every member of a group is verified against the first of its group, and every
 group with a shingle that more than ``HOT`` groups share against the first of these (``setjoin.leaders``); what that links has one
@@ -24,6 +24,7 @@ all columns (maps by their JSON), and one of rows that are equal in all columns,
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -70,7 +71,8 @@ def _signed(docs: DataFrame) -> DataFrame:
     return docs.select(signature(docs).alias("row"), signature(docs, F.lit(7)).alias("row2"), "doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
 
 
-ROWS = "row long, row2 long, doc_id {}, n long, k1 long, k2 long, g1 long, g2 long, bits long, bits2 long, first int, head array<long>"
+SKETCH = [f"w{k}" for k in range(setjoin.WIDE)]
+ROWS = "row long, row2 long, doc_id {}, n long, k1 long, k2 long, g1 long, g2 long, bits long, bits2 long, " + "".join(f"{w} long, " for w in SKETCH) + "first int, head array<long>"
 
 
 def _rows(docs: DataFrame, k: int, limit, table) -> DataFrame:
@@ -79,7 +81,7 @@ def _rows(docs: DataFrame, k: int, limit, table) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             hashes, sizes = shingles(batch.column("text"), k)
-            token, n, k1, k2, bits, bits2, (shared, held, first) = setjoin.sets_of(setjoin.tokens(hashes, table.value), sizes, limit)
+            token, n, k1, k2, wide, (bits, bits2), (shared, held, first) = setjoin.sets_of(setjoin.tokens(hashes, table.value), sizes, limit)
             distinct = [len(np.unique(x)) for x in np.split(hashes, np.cumsum(sizes)[:-1])]
             keep = np.minimum(n - -(-n * limit[0] // limit[1]) + 1, n)
             inside = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n) < np.repeat(keep, n)
@@ -93,7 +95,7 @@ def _rows(docs: DataFrame, k: int, limit, table) -> DataFrame:
             lead &= n > 0
             shared, held = shared[np.repeat(lead, held)], np.where(lead, held, 0)
             heads = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(held)), pa.int32(), mask=None if lead.all() else np.append(~lead, False)), pa.array(shared.view(np.int64)))
-            columns = [pa.array(np.array(distinct, np.int64)), *(pa.array(x.view(np.int64)) for x in (k1, k2, g1, g2, bits, bits2)), pa.array(first, pa.int32()), heads]
+            columns = [pa.array(np.array(distinct, np.int64)), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (k1, k2, g1, g2, bits, bits2, *wide.T)), pa.array(first, pa.int32()), heads]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("row2"), batch.column("doc_id"), *columns], [x.split()[0] for x in ROWS.split(", ")])
 
     return written(docs.select("row", "row2", "doc_id", "text").mapInArrow(run, ROWS.format(dict(docs.dtypes)["doc_id"])), "rows")
@@ -120,29 +122,26 @@ def _sets(docs: DataFrame, homes: DataFrame, k: int, limit, table) -> DataFrame:
 
 def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, limit, table) -> DataFrame:
     """The pairs (a, b) of classes that are linked, written."""
-    pairs = written(pairs, "pairs")
+    # the whole sketches leave little more than what is linked
+    a, b = (classes.select(F.col("id").alias(c), F.struct("n", *SKETCH).alias(f"sketch_{c}")) for c in "ab")
+    pairs = written(pairs.join(a, "a").join(b, "b").filter(setjoin.alike("sketch_a", "sketch_b", limit, SKETCH)).select("a", "b"), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     return written(setjoin.verified(pairs, _sets(docs, classes.join(wanted, "id").select(F.col("home").alias("row")), k, limit, table), limit), "links")
 
 
-def _labelled(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """Classes with the least label of what links (pairs of labels) join."""
-    least = components(links).select(F.col("id").alias("label"), F.col("component").alias("least"))
-    return classes.join(least, "label", "left").withColumn("label", F.coalesce("least", "label")).drop("least")
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (id, label) after links between ids, the least of what they join."""
+    a, b = (labels.select(F.col("id").alias(c), F.col("label").alias(f"label_{c}")) for c in "ab")
+    least = components(links.join(a, "a").join(b, "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
+    both = labels.join(least.select(F.col("id").alias("label"), F.col("component").alias("least")), "label", "left")
+    return written(both.select("id", F.coalesce("least", "label").alias("label")), "labels")
 
 
-def _by_label(links: DataFrame, classes: DataFrame) -> DataFrame:
-    a, b = (classes.select(F.col("id").alias(c), F.col("label").alias(f"label_{c}")) for c in "ab")
-    return links.join(a, "a").join(b, "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
-
-
-def _groups(classes: DataFrame) -> DataFrame:
-    """Heads of the groups: id (of the group), lead (its first class), label (that of all its classes, or its own id)."""
+def _groups(classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Of every group (g1, g2): lead (its first class), size, label (that of all its classes, or its own id), whether they are the same, and the sketch of a single class."""
     same = F.min("label") == F.max("label")
-    each = [F.first(c).alias(c) for c in ("n", "first", "head", "bits", "bits2")]
-    heads = classes.groupBy("g1", "g2").agg(*each, F.min("id").alias("lead"), F.count("*").alias("size"), F.when(same, F.min("label")).otherwise(F.first("g1")).alias("label"), same.alias("same"))
-    # a group of one class has the sketch of that class
-    return heads.withColumns({c: F.when(F.col("size") == 1, F.col(c)).otherwise(0).cast("long") for c in ("bits", "bits2")}).withColumnRenamed("g1", "id")
+    held = classes.join(labels, "id").groupBy("g1", "g2").agg(F.min("id").alias("lead"), F.count("*").alias("size"), F.when(same, F.min("label")).otherwise(F.first("g1")).alias("label"), same.alias("same"), F.first("bits").alias("bits"), F.first("bits2").alias("bits2"))
+    return written(held.withColumns({c: F.when(F.col("size") == 1, F.col(c)).otherwise(0).cast("long") for c in ("bits", "bits2")}), "groups")
 
 
 def classified(docs: DataFrame, k: int = WORDS, limit=LIMIT) -> tuple[DataFrame, DataFrame]:
@@ -150,28 +149,34 @@ def classified(docs: DataFrame, k: int = WORDS, limit=LIMIT) -> tuple[DataFrame,
     slim = docs.select("row", "row2", "doc_id", "text")
     table = slim.sparkSession.sparkContext.broadcast(setjoin.levels(slim.select("text"), lambda b: shingles(b.column("text"), k)[0], setjoin.places(text_bytes(slim))))
     rows = _rows(slim, k, limit, table)
-    held = rows.filter("n > 0").groupBy("k1", "k2").agg(F.min("row").alias("home"), *[F.first(c, ignorenulls=True).alias(c) for c in ("n", "g1", "g2", "bits", "bits2", "first", "head")])
-    classes = written(held.withColumnRenamed("k1", "id").withColumns({"label": F.col("id"), "n": F.col("n").cast("int")}), "classes")
+    some = rows.filter("n > 0")
+    classes = written(some.groupBy("k1", "k2").agg(F.min("row").alias("home"), *[F.first(c).alias(c) for c in ("n", "g1", "g2", "bits", "bits2", *SKETCH)]).withColumnRenamed("k1", "id"), "classes")
+    heads = written(some.filter("head is not null").groupBy("g1", "g2").agg(F.first("n").cast("int").alias("n"), F.first("first").alias("first"), F.first("head").alias("head")), "heads")
+    labels = written(classes.select("id", F.col("id").alias("label")), "labels")
     # the first of each group, and of the groups of each hot shingle; what is not linked yet meets others
+    hot = setjoin.hot_posts(heads.withColumnRenamed("g1", "id"), [], limit, HOT)
     for nth in range(ROUNDS):
-        heads = written(_groups(classes), "groups")
-        pairs = classes.select("g1", "id", "label").join(heads.filter("size > 1 and not same").select(F.col("id").alias("g1"), "lead"), "g1").filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")) if nth == 0 else None
-        lead = setjoin.leaders(heads, [], limit, HOT, nth)
-        if lead is not None:
-            of = lambda x: heads.select(F.col("id").alias(x), F.col("lead").alias(f"lead_{x}"))
-            lead = lead.join(of("a"), "a").join(of("b"), "b").select(F.col("lead_a").alias("a"), F.col("lead_b").alias("b"))
-            pairs = lead if pairs is None else pairs.unionByName(lead)
-        links = None if pairs is None else _links(pairs.distinct(), classes, slim, k, limit, table)
+        groups = _groups(classes, labels)
+        pairs = []
+        if nth == 0:
+            pairs.append(classes.join(groups.filter("not same").select("g1", "g2", "lead"), ["g1", "g2"]).filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")))
+        if hot is not None:
+            lead = setjoin.leaders(hot, groups.select(F.col("g1").alias("id"), "label"), limit, HOT, nth)
+            of = lambda x: groups.select(F.col("g1").alias(x), F.col("lead").alias(f"lead_{x}"))
+            pairs.append(lead.join(of("a"), "a").join(of("b"), "b").select(F.col("lead_a").alias("a"), F.col("lead_b").alias("b")))
+        links = _links(reduce(DataFrame.unionByName, pairs).distinct(), classes, slim, k, limit, table) if pairs else None
         if links is None or links.isEmpty():
             break
-        classes = written(_labelled(classes, _by_label(links, classes)), "labelled")
+        labels = _merged(labels, links)
     # pairs of groups, expanded to members of different labels
-    heads = written(_groups(classes), "groups")
-    pairs = setjoin.candidates(heads, limit).unionByName(heads.filter("not same").select(F.col("id").alias("a"), F.col("id").alias("b")))
-    x, y = (classes.select(F.col("g1").alias(g), F.struct("id", "label", "n", "bits", "bits2").alias(s)) for g, s in (("a", "x"), ("b", "y")))
+    groups = _groups(classes, labels)
+    posts = heads.join(groups.select("g1", "g2", "label", "bits", "bits2"), ["g1", "g2"]).withColumnRenamed("g1", "id")
+    pairs = setjoin.candidates(posts, limit).unionByName(groups.filter("not same").select(F.col("g1").alias("a"), F.col("g1").alias("b")))
+    members = classes.join(labels, "id")
+    x, y = (members.select(F.col("g1").alias(g), F.struct("id", "label", "n", "bits", "bits2").alias(s)) for g, s in (("a", "x"), ("b", "y")))
     met = pairs.join(x, "a").join(y, "b").filter((F.col("x.label") != F.col("y.label")) & ((F.col("a") != F.col("b")) | (F.col("x.id") < F.col("y.id"))) & setjoin.alike("x", "y", limit))
     links = _links(met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), classes, slim, k, limit, table)
-    return rows.select("row", "row2", "doc_id", "n", "k1", "k2"), _labelled(classes, _by_label(links, classes)).select("id", "k2", "label")
+    return rows.select("row", "row2", "doc_id", "n", "k1", "k2"), classes.select("id", "k2").join(_merged(labels, links), "id")
 
 
 def join(docs: DataFrame, k: int = WORDS, limit=LIMIT) -> DataFrame:

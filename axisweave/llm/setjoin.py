@@ -30,6 +30,8 @@ PER_PLACE, LEAST, MOST, CHUNK = 64, 1 << 16, 1 << 26, 1 << 16
 #: Heads of one token above which leaders come first, most leaders of a token, and posts that are packed or paired at a time.
 HOT, LEADERS, AT_ONCE = 256, 8, 4_000_000
 BITS = 48
+#: Words of a sketch.
+WIDE = 16
 SHIFT, WHOLE = np.uint64(BITS), np.uint64(BITS + 8)
 
 
@@ -72,7 +74,7 @@ ONCE = np.uint64(8)
 
 
 def sets_of(token: np.ndarray, sizes: np.ndarray, limit) -> tuple:
-    """Of tokens, the sets one behind the other: sorted distinct tokens, sizes, two hashes of each set, its sketch in two parts (parities of 128 sorts of tokens), and the heads as (tokens, sizes, first places)."""
+    """Of tokens, the sets one behind the other: sorted distinct tokens, sizes, two hashes of each set, its sketch (parities of 1,024 sorts of tokens), the sketch folded to 128 bits, and the heads as (tokens, sizes, first places)."""
     ends = np.append(0, np.cumsum(sizes))
     out = []
     for low in range(0, len(sizes), 256):  # a set's number takes the eight bits in front of a token
@@ -87,36 +89,44 @@ def sets_of(token: np.ndarray, sizes: np.ndarray, limit) -> tuple:
     start = np.cumsum(n) - n
     add = lambda x, f: np.where(n > 0, f.reduceat(np.append(x, x.dtype.type(0)), np.minimum(start, len(x)))[: len(n)] if len(n) else x[:0], x.dtype.type(0))
     k1, k2 = add(mix64(token + np.uint64(1)), np.add), add(mix64(token ^ np.uint64(0xA0761D6478BD642F)), np.add)
-    # each token flips one of 128 bits
-    flip, half = np.uint64(1) << (token & np.uint64(63)), token >> np.uint64(6) & np.uint64(1) == 0
-    bits, bits2 = (add(np.where(x, flip, np.uint64(0)), np.bitwise_xor) for x in (half, ~half))
+    # each token flips one of 1,024 bits; folded, one of 128
+    wide = np.zeros(len(n) * WIDE, np.uint64)
+    np.bitwise_xor.at(wide, owner * WIDE + (token >> np.uint64(6) & np.uint64(WIDE - 1)).astype(np.int64), np.uint64(1) << (token & np.uint64(63)))
+    wide = wide.reshape(-1, WIDE)
+    bits, bits2 = (np.bitwise_xor.reduce(x, axis=1) for x in (wide[:, : WIDE // 2], wide[:, WIDE // 2 :]))
     place = np.arange(len(token)) - start[owner]
     keep = n - -(-n * limit[0] // limit[1]) + 1
     inside = place < keep[owner]
     shared = inside & (token >> SHIFT > ONCE)
     held = np.bincount(owner[shared], minlength=len(n))
     first = np.minimum(keep, n) - held
-    return token, n, k1, k2, bits, bits2, (token[shared], held, first)
+    return token, n, k1, k2, wide, (bits, bits2), (token[shared], held, first)
 
 
 HEADS = "id long, n int, bits long, bits2 long, first int, head array<long>"
 
 
-def leaders(heads: DataFrame, order: list[Column], limit, hot_heads: int = HOT, nth: int = 0) -> DataFrame | None:
-    """(a, b): every set with a hot token and one or a few first sets, by order and by hashes, of that token and about its size; None without hot tokens.
+def hot_posts(heads: DataFrame, order: list[Column], limit, hot_heads: int = HOT) -> DataFrame | None:
+    """(token, kind, at, n): the tokens of more than hot_heads heads, written; at sorts by order and names the set, kind is its class of sizes. None without hot tokens.
 
-    Pairs of one label are left out. Hot are tokens of more than hot_heads heads; each nth has other hashes, and the order counts in the first only.
-
-    heads has the columns of HEADS, label, and those of order. Tokens too rare to be hot are not counted.
+    heads has the columns of HEADS and those of order. Tokens too rare to be hot are not counted.
     """
     level = int(8 * math.log2(1 + hot_heads))
-    each = heads.select("id", "n", "label", F.struct(*order, F.col("id").alias("id")).alias("at"), F.explode("head").alias("token")).filter(F.shiftright("token", BITS) >= level)
-    hot = written(each.groupBy("token").count().filter(F.col("count") > hot_heads).select("token"))
+    each = heads.select("id", "n", F.struct(*order, F.col("id").alias("id")).alias("at"), F.explode("head").alias("token")).filter(F.shiftright("token", BITS) >= level)
+    hot = written(each.groupBy("token").count().filter(F.col("count") > hot_heads).select("token"), "hot")
     if hot.isEmpty():
         return None
     # sizes of one class differ by less than the limit
     kind = F.floor(F.log(F.col("n").cast("double")) / math.log(limit[1] / limit[0])).cast("int")
-    mine = each.join(hot, "token").select("token", kind.alias("kind"), "at", "n", "label")
+    return written(each.join(hot, "token").select("token", kind.alias("kind"), "at", "n"), "hot-posts")
+
+
+def leaders(hot: DataFrame, labels: DataFrame | None, limit, hot_heads: int = HOT, nth: int = 0) -> DataFrame:
+    """(a, b): every set with a hot token and one or a few first sets, by order and by hashes, of that token and about its size.
+
+    Pairs of one label (id, label) are left out. Each nth has other hashes, and the order counts in the first only.
+    """
+    mine = hot.withColumn("label", F.col("at.id")) if labels is None else hot.withColumn("id", F.col("at.id")).join(labels, "id").drop("id")
     # the first in order, and by other orders as many more as the binary logarithm of how hot it is
     by = [F.min(F.struct(F.xxhash64("at.id", F.lit(k + nth * LEADERS)).alias("x") if k + nth else F.lit(0).cast("long").alias("x"), "at", "n", "label")).alias(f"lead{k}") for k in range(LEADERS)]
     first = mine.groupBy("token", "kind").agg(F.count("*").alias("count"), *by)
@@ -198,9 +208,9 @@ def _sent(held: list[tuple], width: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(part[cuts], pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
 
-def alike(a: str, b: str, limit) -> Column:
-    """Whether the sketches of two sets (structs of n, bits, bits2) allow that they are similar."""
-    differ = sum((F.bit_count(F.col(f"{a}.{k}").bitwiseXOR(F.col(f"{b}.{k}"))) for k in ("bits", "bits2")), F.lit(0))
+def alike(a: str, b: str, limit, parts=("bits", "bits2")) -> Column:
+    """Whether the sketches of two sets (structs of n and parts) allow that they are similar."""
+    differ = sum((F.bit_count(F.col(f"{a}.{k}").bitwiseXOR(F.col(f"{b}.{k}"))) for k in parts), F.lit(0))
     return differ * (limit[0] + limit[1]) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (limit[1] - limit[0])
 
 
