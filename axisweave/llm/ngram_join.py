@@ -40,7 +40,7 @@ WORDS, LIMIT = 4, (85, 100)
 #: Groups that share a shingle above which the first of them comes first.
 HOT = 16
 #: Rounds in which they do, at most; a round that links nothing is the last.
-ROUNDS = 3
+ROUNDS = 2
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -129,12 +129,13 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, limit,
     return written(setjoin.verified(pairs, _sets(docs, classes.join(wanted, "id").select(F.col("home").alias("row")), k, limit, table), limit), "links")
 
 
-def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels (id, label) after links between ids, the least of what they join."""
-    a, b = (labels.select(F.col("id").alias(c), F.col("label").alias(f"label_{c}")) for c in "ab")
-    least = components(links.join(a, "a").join(b, "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
-    both = labels.join(least.select(F.col("id").alias("label"), F.col("component").alias("least")), "label", "left")
-    return written(both.select("id", F.coalesce("least", "label").alias("label")), "labels")
+def _passed(labels: DataFrame, links: DataFrame, times: int = 2) -> DataFrame:
+    """Labels (id, label) after the least label has gone along links a few times: ids of one label hang together, though not all that do have one label yet."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    for _ in range(times):
+        least = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("least"))
+        labels = labels.join(least, labels["id"] == least["a"], "left").select("id", F.least("label", "least").alias("label"))
+    return written(labels, "labels")
 
 
 def _groups(classes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -155,6 +156,7 @@ def classified(docs: DataFrame, k: int = WORDS, limit=LIMIT) -> tuple[DataFrame,
     labels = written(classes.select("id", F.col("id").alias("label")), "labels")
     # the first of each group, and of the groups of each hot shingle; what is not linked yet meets others
     hot = setjoin.hot_posts(heads.withColumnRenamed("g1", "id"), [], limit, HOT)
+    every: list[DataFrame] = []
     for nth in range(ROUNDS):
         groups = _groups(classes, labels)
         pairs = []
@@ -167,7 +169,8 @@ def classified(docs: DataFrame, k: int = WORDS, limit=LIMIT) -> tuple[DataFrame,
         links = _links(reduce(DataFrame.unionByName, pairs).distinct(), classes, slim, k, limit, table) if pairs else None
         if links is None or links.isEmpty():
             break
-        labels = _merged(labels, links)
+        every.append(links)
+        labels = _passed(labels, links)
     # pairs of groups, expanded to members of different labels
     groups = _groups(classes, labels)
     posts = heads.join(groups.select("g1", "g2", "label", "bits", "bits2"), ["g1", "g2"]).withColumnRenamed("g1", "id")
@@ -175,8 +178,9 @@ def classified(docs: DataFrame, k: int = WORDS, limit=LIMIT) -> tuple[DataFrame,
     members = classes.join(labels, "id")
     x, y = (members.select(F.col("g1").alias(g), F.struct("id", "label", "n", "bits", "bits2").alias(s)) for g, s in (("a", "x"), ("b", "y")))
     met = pairs.join(x, "a").join(y, "b").filter((F.col("x.label") != F.col("y.label")) & ((F.col("a") != F.col("b")) | (F.col("x.id") < F.col("y.id"))) & setjoin.alike("x", "y", limit))
-    links = _links(met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), classes, slim, k, limit, table)
-    return rows.select("row", "row2", "doc_id", "n", "k1", "k2"), classes.select("id", "k2").join(_merged(labels, links), "id")
+    every.append(_links(met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), classes, slim, k, limit, table))
+    joined = components(reduce(DataFrame.unionByName, every))
+    return rows.select("row", "row2", "doc_id", "n", "k1", "k2"), classes.select("id", "k2").join(joined, "id", "left").select("id", "k2", F.coalesce("component", "id").alias("label"))
 
 
 def join(docs: DataFrame, k: int = WORDS, limit=LIMIT) -> DataFrame:

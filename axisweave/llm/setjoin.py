@@ -28,7 +28,7 @@ from axisweave.llm.common import mix64, pack, pow2, steps, unpack
 #: Bytes of text a place of the table of counts, its least and most places, and places of one message.
 PER_PLACE, LEAST, MOST, CHUNK = 64, 1 << 16, 1 << 26, 1 << 16
 #: Heads of one token above which leaders come first, most leaders of a token, and posts that are packed or paired at a time.
-HOT, LEADERS, AT_ONCE = 256, 8, 4_000_000
+HOT, LEADERS, AT_ONCE = 256, 4, 1_000_000
 BITS = 48
 #: Words of a sketch.
 WIDE = 16
