@@ -71,8 +71,9 @@ def _signed(docs: DataFrame) -> DataFrame:
     return docs.select(signature(docs).alias("row"), signature(docs, F.lit(7)).alias("row2"), "doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
 
 
-SKETCH = [f"w{k}" for k in range(setjoin.WIDE)]
-ROWS = "row long, row2 long, doc_id {}, n long, k1 long, k2 long, g1 long, g2 long, bits long, bits2 long, " + "".join(f"{w} long, " for w in SKETCH) + "first int, head array<long>"
+#: The words of a sketch, and of the folded one (256 bits) that goes with every shingle of a prefix.
+SKETCH, FOLDED = [f"w{k}" for k in range(setjoin.WIDE)], [f"f{k}" for k in range(4)]
+ROWS = "row long, row2 long, doc_id {}, n long, k1 long, k2 long, g1 long, g2 long, " + "".join(f"{w} long, " for w in FOLDED + SKETCH) + "first int, head array<long>"
 
 
 def _rows(docs: DataFrame, k: int, limit, table) -> DataFrame:
@@ -81,7 +82,8 @@ def _rows(docs: DataFrame, k: int, limit, table) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             hashes, sizes = shingles(batch.column("text"), k)
-            token, n, k1, k2, wide, (bits, bits2), (shared, held, first) = setjoin.sets_of(setjoin.tokens(hashes, table.value), sizes, limit)
+            token, n, k1, k2, wide, _, (shared, held, first) = setjoin.sets_of(setjoin.tokens(hashes, table.value), sizes, limit)
+            folded = np.bitwise_xor.reduce(wide.reshape(len(n), len(FOLDED), -1), axis=2) if len(n) else wide[:, : len(FOLDED)]
             distinct = [len(np.unique(x)) for x in np.split(hashes, np.cumsum(sizes)[:-1])]
             keep = np.minimum(n - -(-n * limit[0] // limit[1]) + 1, n)
             inside = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n) < np.repeat(keep, n)
@@ -95,7 +97,7 @@ def _rows(docs: DataFrame, k: int, limit, table) -> DataFrame:
             lead &= n > 0
             shared, held = shared[np.repeat(lead, held)], np.where(lead, held, 0)
             heads = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(held)), pa.int32(), mask=None if lead.all() else np.append(~lead, False)), pa.array(shared.view(np.int64)))
-            columns = [pa.array(np.array(distinct, np.int64)), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (k1, k2, g1, g2, bits, bits2, *wide.T)), pa.array(first, pa.int32()), heads]
+            columns = [pa.array(np.array(distinct, np.int64)), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (k1, k2, g1, g2, *folded.T, *wide.T)), pa.array(first, pa.int32()), heads]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("row2"), batch.column("doc_id"), *columns], [x.split()[0] for x in ROWS.split(", ")])
 
     return written(docs.select("row", "row2", "doc_id", "text").mapInArrow(run, ROWS.format(dict(docs.dtypes)["doc_id"])), "rows")
@@ -141,8 +143,8 @@ def _passed(labels: DataFrame, links: DataFrame, times: int = 2) -> DataFrame:
 def _groups(classes: DataFrame, labels: DataFrame) -> DataFrame:
     """Of every group (g1, g2): lead (its first class), size, label (that of all its classes, or its own id), whether they are the same, and the sketch of a single class."""
     same = F.min("label") == F.max("label")
-    held = classes.join(labels, "id").groupBy("g1", "g2").agg(F.min("id").alias("lead"), F.count("*").alias("size"), F.when(same, F.min("label")).otherwise(F.first("g1")).alias("label"), same.alias("same"), F.first("bits").alias("bits"), F.first("bits2").alias("bits2"))
-    return written(held.withColumns({c: F.when(F.col("size") == 1, F.col(c)).otherwise(0).cast("long") for c in ("bits", "bits2")}), "groups")
+    held = classes.join(labels, "id").groupBy("g1", "g2").agg(F.min("id").alias("lead"), F.count("*").alias("size"), F.when(same, F.min("label")).otherwise(F.first("g1")).alias("label"), same.alias("same"), *[F.first(c).alias(c) for c in FOLDED])
+    return written(held.withColumns({c: F.when(F.col("size") == 1, F.col(c)).otherwise(0).cast("long") for c in FOLDED}), "groups")
 
 
 def classified(docs: DataFrame, k: int = WORDS, limit=LIMIT) -> tuple[DataFrame, DataFrame]:
@@ -151,7 +153,7 @@ def classified(docs: DataFrame, k: int = WORDS, limit=LIMIT) -> tuple[DataFrame,
     table = slim.sparkSession.sparkContext.broadcast(setjoin.levels(slim.select("text"), lambda b: shingles(b.column("text"), k)[0], setjoin.places(text_bytes(slim))))
     rows = _rows(slim, k, limit, table)
     some = rows.filter("n > 0")
-    classes = written(some.groupBy("k1", "k2").agg(F.min("row").alias("home"), *[F.first(c).alias(c) for c in ("n", "g1", "g2", "bits", "bits2", *SKETCH)]).withColumnRenamed("k1", "id"), "classes")
+    classes = written(some.groupBy("k1", "k2").agg(F.min("row").alias("home"), *[F.first(c).alias(c) for c in ("n", "g1", "g2", *FOLDED, *SKETCH)]).withColumnRenamed("k1", "id"), "classes")
     heads = written(some.filter("head is not null").groupBy("g1", "g2").agg(F.first("n").cast("int").alias("n"), F.first("first").alias("first"), F.first("head").alias("head")), "heads")
     labels = written(classes.select("id", F.col("id").alias("label")), "labels")
     # the first of each group, and of the groups of each hot shingle; what is not linked yet meets others
@@ -171,14 +173,17 @@ def classified(docs: DataFrame, k: int = WORDS, limit=LIMIT) -> tuple[DataFrame,
             break
         every.append(links)
         labels = _passed(labels, links)
-    # pairs of groups, expanded to members of different labels
+    # a group of one class meets others in the name of that class, whose sketch is compared at once; only pairs with a larger group are expanded to members of different labels
     groups = _groups(classes, labels)
-    posts = heads.join(groups.select("g1", "g2", "label", "bits", "bits2"), ["g1", "g2"]).withColumnRenamed("g1", "id")
-    pairs = setjoin.candidates(posts, limit).unionByName(groups.filter("not same").select(F.col("g1").alias("a"), F.col("g1").alias("b")))
-    members = classes.join(labels, "id")
-    x, y = (members.select(F.col("g1").alias(g), F.struct("id", "label", "n", "bits", "bits2").alias(s)) for g, s in (("a", "x"), ("b", "y")))
-    met = pairs.join(x, "a").join(y, "b").filter((F.col("x.label") != F.col("y.label")) & ((F.col("a") != F.col("b")) | (F.col("x.id") < F.col("y.id"))) & setjoin.alike("x", "y", limit))
-    every.append(_links(met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), classes, slim, k, limit, table))
+    posts = heads.join(groups.select("g1", "g2", F.when(F.col("size") == 1, F.col("lead")).otherwise(F.col("g1")).alias("id"), "label", *FOLDED), ["g1", "g2"])
+    pairs = written(setjoin.candidates(posts, limit, FOLDED, runs=True), "candidates")
+    larger = groups.filter("size > 1").select("g1", "g2", F.col("g1").alias("group"))
+    members = classes.select("id", "g1", "g2", "n", *FOLDED).join(labels, "id").join(larger, ["g1", "g2"], "left").withColumn("group", F.coalesce("group", "id"))
+    x, y = (members.select(F.col("group").alias(g), F.struct("id", "label", "n", *FOLDED).alias(s)) for g, s in (("a", "x"), ("b", "y")))
+    within = groups.filter("not same").select(F.col("g1").alias("a"), F.col("g1").alias("b"))
+    met = pairs.filter("not known").select("a", "b").unionByName(within).join(x, "a").join(y, "b").filter((F.col("x.label") != F.col("y.label")) & ((F.col("a") != F.col("b")) | (F.col("x.id") < F.col("y.id"))) & setjoin.alike("x", "y", limit, FOLDED))
+    met = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    every.append(_links(pairs.filter("known").select("a", "b").unionByName(met), classes, slim, k, limit, table))
     joined = components(reduce(DataFrame.unionByName, every))
     return rows.select("row", "row2", "doc_id", "n", "k1", "k2"), classes.select("id", "k2").join(joined, "id", "left").select("id", "k2", F.coalesce("component", "id").alias("label"))
 

@@ -139,10 +139,13 @@ def leaders(hot: DataFrame, labels: DataFrame | None, limit, hot_heads: int = HO
     return both.join(first, ["token", "kind"]).filter(near).select(F.least(*pair).alias("a"), F.greatest(*pair).alias("b")).distinct()
 
 
-def candidates(heads: DataFrame, limit) -> DataFrame:
-    """(a, b) of all pairs of different labels that share a token of both heads and pass the filters, a < b. heads has HEADS and label; a sketch of zeros is none."""
-    parts = int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    width = max(1, -(-(1 << BITS) // parts))
+def candidates(heads: DataFrame, limit, parts=("bits", "bits2"), runs: bool = False) -> DataFrame:
+    """(a, b) of all pairs of different labels that share a token of both heads and pass the filters, a < b. heads has HEADS and label; a sketch (its words are the columns of parts) of zeros is none.
+
+    With runs, posts carry the token before theirs in the head, and a pair whose posts agree in it is left to that token, where the filters are weaker: a pair is made once a
+    run of shared tokens. A column known then says whether both have a sketch.
+    """
+    width = max(1, -(-(1 << BITS) // int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n_held = [], 0
@@ -152,7 +155,7 @@ def candidates(heads: DataFrame, limit) -> DataFrame:
             token = np.array(col["head"].flatten().to_numpy(zero_copy_only=False), np.uint64)
             each = lambda k, kind: np.repeat(np.array(col[k].to_numpy(zero_copy_only=False), kind), sizes)
             at = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + each("first", np.int64)
-            held.append((token, each("id", np.int64), each("label", np.int64), each("n", np.uint32), at.astype(np.uint32), each("bits", np.int64), each("bits2", np.int64)))
+            held.append((token, each("id", np.int64), each("label", np.int64), each("n", np.uint32), at.astype(np.uint32), *(each(k, np.int64) for k in parts), *([_before(token, sizes)] if runs else [])))
             n_held += len(token)
             if n_held > AT_ONCE:
                 yield _sent(held, width)
@@ -163,9 +166,12 @@ def candidates(heads: DataFrame, limit) -> DataFrame:
     def pair(t: pa.Table) -> pa.Table:
         blobs = [unpack(x.as_py()) for x in t.column("blob")]
         token = np.concatenate([np.cumsum(b[0], dtype=np.uint64) for b in blobs])
-        who, label, n, at, bits, bits2 = (np.concatenate([b[j] for b in blobs]) for j in range(1, 7))
+        who, label, n, at, *words = (np.concatenate([b[j] for b in blobs]) for j in range(1, 5 + len(parts) + runs))
         order = np.lexsort((n, token))
-        token, who, label, n, at, bits, bits2 = token[order], who[order], label[order] ^ who[order], n[order].astype(np.int64), at[order].astype(np.int64), bits[order], bits2[order]
+        token, who, label, n, at = token[order], who[order], label[order] ^ who[order], n[order].astype(np.int64), at[order].astype(np.int64)
+        words = [x[order].view(np.uint64) for x in words]
+        before = words.pop() if runs else np.zeros(len(token), np.uint64)
+        known = np.any(words, axis=0)
         group = np.cumsum(np.append(True, token[1:] != token[:-1])) - 1 if len(token) else token.astype(np.int64)
         # the partners of a set are those of its token behind it, as long as the limit lets them be
         wide = int(n.max(initial=0)) * limit[1] // limit[0] + 2
@@ -177,34 +183,41 @@ def candidates(heads: DataFrame, limit) -> DataFrame:
             c = count[low:high]
             a = np.repeat(np.arange(low, high), c)
             b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(c) - c, c)
-            ok = (label[a] != label[b]) & (who[a] != who[b])
+            ok = (label[a] != label[b]) & (who[a] != who[b]) & ((before[a] != before[b]) | (before[a] == 0))
             a, b = a[ok], b[ok]
             both = n[a] + n[b]
             ok = np.minimum(n[a] - at[a], n[b] - at[b]) * (limit[0] + limit[1]) >= both * limit[0]
             # where the parities of two sketches differ there is a token that only one of the sets has
             a, b, both = a[ok], b[ok], both[ok]
-            differ = np.bitwise_count(bits[a].view(np.uint64) ^ bits[b].view(np.uint64)).astype(np.int64) + np.bitwise_count(bits2[a].view(np.uint64) ^ bits2[b].view(np.uint64))
-            known = (bits | bits2) != 0
+            differ = sum(np.bitwise_count(x[a] ^ x[b]).astype(np.int64) for x in words)
             ok = (differ * (limit[0] + limit[1]) <= both * (limit[1] - limit[0])) | ~known[a] | ~known[b]
+            both_known = (known[a] & known[b])[ok]
             a, b = who[a[ok]], who[b[ok]]
-            out.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0))
+            out.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), *([both_known] if runs else [])], 1), axis=0))
             low = high
-        pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *out]), axis=0)
-        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        pairs = np.unique(np.concatenate([np.zeros((0, 2 + runs), np.int64), *out]), axis=0)
+        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *([pa.array(pairs[:, 2] != 0)] if runs else [])], ["a", "b", "known"][: 2 + runs])
+
+    sent = heads.select("id", "label", "n", "first", *parts, "head").filter(F.size("head") > 0).mapInArrow(send, "part int, blob binary")
+    return sent.groupBy("part").applyInArrow(pair, "a long, b long" + ", known boolean" * runs).distinct()
+
 
-    sent = heads.select("id", "label", "n", "first", "bits", "bits2", "head").filter(F.size("head") > 0).mapInArrow(send, "part int, blob binary")
-    return sent.groupBy("part").applyInArrow(pair, "a long, b long").distinct()
+def _before(token: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The token before each in its head, 0 for the first."""
+    before = np.append(np.zeros(1, np.uint64), token)[: len(token)]
+    before[(np.cumsum(sizes) - sizes)[sizes > 0]] = 0
+    return before
 
 
 def _sent(held: list[tuple], width: int) -> pa.RecordBatch:
     """Posts, packed by range of the tokens' hashes; labels as their difference from the ids, which is mostly none."""
-    token, who, label, n, at, bits, bits2 = (np.concatenate(x) for x in zip(*held))
+    token, who, label, n, at, *words = (np.concatenate(x) for x in zip(*held))
     spread = token & np.uint64((1 << BITS) - 1)
     order = np.lexsort((token, spread // np.uint64(width)))
-    token, who, label, n, at, bits, bits2, spread = (x[order] for x in (token, who, label, n, at, bits, bits2, spread))
+    token, who, label, n, at, spread, *words = (x[order] for x in (token, who, label, n, at, spread, *words))
     part = (spread // np.uint64(width)).astype(np.int64)
     cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-    blobs = [pack(steps(token[a:b]), who[a:b], label[a:b] ^ who[a:b], n[a:b], at[a:b], bits[a:b], bits2[a:b]) for a, b in zip(cuts, np.append(cuts[1:], len(token)))]
+    blobs = [pack(steps(token[a:b]), who[a:b], label[a:b] ^ who[a:b], n[a:b], at[a:b], *(x[a:b] for x in words)) for a, b in zip(cuts, np.append(cuts[1:], len(token)))]
     return pa.RecordBatch.from_arrays([pa.array(part[cuts], pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
 
