@@ -315,6 +315,19 @@ def _brute_components(rows, k, limit):
     return Counter((i, len(sets[n]), low[find(n)] if sets[n] else i) for n, (i, _, _) in enumerate(rows)), len(least)
 
 
+def test_pairs_made_once_a_run_are_all_pairs(spark):
+    rng, rows = random.Random(9), []
+    for k in range(120):
+        n, known = rng.randint(8, 12), k % 3 > 0
+        token = sorted(rng.sample([20 << setjoin.BITS | t * 10**12 for t in range(1, 16)], n))
+        rows.append((k, k if k % 5 else 0, n, 0, token[:6], *([rng.getrandbits(6) | 1, 0] if known else [0, 0])))
+    heads = spark.createDataFrame(rows, "id long, label long, n int, first int, head array<long>, bits long, bits2 long")
+    plain = Counter(map(tuple, setjoin.candidates(heads, (50, 100)).collect()))
+    once = setjoin.candidates(heads, (50, 100), runs=True).collect()
+    assert len(plain) > 100 and Counter((r.a, r.b) for r in once) == plain
+    assert all(r.known == (r.a % 3 > 0 and r.b % 3 > 0) for r in once)
+
+
 @pytest.mark.parametrize("hot", [16, 1])
 def test_ngram_join(docs, rows, none, hot, monkeypatch):
     monkeypatch.setattr(ngram_join, "HOT", hot)
