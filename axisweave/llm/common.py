@@ -142,7 +142,6 @@ def opened(blob: bytes):
 #: A random value for every byte, and the odd base whose powers tell the places of a word's bytes apart.
 VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 BASE = 0x9E3779B97F4A7C15
-SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 #: Bytes of text that are hashed at a time.
 PIECE = 1 << 20
 
@@ -172,7 +171,9 @@ def pieces(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[p
 def word_spans(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First byte, and byte behind the last, of every word of the texts."""
     inside = np.zeros(len(data) + 1, bool)
-    np.logical_not(SPACE[data], out=inside[:-1])
+    space = data - np.uint8(9) <= 4  # comparisons, as a table by byte takes several times as long
+    space |= data == 32
+    np.logical_not(space, out=inside[:-1])
     first, last = inside[:-1].copy(), inside[:-1].copy()
     first[1:] &= ~inside[:-2]
     last &= ~inside[1:]

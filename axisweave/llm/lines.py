@@ -31,19 +31,45 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from axisweave.functions.checkpoints import written
 from axisweave.llm import setjoin
-from axisweave.llm.common import bounded, hashed_spans, hashed_words, mix64, pieces, raw, text_bytes, word_spans
+from axisweave.llm.common import bounded, hashed_spans, mix64, pieces, raw, text_bytes, word_spans
 
 LIMIT = (80, 100)
 ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Most bytes of a word that is hashed eight bytes at a time, and what of eight bytes the first so many are.
+SHORT = 64
+FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words that come one behind the other: eight bytes at a time, which few words exceed, and by hashed_spans above SHORT."""
+    size = stop - start
+    eight = np.ndarray(len(data) + 1, "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+    out = mix64((eight[start] & FIRST[np.minimum(size, 8)]) + size.astype(np.uint64) * ODD)
+    on = np.flatnonzero((size > 8) & (size <= SHORT))
+    at, left = start[on] + 8, size[on] - 8
+    while len(on):
+        out[on] = mix64((out[on] ^ (eight[at] & FIRST[np.minimum(left, 8)])) * ODD)
+        more = left > 8
+        on, at, left = on[more], at[more] + 8, left[more] - 8
+    if len(long := np.flatnonzero(size > SHORT)):
+        out[long] = hashed_spans(data, start[long], stop[long])
+    return out
+
+
+def _hashed(batch: pa.RecordBatch) -> np.ndarray:
+    """Hashes of the words of all texts."""
+    each = (raw(part.column("text")) for part in pieces([batch], 1 << 20))
+    return np.concatenate([np.zeros(0, np.uint64), *(_hashes(data, *word_spans(data, ends)) for data, ends in each)])
 
 
 def _split(texts: pa.Array, wanted=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the words of all lines that have one; per line its words, row and number. wanted(rows, lines) says which lines to take."""
     data, ends = raw(texts)
     start, stop = word_spans(data, ends)
-    breaks = np.concatenate(([0], np.cumsum(data == 10, dtype=np.int64)))
+    breaks = np.flatnonzero(data == 10)
     row = np.repeat(np.arange(len(ends) - 1), np.diff(np.searchsorted(start, ends)))
-    line = breaks[start] - breaks[ends[row]]
+    line = np.repeat(np.arange(len(breaks) + 1), np.diff(np.searchsorted(start, breaks), prepend=0, append=len(start)))
+    line -= np.searchsorted(breaks, ends[:-1])[row]
     new = np.ones(len(start), bool)
     new[1:] = (row[1:] != row[:-1]) | (line[1:] != line[:-1])
     rows, lines, sizes = row[new], line[new], np.diff(np.append(np.flatnonzero(new), len(start)))
@@ -51,7 +77,7 @@ def _split(texts: pa.Array, wanted=None) -> tuple[np.ndarray, np.ndarray, np.nda
         take = wanted(rows, lines)
         held = np.repeat(take, sizes)
         start, stop, rows, lines, sizes = start[held], stop[held], rows[take], lines[take], sizes[take]
-    return hashed_spans(data, start, stop), sizes, rows, lines
+    return _hashes(data, start, stop), sizes, rows, lines
 
 
 def _row() -> Column:
@@ -132,7 +158,7 @@ def _judged(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     size = setjoin.places(text_bytes(docs))
-    table = spark.sparkContext.broadcast(setjoin.levels(docs.select("text"), lambda b: hashed_words(b.column("text"), None)[0], size))
+    table = spark.sparkContext.broadcast(setjoin.levels(docs.select("text"), _hashed, size))
     lines = _lines(docs, table)
     place = F.struct(F.isnull("doc_id").alias("null"), "doc_id", "line", "row")
     held = lines.filter("line >= 0").groupBy("k1", "k2").agg(F.min(place).alias("place"), *[F.first(c, ignorenulls=True).alias(c) for c in ("n", "bits", "bits2", "first", "head")])

@@ -208,6 +208,43 @@ def test_lines_of_very_many_words(spark):
     assert got == {1: 0, 2: 1, 3: 0, 4: 1}
 
 
+def test_lines_hash_words_by_their_bytes():
+    """Equal words have equal hashes wherever they stand, others don't, and short words take less time than by powers of every byte."""
+    import time
+
+    import numpy as np
+    import pyarrow as pa
+
+    from axisweave.llm import common
+
+    rng = random.Random(12)
+    words = [bytes(rng.choice(b"ab\0\xc3") for _ in range(rng.choice([1, 2, 7, 8, 9, 15, 16, 17, 63, 64, 65, 200]))) for _ in range(4000)]
+    words += [b"a" * k for k in range(1, 140)] + [b"a" + b"\0" * k for k in range(1, 140)]
+    text = b"".join(w + rng.choice([b" ", b"\n", b"\t ", b"\x0b", b"\x0c\r"]) for w in words + words[::-1])
+    data = np.frombuffer(text, np.uint8)
+    spans = common.word_spans(data, np.array([0, len(data)]))
+    assert [text[a:b] for a, b in zip(*spans)] == words + words[::-1]
+    got = lines._hashes(data, *spans)
+    assert (got == got[::-1]).all() and len(set(got.tolist())) == len(set(words))
+    # words end with their text; and every byte is judged
+    assert all(len(common.word_spans(np.array([97, k, 97], np.uint8), np.array([0, 3]))[0]) == (2 if k in b" \t\n\x0b\x0c\r" else 1) for k in range(256))
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(["ab", "cd ab", None, "", "abcd"])})
+    assert len(set(lines._hashed(batch).tolist())) == 3 and len(lines._hashed(batch)) == 4 and len(lines._hashed(batch.slice(0, 0))) == 0
+
+    data = np.frombuffer(" ".join(f"word{rng.randint(0, 10**4)}" for _ in range(400_000)).encode(), np.uint8)
+    spans = common.word_spans(data, np.array([0, len(data)]))
+
+    def least(f):
+        took = []
+        for _ in range(4):
+            began = time.process_time()
+            f(data, *spans)
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert least(lines._hashes) < 0.75 * least(common.hashed_spans)
+
+
 def _items():
     return [(1, None), (2, ""), (3, "one TWO three"), (4, "One"), (None, "alpha, beta; gamma"), (2, "solo")]
 
