@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from axisweave import api
 from axisweave.functions import distance, pairs
 from axisweave.matrix import Matrix
-from axisweave.operators import similar
+from axisweave.operators import cluster, similar
 from tests.test_engine import dense, drawn, matrix
 
 
@@ -76,3 +76,56 @@ def test_rounding_is_as_sparks(spark):
     x = np.concatenate([x, np.arange(200) / 128 / 100, -x[:50], [1e12 / 7, -1e-9, 123456789.1234565, 0.0]])
     want = [r[0] for r in spark.createDataFrame([(float(v),) for v in x], "v double").coalesce(1).select(F.round("v", 6)).collect()]
     assert list(map(repr, pairs.half_up(x[None], 6)[0].tolist())) == list(map(repr, want))
+
+
+def users(spark, n: int, seed: int):
+    """n users of five event types, with equal rows."""
+    x = np.random.default_rng(seed).poisson([9, 9, 1, 2, 9], (n, 5)) + [1, 0, 0, 0, 0]
+    rows = [(i, f"e{j}", float(x[i, j])) for i in range(n) for j in range(5) if x[i, j]]
+    return x.astype(float), api.from_cells(spark.createDataFrame(rows, "r long, c string, v double"))
+
+
+def test_clusters_of_more_rows_than_a_square_matrix_holds(spark):
+    x, m = users(spark, 5_200, 1)
+    for found, k in ((m.hierarchical_clustering(None, 4), 4), (m.tail_clustering(m.sum(), 5), 5), (m.co_clustering((3, 2), preruns=2)[0], 3)):
+        of = cells(found.cells)
+        assert len(of) == 5_200 and len({c for _, c in of}) <= k
+        heads = {c for _, c in of}
+        assert all((c, c) in of for c in heads)  # a cluster is named by one of its rows
+
+
+def test_ward_in_rounds_is_ward(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(150, 3)), rng.normal(size=(150, 3)) + 2, rng.normal(size=(20, 3)) * 4])
+    x, w = np.concatenate([x, x[:60], x[:10]]), rng.random(390) + 0.5
+    for weights in (np.ones(390), w):
+        for k in (1, 2, 4, 25, 330):
+            got, want = cluster.ward_groups(spark, x, weights, k, enough=20), cluster.cut_tree(cluster.ward_linkage(x, weights, k), 390)
+            assert len(set(got)) == len(set(want)) == k
+            if k < 300:
+                assert len(set(zip(got.tolist(), want.tolist()))) == k
+
+
+def test_tail_merges_as_before():
+    x, w = drawn(5, (80, 4), 0, 9, 0.8).astype(float), drawn(7, (80,), 1, 6, 1.0).astype(float)
+
+    def plain(x, w, k):
+        x, w, live, parent = x.copy(), w.copy(), np.ones(len(x), bool), np.arange(len(x))
+        while live.sum() > k:
+            i = int(np.where(live, w, np.inf).argmin())
+            d = np.where(live, ((x - x[i]) ** 2).sum(1), np.inf)
+            d[i] = np.inf
+            j = int(d.argmin())
+            x[j], w[j], live[i], parent[i] = (w[i] * x[i] + w[j] * x[j]) / (w[i] + w[j]), w[i] + w[j], False, j
+        for i in range(len(parent)):
+            while parent[i] != parent[parent[i]]:
+                parent[i] = parent[parent[i]]
+        return parent
+
+    def nearest(columns, i):
+        d = ((columns.T - columns[:, i]) ** 2).sum(1)
+        d[i] = np.inf
+        return int(d.argmin())
+
+    for k in (1, 5, 60):
+        assert cluster.tail_merges(x, w, k, nearest, np.inf).tolist() == plain(x, w, k).tolist()
