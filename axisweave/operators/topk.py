@@ -81,9 +81,10 @@ def truncate_by_groups(m: Matrix, groups: DataFrame, nb: int, axis: str = ROWS)
     """Per line the nb largest cells of each group (label, g) of the other axis; group -1 and labels without one are left alone."""
     key, other = ("r", "c") if axis == ROWS else ("c", "r")
     d = m.cells.join(groups.select(F.col("label").alias(other), "g"), other, "left")
-    k = F.row_number().over(W.partitionBy(key, "g").orderBy(F.desc("v"), other))
+    # one pass: free cells of a line are a group of their own, whose ranks count for nothing
     free = F.col("g").isNull() | (F.col("g") == -1)
-    return m.of(d.filter(~free).withColumn("k", k).filter(F.col("k") <= nb).select("r", "c", "v").unionByName(d.filter(free).select("r", "c", "v")))
+    k = F.row_number().over(W.partitionBy(key, "g").orderBy(F.desc("v"), other))
+    return m.of(d.withColumn("k", k).filter(free | (F.col("k") <= nb)))
 
 
 def truncate(m: Matrix, cutoff: float | None = None, nb: int | None = None, cum_h: float | None = None, cum_v: float | None = None, nb_h=None, nb_v=None) -> Matrix:

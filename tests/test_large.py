@@ -129,3 +129,15 @@ def test_tail_merges_as_before():
 
     for k in (1, 5, 60):
         assert cluster.tail_merges(x, w, k, nearest, np.inf).tolist() == plain(x, w, k).tolist()
+
+
+def test_group_truncation_reads_its_cells_once(spark):
+    x = np.random.default_rng(8).permutation(48).reshape(6, 8) + 1.0
+    m, g = matrix(spark, x), [0, 0, 0, 1, 1, -1, -1, None]
+    groups = spark.createDataFrame([(f"c{j}", g[j]) for j in range(7)], "label string, g int")
+    got = m.truncate_by_groups(groups, 1)
+    want = x.copy()
+    for group in ([0, 1, 2], [3, 4]):
+        want[:, group] = np.where(x[:, group] == x[:, group].max(1, keepdims=True), x[:, group], 0)
+    np.testing.assert_array_equal(dense(got), want)
+    assert "Union" not in plan(got.cells)
