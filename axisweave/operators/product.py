@@ -58,9 +58,12 @@ def mask_dot(a: Matrix, b: Matrix, mask: Matrix, mode: str = "last") -> Matrix:
     m = mask.cells.select("r", "c", F.col("v").alias("m"))
     x = a.cells.select("r", F.col("c").alias("k"), F.col("v").alias("x"))
     y = b.cells.select(F.col("r").alias("k"), "c", F.col("v").alias("y"))
-    sums = m.join(x, "r").join(y, ["k", "c"]).groupBy("r", "c").agg(F.sum(F.col("x") * F.col("y")).alias("d"))
-    both = m.join(sums, ["r", "c"], "left")
-    return Matrix(stored(both.select("r", "c", reducer(mode)(F.col("m"), F.coalesce("d", F.lit(0.0))).alias("v"))), a.rows, b.cols)
+    # a cell of mask in a column that b lacks has no product, so it need not meet its row
+    terms = m.join(b.cols.select(F.col("label").alias("c")), "c", "left_semi").join(x, "r").join(y, ["k", "c"])
+    sums = terms.groupBy("r", "c").agg(F.sum(F.col("x") * F.col("y")).alias("d"), F.first("m").alias("m"))
+    if mode not in ("last", "multiply", "divide"):  # these make 0 of cells without a product, which go
+        sums = m.join(sums.drop("m"), ["r", "c"], "left")
+    return Matrix(stored(sums.select("r", "c", reducer(mode)(F.col("m"), F.coalesce("d", F.lit(0.0))).alias("v"))), a.rows, b.cols)
 
 
 def shadow(a: Matrix, b: Matrix) -> Matrix:

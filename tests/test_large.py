@@ -141,3 +141,42 @@ def test_group_truncation_reads_its_cells_once(spark):
         want[:, group] = np.where(x[:, group] == x[:, group].max(1, keepdims=True), x[:, group], 0)
     np.testing.assert_array_equal(dense(got), want)
     assert "Union" not in plan(got.cells)
+
+
+def test_masked_product_meets_only_columns_of_the_right_factor(spark):
+    """Cells of mask in columns that the right factor lacks must not be joined with their rows."""
+    x, y = drawn(15, (6, 8), 0, 4, 0.6).astype(float), drawn(16, (8, 3), 0, 4, 0.6).astype(float)
+    names = [f"c{j}" for j in range(8)]
+    a, b = matrix(spark, x, None, names), matrix(spark, y, names, ["c1", "c4", "z"])
+    want = np.zeros_like(x)
+    want[:, 1], want[:, 4] = (x @ y)[:, 0], (x @ y)[:, 1]
+    for mode, f in (("last", want), ("multiply", x * want), ("divide", np.divide(x, want, out=np.zeros_like(x), where=want != 0)), ("add", x + want)):
+        got = a.mask_dot(b, a, mode)
+        rows, cols, v = got.cells, None, np.zeros_like(x)
+        for r in rows.collect():
+            v[int(r["r"][1:]), int(r["c"][1:])] = r["v"]
+        np.testing.assert_allclose(v, np.where(x != 0, f, 0), err_msg=mode)
+        assert "LeftSemi" in plan(got.cells)
+
+
+@pytest.mark.parametrize("name", ["euclidean", "sqeuclidean"])
+def test_nearest_rows_are_exact(spark, name):
+    """Far from 0 a product of matrices alone confuses near rows; equal distances go to the lesser label."""
+    x = np.random.default_rng(9).integers(0, 3, (200, 12)) * 1e-3 + 1000.0
+    x[150:] = x[:50]
+    d = spark.createDataFrame([(k, [float(v) for v in x[k]]) for k in range(200)], "r long, val array<double>")
+    f = lambda k, j: sum(((a - b) ** 2 for a, b in zip(x[k], x[j])), 0.0)
+    want = {k: min((j for j in range(200) if j != k), key=lambda j: (np.sqrt(f(k, j)) if name == "euclidean" else f(k, j), j)) for k in range(200)}
+    found = distance.nearest_row(d, name)
+    assert {r["r"]: r["nearest"] for r in found.collect()} == want
+    with pytest.raises(ValueError):
+        distance.nearest_row(spark.createDataFrame([(1, [1.0]), (2, None)], "r long, val array<double>"), name)
+
+
+def test_sums_of_pivots_are_made_once(spark):
+    d = spark.createDataFrame([("a", "x", 1.0, 0), ("a", "x", 2.0, 1), ("b", "x", 5.0, 0), ("b", "x", -5.0, 1), ("b", "y", float("nan"), 1), ("c", "y", 3.0, 1)], "r string, c string, v double, k int")
+    p, q = (api.from_cells(d.filter(f"k = {k}")) for k in (0, 1))
+    for got, want in ((p + q, {("a", "x"): 3.0, ("c", "y"): 3.0}), (p - q, {("a", "x"): -1.0, ("b", "x"): 10.0, ("c", "y"): -3.0})):
+        assert cells(got.cells) == want
+        assert got.cells._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
+    assert cells((p.abs() + q).cells) == cells((p + q).cells)  # of other matrices, the cells
