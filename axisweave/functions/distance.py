@@ -55,62 +55,19 @@ def vector_distance(rows: DataFrame, vector: list[float], name: str = "sqeuclide
     return rows.select("r", metric(name)(F.col("val").cast("array<double>"), y).alias("v"))
 
 
-def nearest_row(rows: DataFrame, name: str = "sqeuclidean", block: int = 50_000) -> DataFrame:
+def nearest_row(rows: DataFrame, name: str = "sqeuclidean", block: int = pairs.BLOCK) -> DataFrame:
     """(r, nearest, v): the nearest other row of each row, ties by label.
 
-    The rows are taken against each other in blocks: one block at a time is broadcast (its size is given), and each
-    row keeps its best so far, so no task holds more than a block and no pair is shuffled.
+    The rows meet in blocks of at most ``block`` (functions/pairs.py), and each keeps its best so far, so a task holds
+    a batch of blocks however many rows there are, and no pair is shuffled.
     """
-    import numpy as np
-    import pandas as pd
-
     metric(name)
-    d = rows.select("r", F.col("val").cast("array<double>").alias("val"))
-    n = d.count()
-    parts = max(1, -(-n // block))
-    kind = dict(d.dtypes)["r"]
-
-    def against(other):
-        labels, table = other
-
-        def run(frames):
-            for f in frames:
-                x = np.stack(f["val"].to_numpy()) if len(f) else np.zeros((0, table.shape[1]))
-                best, arg = np.full(len(f), np.inf), np.zeros(len(f), int)
-                for k in range(0, len(f), 256):
-                    v = _block(name, x[k : k + 256], table)
-                    v[f["r"].to_numpy()[k : k + 256, None] == labels[None, :]] = np.inf
-                    arg[k : k + 256] = v.argmin(1)
-                    best[k : k + 256] = v.min(1)
-                yield pd.DataFrame({"r": f["r"], "nearest": labels[arg] if len(labels) else [], "v": best})
-
-        return run
-
-    out = None
-    for k in range(parts):
-        own = d.filter(F.pmod(F.xxhash64("r"), F.lit(parts)) == k).orderBy("r").toPandas()
-        if not len(own):
-            continue
-        part = d.mapInPandas(against((own["r"].to_numpy(), np.stack(own["val"].to_numpy()))), f"r {kind}, nearest {kind}, v double").filter("v < double('Infinity')")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return d.select("r", F.col("r").alias("nearest"), F.lit(0.0).alias("v"))
-    return out.groupBy("r").agg(F.min_by(F.struct("nearest", "v"), F.struct("v", "nearest")).alias("x")).select("r", "x.nearest", "x.v")
-
-
-def _block(name: str, x, y):
-    import numpy as np
-
-    if name in ("sqeuclidean", "euclidean"):
-        v = ((x[:, None, :] - y[None, :, :]) ** 2).sum(2) if x.shape[1] * len(y) * len(x) < 50_000_000 else np.maximum(0, (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T)
-        return np.sqrt(v) if name == "euclidean" else v
-    if name == "scalar_product":
-        return x @ y.T
-    diff = x[:, None, :] - y[None, :, :]
-    if name == "cityblock":
-        return np.abs(diff).sum(2)
-    if name == "chebychev":
-        return np.abs(diff).max(2)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        log = np.where(x[:, None, :] > 0, x[:, None, :] * np.log(x[:, None, :] / y[None, :, :]), 0)
-    return (log - diff).sum(2)
+    d = rows.select(F.col("r").alias("label"), F.col("val").cast("array<double>").alias("val"))
+    width = pairs.regular(d)
+    if width is None:
+        if not d.isEmpty():
+            raise ValueError("the rows need vectors of one length without nulls")
+        return d.select(F.col("label").alias("r"), F.col("label").alias("nearest"), F.lit(0.0).alias("v"))
+    held = pairs.packed(d, width, block)
+    found = pairs.best(held, held, name, width, 1, ("r", "nearest"), others=True)
+    return found.groupBy("r").agg(F.min_by(F.struct("nearest", "v"), F.struct("v", "nearest")).alias("x")).select("r", "x.nearest", "x.v")

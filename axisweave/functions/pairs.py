@@ -37,7 +37,7 @@ def sparse(cells: DataFrame, line: str, inner: str, places: DataFrame) -> DataFr
     return d.groupBy("label").agg(F.collect_list(F.struct("p", "v")).alias("x")).select("label", F.col("x.p").alias("at"), F.col("x.v").alias("val"))
 
 
-def packed(rows: DataFrame, width: int) -> DataFrame:
+def packed(rows: DataFrame, width: int, size: int = BLOCK) -> DataFrame:
     """(block, pos, label, x): rows (label, val) or (label, at, val) in blocks, in label order; pos is equal for equal labels."""
     kind = dict(rows.dtypes)["label"]
 
@@ -47,8 +47,8 @@ def packed(rows: DataFrame, width: int) -> DataFrame:
         part = TaskContext.get().partitionId()
         at, n, last = part << 40, 0, object()
         for batch in batches:
-            for start in range(0, batch.num_rows, BLOCK):
-                b = batch.slice(start, BLOCK)
+            for start in range(0, batch.num_rows, size):
+                b = batch.slice(start, size)
                 labels, val = b["label"], b["val"]
                 pos = np.zeros(len(labels), np.int64)
                 for k, x in enumerate(labels.to_pylist()):
@@ -181,6 +181,28 @@ def _first(v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return values, at
 
 
+def _least(name: str, x: np.ndarray, yt: np.ndarray, limit: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """score of Euclidean distances where they can be the row's least and below limit, infinite elsewhere.
+
+    A product of matrices, whose error is bounded, leaves few pairs; these are summed as score does.
+    """
+    nx, ny = (x * x).sum(1), (yt * yt).sum(0)
+    rough = x @ yt
+    rough *= -2
+    rough += nx[:, None]
+    rough += ny[None, :]
+    rough[own] = np.inf
+    slack = 1e-14 * (len(yt) + 8) * (nx + ny.max())
+    rows, cols = np.nonzero(rough <= (np.minimum(rough.min(1), limit if name == "sqeuclidean" else limit * limit * (1 + 1e-14)) + 2 * slack)[:, None])
+    total = np.zeros(len(rows))
+    for a, b in zip(x.T, yt):
+        d = a[rows] - b[cols]
+        total += np.multiply(d, d, out=d)
+    rough.fill(np.inf)
+    rough[rows, cols] = np.sqrt(total) if name == "euclidean" else total
+    return rough
+
+
 def best(left: DataFrame, right: DataFrame, name: str, width: int, k: int, names: tuple[str, str], digits: int | None = None, others: bool = False) -> DataFrame:
     """(labels, v): for each packed left row the k right ones of largest v other than 0, ties by label; the tasks' best are yet to be merged.
 
@@ -190,7 +212,10 @@ def best(left: DataFrame, right: DataFrame, name: str, width: int, k: int, names
 
     def against(x, pl, y, yt, pr, low):
         """Values and places of the best in a right block; rows that can't better low have -inf."""
-        v = score(name, x, yt)
+        if others and k == 1 and name in ("euclidean", "sqeuclidean") and np.isfinite(x).all() and np.isfinite(yt).all():
+            v = _least(name, x, yt, -low, pl[:, None] == pr[None, :])
+        else:
+            v = score(name, x, yt)
         if digits is not None:
             v = half_up(v, digits)
         if others:
