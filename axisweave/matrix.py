@@ -31,6 +31,8 @@ class Matrix:
 
     def __init__(self, cells: DataFrame, rows: DataFrame | None = None, cols: DataFrame | None = None, strict: bool = False):
         self.cells = cells
+        #: Rows (r, c, v) whose sums the cells are, if they are such sums: a sum of matrices then needs no sums of sums.
+        self.terms: DataFrame | None = None
         self.rows = axis_of(cells.select("r").distinct()) if rows is None else rows
         self.cols = axis_of(cells.select("c").distinct()) if cols is None else cols
         if strict:
@@ -121,7 +123,9 @@ class Matrix:
         return f"Matrix({', '.join(f'{f.name} {f.dataType.simpleString()}' for f in self.cells.schema)})"
 
     def __neg__(self):
-        return self.of(self.cells.withColumn("v", -F.col("v")))
+        out = self.of(self.cells.withColumn("v", -F.col("v")))
+        out.terms = None if self.terms is None else self.terms.withColumn("v", -F.col("v"))
+        return out
 
     def __pos__(self):
         return self

@@ -67,8 +67,8 @@ def minimum(a: Matrix, b: Matrix) -> Matrix:
 
 
 def reduce_sum(ms: list[Matrix]) -> Matrix:
-    """Sum on all labels: one union and one aggregate, whose partial sums run before the exchange."""
-    cells = fold(DataFrame.unionByName, [m.cells for m in ms]).groupBy("r", "c").agg(F.sum("v").alias("v"))
+    """Sum on all labels: one union and one aggregate, whose partial sums run before the exchange; of pivots their rows are summed, not their sums."""
+    cells = fold(DataFrame.unionByName, [m.cells if m.terms is None else m.terms for m in ms]).groupBy("r", "c").agg(F.sum("v").alias("v"))
     axes = [fold(lambda x, y: merge_axes(x, y, "outer"), [m.axis(k)[1] for m in ms]) for k in (ROWS, COLUMNS)]
     return Matrix(stored(cells), *axes)
 

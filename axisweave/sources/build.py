@@ -50,9 +50,12 @@ def from_pivot(df: DataFrame, index, columns, values: str | None = None, aggrega
     v = F.nanvl(F.col(values).cast("double"), F.lit(None).cast("double")) if values else F.lit(1.0)
     d = df.select(_key(index).alias("r"), _key(columns).alias("c"), v.alias("v"), *([F.col(order).alias("o")] if order else []))
     agg = aggregate(F.col("v")) if callable(aggregate) else AGGREGATES[aggregate](F.col("v"), F.col("o") if order else None)
-    cells = d.filter("v is not null").groupBy("r", "c").agg(agg.alias("v"))
+    known = d.filter("v is not null")
+    cells = known.groupBy("r", "c").agg(agg.alias("v"))
     axes = [axis_of(d.select(k).distinct()) if given is None else given for k, given in (("r", rows), ("c", cols))]
-    return Matrix(stored(cells), *axes)
+    out = Matrix(stored(cells), *axes)
+    out.terms = known.select("r", "c", "v") if aggregate in ("sum", "add") else None
+    return out
 
 
 def from_occurrence(df: DataFrame, r: str, c: str) -> Matrix:
